@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomwork.llm import exact_dedup, source_mix
+from loomwork.llm import bloom_lm, byte_bpe, exact_dedup, near_dedup, source_mix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scores(_documents(spark, sf_dir))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -21,6 +34,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_bloom_lm": op5_bloom_lm,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_source_mix": op10_source_mix,
 }

@@ -56,9 +56,9 @@ def byte_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the number of words of each text."""
-    inside = IS_WORD[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of `letters` (of 256 bytes), and the number of runs of each text."""
+    inside = letters[data]
     if not inside.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
     first = inside.copy()
