@@ -4,11 +4,623 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from loomwork.functions import columns as C
+from loomwork.operators import arrays, joins, lookup, rank, sequences, stats, stores, tensors
+from loomwork.sources import files
+from loomwork.streaming import ledger
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL for it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+T = files.parquet
+LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+# lookups ------------------------------------------------------------------------------------------
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Line items of two customer segments, scored on quantity and price over all of them: the best 100."""
+    customers = T(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("o_custkey"))
+    orders = joins.semi(T(spark, sf_dir, "orders"), customers, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = joins.semi(T(spark, sf_dir, "lineitem"), orders, "l_orderkey").select(*LINE)
+    best = rank.top_k(rank.minmax_product(lines, ["l_quantity", "l_extendedprice"]), "score", [c for c in LINE], 100)
+    return best.select(*LINE, F.round("score", 9).alias("score"))
+
+
+QUERIES["minmax_product_topk"] = entry
+ORACLES["minmax_product_topk"] = """
+    WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate FROM lineitem
+               WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')))),
+    e AS (SELECT min(l_quantity) a, max(l_quantity) b, min(l_extendedprice) c, max(l_extendedprice) d FROM l),
+    s AS (SELECT l.*, (l_quantity - a) / (b - a) * ((l_extendedprice - c) / (d - c)) AS score FROM l, e)
+    SELECT * REPLACE (round(score, 9) AS score) FROM s
+    ORDER BY s.score DESC, l_orderkey DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC, l_shipdate DESC LIMIT 100"""
+
+
+def _lookup(table: str, columns: list[str], **kw) -> Query:
+    return lambda spark, d: lookup.find(T(spark, d, table), **kw).select(*columns)
+
+
+for _name, _kw, _where in [
+    ("lookup_eq", {"o_orderstatus": "F"}, "o_orderstatus = 'F'"),
+    ("lookup_gt", {"o_totalprice__gt": 200000}, "o_totalprice > 200000"),
+    ("lookup_lt", {"o_totalprice__lt": 20000}, "o_totalprice < 20000"),
+    ("lookup_gte", {"o_custkey__gte": 700}, "o_custkey >= 700"),
+    ("lookup_lte", {"o_custkey__lte": 100}, "o_custkey <= 100"),
+    ("lookup_ne", {"o_orderpriority__ne": "1-URGENT"}, "o_orderpriority <> '1-URGENT'"),
+    ("lookup_and", {"o_totalprice__gt": 50000, "o_orderstatus": "O", "o_custkey__lte": 1000}, "o_totalprice > 50000 AND o_orderstatus = 'O' AND o_custkey <= 1000"),
+    ("lookup_null", {"o_custkey": None}, "o_custkey = NULL"),
+]:
+    QUERIES[_name] = _lookup("orders", ["o_orderkey", "o_custkey", "o_totalprice"], **_kw)
+    ORACLES[_name] = f"SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE {_where}"
+
+
+@query("SELECT c_mktsegment FROM customer WHERE c_acctbal > 1000")
+def get_column(spark, d):
+    return lookup.get_column(T(spark, d, "customer"), "c_mktsegment", c_acctbal__gt=1000)
+
+
+@query("SELECT coalesce(min(value), 'none') AS value FROM (SELECT c_name AS value FROM customer WHERE c_custkey = 7)")
+def get_or_default(spark, d):
+    return lookup.get_or(T(spark, d, "customer").withColumnRenamed("c_name", "value"), "c_custkey", 7, "value", "none")
+
+
+@query("SELECT count(*) > 0 AS found FROM supplier WHERE s_suppkey = -1")
+def contains_key(spark, d):
+    return lookup.contains(T(spark, d, "supplier"), s_suppkey=-1)
+
+
+@query("SELECT count(*) AS n FROM events")
+def count_rows(spark, d):
+    return stores.row_count(T(spark, d, "events"))
+
+
+@query("SELECT event_id, event_type IN ('true', '1', 'click') AND event_type <> 'click' AS truthy FROM events")
+def truthy_text(spark, d):
+    return T(spark, d, "events").select("event_id", lookup.is_truthy("event_type").alias("truthy"))
+
+
+@query("SELECT DISTINCT n_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS rn, count(*) OVER () AS n FROM nation) WHERE rn = n OR rn BETWEEN 4 AND 6 OR n_name = 'FRANCE' OR rn = 1")
+def select_names(spark, d):
+    first = T(spark, d, "nation").agg(F.min("n_name")).first()[0]
+    names = T(spark, d, "nation")
+    extra = ["FRANCE"] if not names.where("n_name = 'FRANCE'").isEmpty() else [first]
+    return lookup.select_names(names, "n_name", ["-1", "3:6", *extra, "0"])
+
+
+# sets ---------------------------------------------------------------------------------------------
+
+
+def _parts(spark, d, flag):
+    return stores.as_set(lookup.find(T(spark, d, "lineitem"), l_returnflag=flag, l_quantity__gt=40), "l_partkey")
+
+
+_A, _B = "SELECT l_partkey AS value FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40", "SELECT l_partkey AS value FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40"
+for _name, _f, _sql in [
+    ("set_union", stores.union, f"{_A} UNION {_B}"),
+    ("set_intersection", stores.intersection, f"{_A} INTERSECT {_B}"),
+    ("set_difference", stores.difference, f"{_A} EXCEPT {_B}"),
+    ("set_symmetric_difference", stores.symmetric_difference, f"({_A} EXCEPT {_B}) UNION ({_B} EXCEPT {_A})"),
+    ("set_subset", stores.is_subset, f"SELECT NOT EXISTS ({_A} EXCEPT {_B}) AS subset"),
+    ("set_superset", stores.is_superset, f"SELECT NOT EXISTS ({_B} EXCEPT {_A}) AS superset"),
+    ("set_disjoint", stores.is_disjoint, f"SELECT NOT EXISTS ({_A} INTERSECT {_B}) AS disjoint"),
+    ("set_all_equal", stores.all_equal, f"SELECT NOT EXISTS (({_A} EXCEPT {_B}) UNION ({_B} EXCEPT {_A})) AS equal"),
+    ("set_discard", stores.discard, f"SELECT DISTINCT value FROM ({_A}) WHERE value NOT IN ({_B})"),
+]:
+    QUERIES[_name] = lambda spark, d, f=_f: f(_parts(spark, d, "A"), _parts(spark, d, "R"))
+    ORACLES[_name] = _sql
+
+# joins --------------------------------------------------------------------------------------------
+
+
+@query("""SELECT DISTINCT l_orderkey AS item FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')
+    AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW')""")
+def ready_items(spark, d):
+    lines, orders = T(spark, d, "lineitem"), T(spark, d, "orders")
+    done = [lines.where(c).select(F.col("l_orderkey").alias("item")) for c in ("l_returnflag = 'A'", "l_linestatus = 'F'")]
+    handled = [orders.where(c).select(F.col("o_orderkey").alias("item")) for c in ("o_orderstatus = 'P'", "o_orderpriority = '5-LOW'")]
+    return joins.ready_items(done, handled)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def category_semi_join(spark, d):
+    c = lookup.find(T(spark, d, "customer"), c_mktsegment="BUILDING").select(F.col("c_custkey").alias("o_custkey"))
+    return joins.semi(T(spark, d, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey")
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, p_brand, p_size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def lookup_join(spark, d):
+    p = T(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    return joins.lookup(T(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), p, "l_partkey", strict=True)
+
+
+@query("SELECT l_partkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_partkey")
+def items_by_key(spark, d):
+    return T(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.n, 0) AS in_a, coalesce(l.n, 0) AS in_b FROM (SELECT doc_id, count(*) n FROM documents GROUP BY 1) d FULL JOIN (SELECT doc_id, count(*) n FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id")
+def pair_report(spark, d):
+    return joins.pair_report(T(spark, d, "documents").select("doc_id"), T(spark, d, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT c_nationkey AS n_nationkey, n_name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def pair_by_name_checked(spark, d):
+    c = T(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    used = T(spark, d, "nation").select("n_nationkey", "n_name").join(c.select("n_nationkey"), "n_nationkey", "left_semi")
+    return joins.pair_by_name(used, c, "n_nationkey")
+
+
+@query("SELECT rn, s_suppkey, p_partkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_name, s_suppkey) AS rn FROM supplier) JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS rn FROM part) USING (rn)")
+def pair_by_order(spark, d):
+    s, p = T(spark, d, "supplier").select("s_name", "s_suppkey"), T(spark, d, "part").select("p_name", "p_partkey")
+    return joins.pair_by_order(s, p, ["s_name", "s_suppkey"], ["p_name", "p_partkey"], check=False).select("rn", "s_suppkey", "p_partkey")
+
+
+@query("""SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS pick, max(c_acctbal) AS best, count(*) AS n,
+    max(c_acctbal) >= 9900 AND count(*) FILTER (c_acctbal >= 9900) = 1 AS confident FROM customer GROUP BY c_nationkey""")
+def ambiguous_argmax(spark, d):
+    return joins.argmax_candidate(T(spark, d, "customer"), ["c_nationkey"], "c_acctbal", "c_custkey", 9900)
+
+
+@query("""WITH b AS (SELECT p_partkey + CASE WHEN p_partkey % 50 = 0 THEN 1000000 ELSE 0 END AS p_partkey, p_brand, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size,
+        p_retailprice + CASE WHEN p_partkey % 3 = 0 THEN 0.005 WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS p_retailprice FROM part),
+    j AS (SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, a.p_partkey IS NULL AS na, b.p_partkey IS NULL AS nb,
+        concat_ws(',', CASE WHEN a.p_brand IS DISTINCT FROM b.p_brand THEN 'p_brand' END, CASE WHEN a.p_size IS DISTINCT FROM b.p_size AND NOT coalesce(abs(a.p_size - b.p_size) <= 0.01, false) THEN 'p_size' END,
+        CASE WHEN a.p_retailprice IS DISTINCT FROM b.p_retailprice AND NOT coalesce(abs(a.p_retailprice - b.p_retailprice) <= 0.01, false) THEN 'p_retailprice' END) AS c
+        FROM part a FULL JOIN b ON a.p_partkey = b.p_partkey)
+    SELECT p_partkey, CASE WHEN nb THEN 'only_a' WHEN na THEN 'only_b' ELSE 'changed' END AS status, CASE WHEN na OR nb THEN '' ELSE c END AS columns FROM j WHERE na OR nb OR c <> ''""")
+def table_diff(spark, d):
+    a = T(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    k = F.col("p_partkey")
+    b = a.select(
+        (k + F.when(k % 50 == 0, 1000000).otherwise(0)).alias("p_partkey"),
+        "p_brand",
+        F.when(k % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size"),
+        (F.col("p_retailprice") + F.when(k % 3 == 0, 0.005).when(k % 11 == 0, 1.0).otherwise(0.0)).alias("p_retailprice"),
+    )
+    return joins.table_diff(a, b, "p_partkey", 0.01)
+
+
+_POOLS = "SELECT l_suppkey % 4 AS pool, l_partkey AS item FROM lineitem"
+
+
+@query(f"WITH p AS (SELECT DISTINCT pool, item FROM ({_POOLS})) SELECT a.pool AS pool_a, b.pool AS pool_b, count(*) AS n FROM p a JOIN p b ON a.item = b.item AND a.pool < b.pool GROUP BY 1, 2")
+def pool_leakage(spark, d):
+    return joins.pool_overlaps(T(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("pool"), F.col("l_partkey").alias("item")), "pool", "item")
+
+
+@query(f"SELECT pool, count(*) AS n_rows, count(DISTINCT item) AS n_distinct, count(*) - count(DISTINCT item) AS n_duplicates FROM ({_POOLS}) GROUP BY pool")
+def pool_counts(spark, d):
+    return joins.pool_counts(T(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("pool"), F.col("l_partkey").alias("item")), "pool", "item")
+
+
+@query("""SELECT c_custkey, arg_min(p_partkey, sha256('5/' || c_custkey || '/' || p_partkey)) AS p_partkey, count(*) AS n_matches
+    FROM customer JOIN part ON p_retailprice BETWEEN c_acctbal - 1 AND c_acctbal + 1 GROUP BY c_custkey""")
+def theta_pick(spark, d):
+    c = T(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") - 1).alias("low"), (F.col("c_acctbal") + 1).alias("high"))
+    return joins.range_pick(c, T(spark, d, "part").select("p_partkey", "p_retailprice"), "c_custkey", "low", "high", "p_partkey", "p_retailprice", 2.0, 5)
+
+
+@query("SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY sha256('9/' || s_suppkey), s_suppkey) AS rn FROM supplier) WHERE rn > 20 AND rn <= 50")
+def pool_slice(spark, d):
+    return joins.pool_slice(T(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 9, 20, 50)
+
+
+_U = "(('0x' || substr(sha256('{seed}/' || {key}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(f"""SELECT s_suppkey, partner FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier)
+    JOIN (SELECT s_suppkey AS partner, row_number() OVER (ORDER BY {_U.format(seed=3, key="s_suppkey")}, s_suppkey) AS rn FROM supplier) USING (rn)""")
+def shuffle_plan(spark, d):
+    return joins.shuffle_plan(T(spark, d, "supplier"), "s_suppkey", 3)
+
+
+@query(f"""WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY {_U.format(seed=3, key="s_suppkey")}, s_suppkey) AS rn, count(*) OVER () AS n FROM supplier)
+    SELECT e * n + rn - 1 AS position, s_suppkey FROM p, range(3) t(e) WHERE (e * n + rn - 1) % 4 = 1""")
+def strided_shard(spark, d):
+    return joins.strided_shard(T(spark, d, "supplier"), "s_suppkey", 3, 3, 4, 1)
+
+
+# aggregates ---------------------------------------------------------------------------------------
+
+
+@query("""SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(v) AS count
+    FROM (UNPIVOT (SELECT l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME metric VALUE v) GROUP BY metric""")
+def summary_stats(spark, d):
+    s = stats.summary(T(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return s.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "count")
+
+
+@query("SELECT user_id % 10 AS bucket, event_type AS metric, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+def metric_long_means(spark, d):
+    e = T(spark, d, "events").select((F.col("user_id") % 10).alias("bucket"), F.col("event_type").alias("metric"), "value")
+    return stats.metric_means(e, ["bucket"], "metric", "value").withColumn("value", F.round("value", 6))
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS mean, round(sqrt(sum(pow(l_extendedprice - 30000, 2) * l_quantity) / sum(l_quantity)), 4) AS rmse FROM lineitem GROUP BY 1")
+def weighted_mean_rmse(spark, d):
+    x = F.col("l_extendedprice")
+    return T(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(stats.weighted_mean(x, "l_quantity"), 4).alias("mean"), F.round(stats.weighted_rms((x - 30000) * (x - 30000), "l_quantity"), 4).alias("rmse"))
+
+
+@query("""SELECT vec_id, round(coalesce(sum(y * v) / nullif(sum(v), 0), 0), 6) AS cy, round(coalesce(sum(x * v) / nullif(sum(v), 0), 0), 6) AS cx
+    FROM (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, abs(embedding[i])::DOUBLE AS v FROM embeddings, range(1, 65) t(i)) GROUP BY vec_id""")
+def centroid(spark, d):
+    e = T(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v).cast("double")).alias("a"))
+    return stats.centroid(arrays.cells(e, ["vec_id"], "a", 8), ["vec_id"], "y", "x", "value").select("vec_id", F.round("cy", 6).alias("cy"), F.round("cx", 6).alias("cx"))
+
+
+@query("""WITH m AS (SELECT vec_id, list_sum(list_transform(embedding, lambda v: pow(v::DOUBLE - 0.25, 2))) / 64 AS mse FROM embeddings)
+    SELECT vec_id, round(mse, 6) AS mse, round(20 * log10(1 / sqrt(mse)), 4) AS psnr FROM m""")
+def psnr(spark, d):
+    e = T(spark, d, "embeddings").withColumn("flat", F.transform("embedding", lambda v: F.lit(0.25)))
+    e = e.withColumn("mse", stats.mean_squared_error(F.col("embedding"), F.col("flat")))
+    return e.select("vec_id", F.round("mse", 6).alias("mse"), F.round(stats.psnr(F.col("mse")), 4).alias("psnr"))
+
+
+@query("SELECT o_orderpriority AS stage, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
+def stage_status_counts(spark, d):
+    return stats.status_counts(T(spark, d, "orders").withColumnRenamed("o_orderpriority", "stage"), "stage", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+def lap_stats(spark, d):
+    return stats.laps(T(spark, d, "events").withColumnRenamed("event_type", "name"), "name", "value").withColumn("avg", F.round("avg", 6))
+
+
+@query("SELECT event_type, max(value) AS best, min(event_id) FILTER (value = m) AS at FROM (SELECT *, max(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1")
+def running_best(spark, d):
+    return stats.running_best(T(spark, d, "events"), ["event_type"], "value", "event_id")
+
+
+@query("""SELECT l_returnflag, round(avg(abs(l_discount - l_tax)), 8) AS l1, round(avg(pow(l_discount - l_tax, 2)), 8) AS mse, round(avg(sqrt(pow(l_discount - l_tax, 2) + 1e-12)), 8) AS charbonnier FROM lineitem GROUP BY 1""")
+def losses(spark, d):
+    return T(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(stats.l1_loss("l_discount", "l_tax"), 8).alias("l1"), F.round(stats.mse_loss("l_discount", "l_tax"), 8).alias("mse"), F.round(stats.charbonnier_loss("l_discount", "l_tax"), 8).alias("charbonnier"))
+
+
+@query("SELECT round(avg(ln(m + 1e-8) * (10 / ln(10))), 6) AS loss FROM (SELECT l_orderkey, avg(pow(l_discount - l_tax, 2)) AS m FROM lineitem GROUP BY 1)")
+def psnr_loss(spark, d):
+    return stats.psnr_loss(T(spark, d, "lineitem"), "l_orderkey", "l_discount", "l_tax").select(F.round("loss", 6).alias("loss"))
+
+
+# sequences ----------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE v AS (SELECT DISTINCT c_nationkey AS g, c_acctbal AS x FROM customer), f AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) AS rn FROM v),
+    s AS (SELECT g, x, rn, x AS head FROM f WHERE rn = 1 UNION ALL SELECT f.g, f.x, f.rn, CASE WHEN f.x - s.head <= 100 THEN s.head ELSE f.x END FROM s JOIN f ON f.g = s.g AND f.rn = s.rn + 1),
+    c AS (SELECT g, head, (min(x) + max(x)) / 2 AS centre FROM s GROUP BY g, head)
+    SELECT g AS c_nationkey, x AS c_acctbal, round(arg_min(centre, (abs(centre - x), centre)), 6) AS centre FROM v JOIN c USING (g) GROUP BY g, x""")
+def greedy_cluster(spark, d):
+    return sequences.greedy_cluster(T(spark, d, "customer"), ["c_nationkey"], "c_acctbal", 50.0).withColumn("centre", F.round("centre", 6))
+
+
+@query("""WITH p AS (SELECT DISTINCT p_brand, p_retailprice AS x FROM part), g AS (SELECT p_brand, x, x - lag(x) OVER w AS b, lead(x) OVER w - x AS a FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY x))
+    SELECT p_brand, x AS p_retailprice, round(least(coalesce(b, a), coalesce(a, b)), 6) AS scale FROM g""")
+def local_scales(spark, d):
+    return sequences.local_scales(T(spark, d, "part"), ["p_brand"], "p_retailprice").withColumn("scale", F.round("scale", 6))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM lineitem""")
+def running_z(spark, d):
+    r = sequences.running_before(T(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"], "l_quantity", "z")
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "z")
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn, 1 + (p_size % 5) / 10.0::DOUBLE AS n, (p_size % 7 - 3) / 100.0::DOUBLE AS k, (p_size % 3) / 10.0::DOUBLE AS t FROM part),
+    u AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY p_brand ORDER BY p_partkey), 1) AS n1 FROM s WHERE rn <= 12),
+    m AS (SELECT p_brand, rn, 1 + t * (k * (n1 - n) / n) AS a, t * (n1 / n) AS b, k * (n1 - n) / n AS c, n1 / n AS d FROM u),
+    f AS (SELECT p_brand, rn, a, b, c, d FROM m WHERE rn = 1 UNION ALL
+          SELECT m.p_brand, m.rn, m.a * f.a + m.b * f.c, m.a * f.b + m.b * f.d, m.c * f.a + m.d * f.c, m.c * f.b + m.d * f.d FROM f JOIN m ON m.p_brand = f.p_brand AND m.rn = f.rn + 1)
+    SELECT p_brand, round(arg_max(a, rn), 8) AS a, round(arg_max(b, rn), 8) AS b, round(arg_max(c, rn), 8) AS c, round(arg_max(d, rn), 8) AS d FROM f GROUP BY p_brand""")
+def matrix_fold(spark, d):
+    s = F.col("p_size")
+    p = T(spark, d, "part").select("p_brand", "p_partkey", (1 + (s % 5) / 10.0).alias("n"), ((s % 7 - 3) / 100.0).alias("k"), ((s % 3) / 10.0).alias("t"))
+    from pyspark.sql import Window
+
+    p = p.withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("rn <= 12")  # a lens has few surfaces
+    m = sequences.surface_chain(p, ["p_brand"], "rn", "n", "k", "t")
+    return m.select("p_brand", *[F.round(c, 8).alias(c) for c in "abcd"])
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 32 AS chunk FROM orders")
+def chunk_ids(spark, d):
+    return rank.chunked(T(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], 32).select("o_orderkey", "chunk")
+
+
+@query("""SELECT vec_id, y, x, round(sum(v) OVER (PARTITION BY vec_id ORDER BY y ROWS UNBOUNDED PRECEDING) , 5) AS integral FROM (
+    SELECT vec_id, y, x, sum(v) OVER (PARTITION BY vec_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i))) WHERE x = 7""")
+def integral_image(spark, d):
+    e = T(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
+    i = sequences.integral_image(arrays.cells(e, ["vec_id"], "a", 8), ["vec_id"], "y", "x", "value")
+    return i.where("x = 7").select("vec_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("integral", 5).alias("integral"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 30 THEN 1 WHEN p_size <= 45 THEN 2 ELSE -1 END AS period FROM part")
+def period_position(spark, d):
+    return T(spark, d, "part").select("p_partkey", F.coalesce(sequences.period_of(F.col("p_size"), [10, 30, 45]), F.lit(-1)).alias("period"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_size + 16 AS h, greatest(ceil((p_size + 16) / 16.0)::BIGINT, 1) AS n FROM part),
+    s AS (SELECT p_partkey, least(ceil(i * CASE WHEN n > 1 THEN (h - 16)::DOUBLE / (n - 1) ELSE 0 END)::BIGINT, greatest(h - 16, 0)) AS start FROM t, range(0, 8) r(i) WHERE i < n)
+    SELECT DISTINCT p_partkey, start FROM s""")
+def tile_starts(spark, d):
+    return T(spark, d, "part").select("p_partkey", F.explode(sequences.tile_starts(F.col("p_size") + 16, 16)).alias("start"))
+
+
+# order and top-k ------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_orderdate, o_orderkey LIMIT 200")
+def ordered_cut(spark, d):
+    known = T(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return rank.ordered_cut(T(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 200, known, "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 2")
+def keep_newest(spark, d):
+    return rank.keep_newest(T(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 2).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_type, min(event_id) AS first_order FROM events GROUP BY 1")
+def unique_keep_order(spark, d):
+    return rank.unique_keep_order(T(spark, d, "events"), "event_type", "event_id")
+
+
+@query("SELECT size, score FROM (SELECT i AS size, ceil(1000.0 / i) * i - 1000 + ceil(1000.0 / i) AS score FROM range(1, 129) t(i)) ORDER BY score, size DESC LIMIT 1")
+def best_chunk_size(spark, d):
+    return rank.best_chunk_size(1000, 128, spark)
+
+
+# columns --------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT p_partkey, p_retailprice / 20 AS efl, p_size / 5.0::DOUBLE AS fnum, p_size / 2.0::DOUBLE AS r, p_size * 1.5::DOUBLE AS ttl FROM part), h AS (SELECT *, degrees(atan(r / efl)) AS a FROM p),
+    c AS (SELECT p_partkey, CASE WHEN fnum > 8 THEN ['Unknown', 'N/A']
+        WHEN r BETWEEN 2.5 AND 8 AND ttl <= 15 THEN CASE WHEN a > 40 THEN ['Mobile', 'Ultra-Wide'] WHEN a > 30 THEN ['Mobile', 'Wide (Main)'] WHEN a > 10 THEN ['Mobile', 'Telephoto'] ELSE ['Mobile', 'Super-Tele (Periscope)'] END
+        WHEN r >= 10 AND ttl >= 25 THEN CASE WHEN a > 35 THEN CASE WHEN ttl / efl > 1.2 THEN ['System Camera', 'Retrofocus Wide'] ELSE ['System Camera', 'Wide'] END
+            WHEN a >= 18 THEN ['System Camera', 'Standard/Normal'] WHEN ttl / efl < 1 THEN ['System Camera', 'Compact Telephoto'] ELSE ['System Camera', 'Telephoto'] END
+        ELSE ['Unknown', 'N/A'] END AS c FROM h)
+    SELECT p_partkey, c[1] AS category, c[2] AS subcategory FROM c""")
+def classify_case(spark, d):
+    s = F.col("p_size")
+    c = C.classify_lens(F.col("p_retailprice") / 20, s / 5.0, s / 2.0, s * 1.5)
+    return T(spark, d, "part").select("p_partkey", c.alias("c")).select("p_partkey", "c.category", "c.subcategory")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount <> 0 THEN round(l_tax / l_discount, 8) ELSE l_tax END AS div_value, l_discount <> 0 AS div_defined,
+    CASE WHEN l_discount - 0.05 >= 0 THEN round(sqrt(l_discount - 0.05), 8) ELSE 1 END AS sqrt_value, l_discount - 0.05 >= 0 AS sqrt_defined FROM lineitem""")
+def safe_arithmetic(spark, d):
+    q = C.safe_div("l_tax", "l_discount")
+    r = C.safe_sqrt(F.col("l_discount") - 0.05)
+    return T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(q["defined"], F.round(q["value"], 8)).otherwise(q["value"]).alias("div_value"), q["defined"].alias("div_defined"), F.when(r["defined"], F.round(r["value"], 8)).otherwise(r["value"]).alias("sqrt_value"), r["defined"].alias("sqrt_defined"))
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)), 5) AS dot, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 5) AS norm,
+    round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 5) AS first_unit FROM embeddings""")
+def vector_norms(spark, d):
+    e = F.col("embedding")
+    return T(spark, d, "embeddings").select("vec_id", F.round(C.safe_dot(e, e), 5).alias("dot"), F.round(C.norm(e), 5).alias("norm"), F.round(F.element_at(C.unit(e), 1), 5).alias("first_unit"))
+
+
+@query("""WITH p AS (SELECT p_partkey, -(0.5 + p_size / 10.0::DOUBLE) AS o FROM part), q AS (SELECT p_partkey, 1 / (1 / o + 20) + 0.01 AS do_, 1 / (1 / -1.0::DOUBLE + 20) + 0.01 AS df FROM p)
+    SELECT p_partkey, round(0.01 * (df - do_) / do_, 12) AS coc FROM q""")
+def thin_lens_coc(spark, d):
+    coc = C.signed_blur_radius(-(0.5 + F.col("p_size") / 10.0), -1.0, 20.0, -0.01, 0.01)
+    return T(spark, d, "part").select("p_partkey", F.round(coc, 12).alias("coc"))
+
+
+@query("SELECT p_partkey, ('0x' || s[7:8] || s[5:6] || s[3:4] || s[1:2])::BIGINT AS seed FROM (SELECT p_partkey, sha256(p_partkey || '/crop') AS s FROM part)")
+def tag_seed(spark, d):
+    return T(spark, d, "part").select("p_partkey", C.tag_seed("p_partkey", F.lit("crop")).alias("seed"))
+
+
+@query(f"SELECT c_custkey, round({_U.format(seed=11, key='c_custkey')}, 12) AS u FROM customer")
+def uniform_stream(spark, d):
+    return T(spark, d, "customer").select("c_custkey", F.round(C.uniform(F.lit(11), "c_custkey"), 12).alias("u"))
+
+
+@query("""SELECT page_id, CASE WHEN n SIMILAR TO '(MIDDLEBURRY|MPI|SYNTHIA)_.*' THEN CASE WHEN regexp_matches(n, '_f_[0-9]') THEN regexp_extract(n, '^(.*?)_f_[0-9]', 1) ELSE n END END AS key
+    FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'MPI_' || page_id || '_f_' || (page_id % 10) || '.4' WHEN page_id % 3 = 1 THEN 'SYNTHIA_' || page_id ELSE 'OTHER_' || page_id || '_f_1' END AS n FROM pages)""")
+def scene_key(spark, d):
+    k = F.col("page_id")
+    name = F.when(k % 3 == 0, F.concat(F.lit("MPI_"), k, F.lit("_f_"), k % 10, F.lit(".4"))).when(k % 3 == 1, F.concat(F.lit("SYNTHIA_"), k)).otherwise(F.concat(F.lit("OTHER_"), k, F.lit("_f_1")))
+    return T(spark, d, "pages").select("page_id", C.scene_key(name).alias("key"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract(text, '[^\\x20\\x09-\\x0D]+') AS token FROM documents UNION ALL SELECT n_chars, CASE n_chars % 4 WHEN 0 THEN '-' WHEN 1 THEN 'INF' WHEN 2 THEN n_chars::VARCHAR ELSE n_chars || '.5e-3' END FROM documents)
+    SELECT doc_id, token, CASE WHEN token = '-' THEN 'null' WHEN upper(token) = 'INF' THEN 'inf' WHEN regexp_full_match(token, '[+-]?[0-9]+') THEN 'int' WHEN regexp_full_match(token, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'double' ELSE 'string' END AS kind,
+    CASE WHEN upper(token) = 'INF' THEN 'inf'::DOUBLE WHEN regexp_full_match(token, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN round(token::DOUBLE, 8) END AS number FROM t""")
+def coerce_cell(spark, d):
+    x = T(spark, d, "documents")
+    n = F.col("n_chars")
+    made = F.when(n % 4 == 0, "-").when(n % 4 == 1, "INF").when(n % 4 == 2, n.cast("string")).otherwise(F.concat(n.cast("string"), F.lit(".5e-3")))
+    t = x.select("doc_id", F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0).alias("token")).unionByName(x.select(n.alias("doc_id"), made.alias("token")))
+    t = t.withColumn("c", C.coerce_cell("token"))
+    return t.select("doc_id", "token", "c.kind", F.when(F.col("c.number") < float("inf"), F.round("c.number", 8)).otherwise(F.col("c.number")).alias("number"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_meta(spark, d):
+    return T(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT conv_id, turn, 'c' || '__' || lpad(conv_id::VARCHAR, 6, '0') || '__' || role || '__' || lpad(turn::VARCHAR, 4, '0') AS item FROM conversations")
+def zero_pad_id(spark, d):
+    return T(spark, d, "conversations").select("conv_id", "turn", C.padded_id("c", ("conv_id", 6), ("role", 0), ("turn", 4)).alias("item"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 1 THEN 1 ELSE (1::BIGINT << length(bin(p_size - 1)))::BIGINT END AS pow2, (ceil(p_size / 6.0) * 6)::BIGINT AS multiple FROM part")
+def next_sizes(spark, d):
+    return T(spark, d, "part").select("p_partkey", C.next_power_of_two("p_size").alias("pow2"), C.next_multiple(6, "p_size").alias("multiple"))
+
+
+@query("SELECT p_partkey, round_even(p_retailprice / 0.5, 0)::BIGINT AS index, round_even(p_retailprice / 0.5, 0) * 0.5 AS coordinate FROM part")
+def quantize(spark, d):
+    return T(spark, d, "part").select("p_partkey", C.quantize("p_retailprice", 0.0, 0.5).alias("q")).select("p_partkey", "q.index", "q.coordinate")
+
+
+@query("""SELECT event_id, round(sqrt(value * value + 9), 8) AS r, round(atan2(3, value), 8) AS angle FROM events""")
+def polar(spark, d):
+    p = C.to_polar("value", F.lit(3.0))
+    return T(spark, d, "events").select("event_id", F.round(p["r"], 8).alias("r"), F.round(p["angle"], 8).alias("angle"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) ELSE printf('%.1f KB', n / 1024.0::DOUBLE) END AS size FROM (SELECT doc_id, 2 * n_chars + 1 AS n FROM documents WHERE n_chars < 400000)")
+def size_text(spark, d):
+    return T(spark, d, "documents").where("n_chars < 400000").select("doc_id", C.size_text(2 * F.col("n_chars") + 1).alias("size"))
+
+
+@query("""SELECT vec_id, round(0.299 * 0 + 65.481 * embedding[1]::DOUBLE + 128.553 * embedding[2]::DOUBLE + 24.966 * embedding[3]::DOUBLE + 16, 5) AS y FROM embeddings""")
+def luma(spark, d):
+    e = lambda k: F.element_at("embedding", k).cast("double")
+    return T(spark, d, "embeddings").select("vec_id", F.round(C.luma(e(1), e(2), e(3)), 5).alias("y"))
+
+
+# arrays ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, i AS chunk, round(list_sum(list_transform((embedding || [embedding[64]])[i * 5 + 1 : i * 5 + 5], lambda v: v::DOUBLE)), 5) AS total, 64 AS total_size FROM embeddings, range(13) t(i)")
+def chunk_unchunk(spark, d):
+    e = T(spark, d, "embeddings").withColumn("c", arrays.chunk("embedding", 5))
+    e = e.withColumn("total_size", F.size(arrays.unchunk("c", 64)))
+    e = e.select("vec_id", "total_size", F.posexplode("c").alias("chunk", "v"))
+    return e.select("vec_id", F.col("chunk").cast("long").alias("chunk"), F.round(F.aggregate("v", F.lit(0.0), lambda s, v: s + v.cast("double")), 5).alias("total"), "total_size")
+
+
+@query("SELECT vec_id, y // 4 AS \"by\", x // 4 AS bx, round(sum(v), 5) AS total FROM (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)) GROUP BY 1, 2, 3")
+def blockify(spark, d):
+    e = T(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
+    b = arrays.blocks(arrays.cells(e, ["vec_id"], "a", 8), ["vec_id"], 4, 4)
+    return b.groupBy("vec_id", F.col("by").cast("long").alias("by"), F.col("bx").cast("long").alias("bx")).agg(F.round(F.sum("value"), 5).alias("total"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS g, l_quantity / 50 AS c, l_discount * 5 AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_quantity / 50 DESC, l_discount * 5 DESC) AS rn FROM lineitem),
+    f AS (SELECT g, rn, c * a AS c, a FROM l WHERE rn = 1 UNION ALL SELECT l.g, l.rn, l.c * l.a + f.c * (1 - l.a), l.a + f.a * (1 - l.a) FROM f JOIN l ON l.g = f.g AND l.rn = f.rn + 1)
+    SELECT g AS l_orderkey, round(arg_max(c, rn), 12) AS color, round(arg_max(a, rn), 12) AS alpha FROM f GROUP BY g""")
+def alpha_over(spark, d):
+    x = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("c"), (F.col("l_discount") * 5).alias("a"))
+    return arrays.alpha_over(x, ["l_orderkey"], "l_linenumber", "c", "a").select("l_orderkey", F.round("color", 12).alias("color"), F.round("alpha", 12).alias("alpha"))
+
+
+# stores ---------------------------------------------------------------------------------------------
+
+_NEW = "SELECT p_partkey, 'Brand#0' AS p_brand, p_size FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey + 1000000, p_brand, p_size FROM part WHERE p_partkey % 25 = 0"
+
+
+def _part_changes(spark, d):
+    p = T(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    k = F.col("p_partkey")
+    return p, p.where(k % 10 == 0).withColumn("p_brand", F.lit("Brand#0")).unionByName(p.where(k % 25 == 0).withColumn("p_partkey", k + 1000000))
+
+
+@query(f"WITH n AS ({_NEW}) SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM n) UNION ALL SELECT * FROM n")
+def upsert(spark, d):
+    return stores.upsert(*_part_changes(spark, d), "p_partkey")
+
+
+@query(f"WITH n AS ({_NEW}) SELECT p_partkey, p_brand, p_size FROM part UNION ALL SELECT * FROM n WHERE p_partkey NOT IN (SELECT p_partkey FROM part)")
+def insert_if_absent(spark, d):
+    return stores.insert_if_absent(*_part_changes(spark, d), "p_partkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_brand = 'Brand#12' THEN 99 ELSE p_size END AS p_size FROM part")
+def update_rows(spark, d):
+    return stores.update(T(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", "Brand#12", {"p_size": 99}).select("p_partkey", "p_size")
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand <> 'Brand#12'")
+def delete_rows(spark, d):
+    return stores.delete(T(spark, d, "part"), "p_brand", "Brand#12").select("p_partkey")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def last_wins(spark, d):
+    return stores.last_wins(T(spark, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id").select("user_id", "event_type")
+
+
+# the ledger -----------------------------------------------------------------------------------------
+
+_LOG = "SELECT (user_id % 3)::VARCHAR AS stage, (event_id % 400)::VARCHAR AS item, CASE event_type WHEN 'purchase' THEN 'skipped' WHEN 'error' THEN 'failed' ELSE 'done' END AS status, event_id AS moment FROM events"
+
+
+def _log(spark, d):
+    status = F.when(F.col("event_type") == "purchase", "skipped").when(F.col("event_type") == "error", "failed").otherwise("done")
+    return T(spark, d, "events").select((F.col("user_id") % 3).cast("string").alias("stage"), (F.col("event_id") % 400).cast("string").alias("item"), status.alias("status"), F.when(status == "failed", F.col("props")).alias("error"), F.col("event_id").alias("at"))
+
+
+@query(f"SELECT stage, item, arg_max(status, moment) AS status, max(moment) AS moment FROM ({_LOG}) GROUP BY 1, 2")
+def ledger_latest(spark, d):
+    return ledger.latest(_log(spark, d)).select("stage", "item", "status", F.col("at").alias("moment"))
+
+
+@query(f"WITH l AS (SELECT stage, item, arg_max(status, moment) AS s FROM ({_LOG}) GROUP BY 1, 2) SELECT stage, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'failed') AS failed FROM l GROUP BY 1")
+def ledger_counts(spark, d):
+    return ledger.counts(_log(spark, d))
+
+
+@query(f"""WITH l AS (SELECT stage, item, arg_max(status, moment) AS s FROM ({_LOG}) GROUP BY 1, 2) SELECT item FROM l WHERE stage = '0' AND s = 'done' AND item IN (SELECT item FROM l WHERE stage = '1' AND s = 'done')
+    AND item NOT IN (SELECT item FROM l WHERE stage = '2' AND s IN ('done', 'skipped'))""")
+def ledger_ready(spark, d):
+    return ledger.ready(_log(spark, d), ["0", "1"], "2")
+
+
+@query("""WITH u AS (SELECT s_suppkey, s_nationkey, sum(s_nationkey) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(s_nationkey) OVER () AS t FROM supplier),
+    c AS (SELECT i AS cycle, s_suppkey, s_nationkey, i * t + coalesce(b, 0) AS before FROM u, range(3) r(i)) SELECT cycle::INT AS cycle, s_suppkey, s_nationkey, least(s_nationkey, 1500 - before)::BIGINT AS taken FROM c WHERE before < 1500""")
+def until_target(spark, d):
+    return ledger.until_target(T(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ["s_suppkey"], "s_nationkey", 3, 1500).withColumn("taken", F.col("taken").cast("long"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    return ledger.event_windows(T(spark, d, "events"), "6 hours").withColumn("total", F.round("total", 4))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_counts(spark, d):
+    return T(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+# arrays through NumPy: no SQL; tests/ compares them with plain loops ------------------------------------
+
+
+@query()
+def gradient_score(spark, d):
+    e = T(spark, d, "embeddings")
+    return e.select("vec_id", *[F.round(tensors.gradient_score("embedding", 8, 8, k), 4).alias(f"score_k{k:02d}") for k in (3, 7)])
+
+
+@query()
+def ssim(spark, d):
+    e = T(spark, d, "embeddings").withColumn("turned", F.reverse("embedding"))
+    return e.select("vec_id", F.round(tensors.ssim("embedding", "turned", 8, 8), 6).alias("ssim"))
+
+
+@query()
+def convolution(spark, d):
+    kernel = np.outer([1, 2, 1], [1, 2, 1]) / 16.0
+    return T(spark, d, "embeddings").select("vec_id", tensors.convolved("embedding", kernel, 8, 8).alias("image"))
+
+
+@query()
+def least_squares(spark, d):
+    x = T(spark, d, "lineitem").withColumn("one", F.lit(1.0))
+    return tensors.masked_least_squares(x, ["l_returnflag"], ["one", "l_quantity", "l_discount"], "l_extendedprice")
