@@ -39,7 +39,7 @@ def unblocks(tiles: DataFrame, keys: list[str], height: int, width: int) -> Data
 def stacked(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Rows of a group as arrays of their columns, in order; for bounded groups."""
     g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("r_"))
-    return g.select(*keys, *[F.transform("r_", lambda r, c=c: r[c]).alias(c) for c in columns])
+    return g.select(*keys, *[F.expr(f"transform(r_, r -> r.`{c}`)").alias(c) for c in columns])
 
 
 def taken(df: DataFrame, columns: list[str], index: int) -> DataFrame:
