@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,7 +37,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: tokenizer's pattern never crosses the border of such a segment.
 SEGMENT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Segments that a worker remembers; characters of a slice.
-REMEMBERED, SLICE = 300_000, 4 << 20
+REMEMBERED, SLICE = 400_000, 6 << 20
+WALL, GONE = -1, -2  # ends a word; was merged into the symbol before
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -65,80 +67,78 @@ class MergeReplay:
         return rank
 
     def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        whole = [self.ranks.get(p) for p in pieces]
-        symbols: list[int] = []
-        starts: list[int] = []
-        for piece, known in zip(pieces, whole, strict=True):
-            starts.append(len(symbols))
-            if known is None:
-                symbols.extend(map(self.bytes.__getitem__, piece))
-                symbols.append(-1)  # a wall between words
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        out_of_order = self._replay(symbols, before, after)
-        result: list[tuple[int, ...]] = []
-        for k, piece in enumerate(pieces):
-            if whole[k] is not None:
-                result.append((whole[k],))
-            elif not piece:
-                result.append(())
-            else:
-                at, ids = starts[k], []
-                while symbols[at] >= 0:
-                    ids.append(symbols[at])
-                    at = after[at]
-                result.append(tuple(ids))
-        if out_of_order:
-            ends = starts[1:] + [len(symbols)]
-            for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
-                if any(a <= x < b for x in out_of_order):
-                    result[k] = self._one_by_one(pieces[k])
+        """The ids of each piece."""
+        result = [(r,) if (r := self.ranks.get(p)) is not None else () for p in pieces]
+        todo = [k for k, p in enumerate(pieces) if p and not result[k]]
+        if not todo:
+            return result
+        lengths = np.array([len(pieces[k]) for k in todo]) + 1  # each word ends with a wall
+        starts = np.cumsum(lengths) - lengths
+        symbols = np.asarray(self.bytes)[np.frombuffer(b"\0".join(pieces[k] for k in todo) + b"\0", np.uint8)]
+        symbols[starts + lengths - 1] = WALL
+        out_of_order = self._replay(symbols)
+        left = symbols != GONE
+        ids = symbols[left].tolist()
+        ends = (np.cumsum(left)[starts + lengths - 1] - 1).tolist()
+        lo = 0
+        for k, hi in zip(todo, ends, strict=True):
+            result[k] = tuple(ids[lo:hi])
+            lo = hi + 1
+        for w in np.unique(np.searchsorted(starts, out_of_order, side="right") - 1):
+            result[todo[w]] = self._one_by_one(pieces[todo[w]])
         return result
 
-    def _replay(self, symbols: list[int], before: list[int], after: list[int]) -> list[int]:
-        index: dict[int, list[int]] = {}
-        rank_of = self.rank_of
-        for at in range(len(symbols) - 1):
-            if symbols[at] >= 0 and symbols[at + 1] >= 0 and (rank := rank_of(symbols[at], symbols[at + 1])) >= 0:
-                index.setdefault(rank, []).append(at)
-        heap = list(index)
-        heapq.heapify(heap)
-        out_of_order = []
+    def _replay(self, symbols: np.ndarray) -> np.ndarray:
+        """Apply all merges to `symbols` in place, in rank order; places where a lower rank came up late."""
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        index: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+        heap: list[int] = []
+        late: list[np.ndarray] = []
+
+        def file(at: np.ndarray, left: np.ndarray, right: np.ndarray, now: int) -> None:
+            """Put pairs at `at` into the inverted index, under the ranks of their merges."""
+            keys = left << 32 | right
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
+            heads = np.flatnonzero(np.diff(keys, prepend=-1))
+            for lo, hi, key in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], keys[heads].tolist(), strict=True):
+                a, b = key >> 32, key & 0xFFFFFFFF
+                rank = self.rank_of(a, b)
+                if rank < 0:
+                    continue
+                if rank < now:
+                    late.append(at[lo:hi])
+                elif rank in index:
+                    index[rank].append((at[lo:hi], a, b))
+                else:
+                    index[rank] = [(at[lo:hi], a, b)]
+                    heapq.heappush(heap, rank)
+
+        at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+        file(at, symbols[at], symbols[at + 1], -1)
         while heap:
             rank = heapq.heappop(heap)
-            places = index.pop(rank)
-            places.sort()
-            for at in places:
-                left = symbols[at]
-                if left < 0:
-                    continue
-                right_at = after[at]
-                right = symbols[right_at]
-                if right < 0 or rank_of(left, right) != rank:
-                    continue
-                symbols[at] = rank
-                symbols[right_at] = -2  # gone
-                beyond = after[right_at]
-                after[at] = beyond
-                before[beyond] = at
-                if symbols[beyond] >= 0 and (new := rank_of(rank, symbols[beyond])) >= 0:
-                    if new < rank:
-                        out_of_order.append(at)
-                    elif new in index:
-                        index[new].append(at)
-                    else:
-                        index[new] = [at]
-                        heapq.heappush(heap, new)
-                ahead = before[at]
-                if ahead >= 0 and symbols[ahead] >= 0 and (new := rank_of(symbols[ahead], rank)) >= 0:
-                    if new < rank:
-                        out_of_order.append(ahead)
-                    elif new in index:
-                        index[new].append(ahead)
-                    else:
-                        index[new] = [ahead]
-                        heapq.heappush(heap, new)
-        return out_of_order
+            found = [p[(symbols[p] == a) & (symbols[after[p]] == b)] for p, a, b in index.pop(rank)]
+            at = np.unique(np.concatenate(found))  # neighbours that merged at once filed their pair twice
+            if not len(at):
+                continue
+            if len(at) > 1:  # of places that overlap, every second one from the left
+                follows = np.concatenate([[False], at[1:] == after[at[:-1]]])
+                if follows.any():
+                    k = np.arange(len(at))
+                    at = at[(k - np.maximum.accumulate(np.where(follows, 0, k))) % 2 == 0]
+            gone = after[at]
+            beyond = after[gone]
+            symbols[at], symbols[gone] = rank, GONE
+            after[at], before[beyond] = beyond, at
+            ahead = before[at]
+            x = symbols[ahead]  # at a first place this reads the last wall
+            y = symbols[beyond]
+            fore = (ahead >= 0) & (x >= 0)
+            aft = y >= 0
+            file(np.concatenate([ahead[fore], at[aft]]), np.concatenate([x[fore], np.full(aft.sum(), rank)]), np.concatenate([np.full(fore.sum(), rank), y[aft]]), rank)
+        return np.concatenate(late) if late else np.zeros(0, np.int64)
 
     def _one_by_one(self, piece: bytes) -> tuple[int, ...]:
         ids = [self.bytes[b] for b in piece]
