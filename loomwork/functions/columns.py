@@ -224,7 +224,7 @@ def coerce_cell(token: ColumnLike) -> Column:
     t = F.trim(_c(token))
     integer, real = t.rlike(r"^[+-]?\d+$"), F.expr("CAST(NULL AS DOUBLE)")
     real = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
-    kind = F.when(t == "-", "null").when(F.upper(t) == "INF", "inf").when(integer, "int").when(real.isNotNull(), "double").otherwise("string")
+    kind = F.when(t.isNull() | (t == "-"), "null").when(F.upper(t) == "INF", "inf").when(integer, "int").when(real.isNotNull(), "double").otherwise("string")
     return F.struct(kind.alias("kind"), F.when(F.upper(t) == "INF", float("inf")).otherwise(real).alias("number"))
 
 

@@ -12,14 +12,19 @@ from loomwork.operators.lookup import predicate
 # tables -----------------------------------------------------------------------------------------
 
 
+def _only_if_none(df: DataFrame, bad: DataFrame, message: str) -> DataFrame:
+    """`df`, or an error when it is evaluated if `bad` has rows."""
+    okay = bad.agg(F.coalesce(F.when(F.count("*") > 0, F.raise_error(F.lit(message)).cast("boolean")), F.lit(True)).alias("okay_"))
+    return df.join(F.broadcast(okay)).where("okay_").drop("okay_")  # one row
+
+
 def insert(df: DataFrame, rows: DataFrame, key: str | None = None) -> DataFrame:
     """Append rows; a key that is there already, or twice among the rows, raises when the result is evaluated."""
     rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in df.schema])
     if key is None:
         return df.unionByName(rows)
     clash = rows.select(key).unionByName(df.join(rows.select(key), key, "left_semi").select(key)).groupBy(key).count().where("count > 1")
-    check = clash.agg(F.when(F.count("*") > 0, F.raise_error(F.lit("duplicate key"))).alias("clash_"))
-    return df.unionByName(rows.join(F.broadcast(check)).drop("clash_"))  # one row
+    return df.unionByName(_only_if_none(rows, clash, "duplicate key"))
 
 
 def insert_if_absent(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -145,8 +150,7 @@ def discard(df: DataFrame, values: DataFrame) -> DataFrame:
 
 def remove(df: DataFrame, values: DataFrame) -> DataFrame:
     """Like discard, but a value that isn't there raises when the result is evaluated."""
-    missing = values.join(df, df.columns, "left_anti").agg(F.when(F.count("*") > 0, F.raise_error(F.lit("no such value"))).alias("missing_"))
-    return discard(df, values).join(F.broadcast(missing)).drop("missing_")  # one row
+    return _only_if_none(discard(df, values), values.join(df, df.columns, "left_anti"), "no such value")
 
 
 # text sinks -------------------------------------------------------------------------------------------
