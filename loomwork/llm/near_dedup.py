@@ -4,14 +4,16 @@
    a 128-bit fingerprint of the whole set, and a MinHash signature. Documents with equal sets form a
    class; from here on only classes are compared, so exact copies cost one row each and no pairs.
 2. Signatures are banded. A band that two or more classes share is a bucket.
-3. Rounds: in each bucket one member, another one in each round, is the pivot, and every member of
-   another component is paired with it. A pair's signatures are compared in batches, and the pair is
-   pruned as soon as the posterior chance of a similarity of at least the threshold falls below the
-   chosen miss probability. Survivors are verified exactly on their full sets. Components are joined
-   after each round, so a large group of near copies falls together through a few pivots in a number
-   of pairs that is linear in its size.
-4. The last round pairs, in each bucket, all members of different components. What the pivots have
-   joined makes no pairs any more, so no link between components is lost and no group is squared.
+3. Rounds: each bucket has up to PIVOTS pivots, the first members in the order of a hash, so buckets
+   of one group choose the same ones. In a round, members are paired with one pivot of their bucket
+   if it is in another component. A pair's signatures are compared in batches, and the pair is pruned
+   as soon as the posterior chance of a similarity of at least the threshold falls below the chosen
+   miss probability. Survivors are verified exactly on their full sets, and components are joined. A
+   large group of near copies falls together in a number of pairs that is linear in its size.
+4. What is left are classes in buckets of which another component is the largest. Each is a stray of
+   that component and is compared with all its members and with its other strays, so no link between
+   components is lost. Strays and members meet in blocks of bounded size, where signatures prune and
+   sets verify as before; only links leave a block, and two members of one component never meet.
 
 Edge cases: a text with fewer than 5 words is one shingle of all its words; without words (or null)
 its set is empty and it is linked with nothing; equal sets are linked; rows repeated with one doc_id
@@ -21,7 +23,6 @@ get the same result each; an empty table gives none; further columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ WORDS, THRESHOLD = 5, 75  # words of a shingle; similarity in percent
 BANDS, ROWS = 32, 4  # a pair at the threshold shares no band with a chance of 5e-6
 BATCH = 32  # hashes that are compared before the next decision
 MISS = 1e-9  # chance to prune a pair at the threshold or above
-ROUNDS = 3  # rounds of pivots before the complete one
+PIVOTS = 3  # pivots of a bucket
+BLOCK = 128  # classes of a block
 
 _N = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(6))
@@ -190,64 +192,116 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.select("cls", "set").dropDuplicates(["cls"])
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """cls and comp, the smallest label that a node reaches, of nodes (cls, comp) and edges (a, b).
+def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """cls, comp, n with the smallest label that a class reaches over the links (a, b).
 
-    Smallest labels pass along the edges and then jump (a label takes its own label), so the number
-    of rounds grows with the logarithm of a chain's length.
+    Smallest labels pass along the links, and then all classes of one label take the best that any of
+    them was offered, so whole components move at once and few rounds are needed.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.distinct(), "near-edges")
-    labels = nodes
+    if links.isEmpty():
+        return labels
+    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     while True:
-        near = both.join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("m")), "b").groupBy(F.col("a").alias("cls")).agg(F.min("m").alias("m"))
-        moved = labels.join(near, "cls", "left").select("cls", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("up"))
-        # what a label's own label has become: a group's best offer reaches all its members at once
-        offers = moved.groupBy(F.col("old").alias("up_old")).agg(F.min("up").alias("best"))
-        jumped = moved.join(offers, F.col("old") == F.col("up_old")).select("cls", "old", F.least("up", "best").alias("comp"))
-        jumped = written(jumped, "near-labels")
-        labels = jumped.select("cls", "comp")
-        if jumped.where("old <> comp").isEmpty():
-            return labels
-
-
-def _pairs_with_pivot(members: DataFrame, turn: int) -> DataFrame:
-    """Each bucket's members with the pivot of this turn, where the components differ."""
-    pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp", "n")).alias("p"), F.count_distinct("comp").alias("parts")).where("parts > 1")
-    pivot = pivot.select(F.col("key").alias("k"), F.col("p.cls").alias("q"), F.col("p.comp").alias("q_comp"), F.col("p.n").alias("q_n"))
-    return members.join(pivot, F.col("key") == F.col("k")).where("comp <> q_comp")
-
-
-def _pairs_across(members: DataFrame) -> DataFrame:
-    """All pairs of one bucket and different components."""
-    open_ = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(F.col("key").alias("k"))
-    left = members.join(open_, F.col("key") == F.col("k"), "left_semi")
-    right = left.select(F.col("key").alias("k"), F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"))
-    return left.join(right, (F.col("key") == F.col("k")) & (F.col("comp") < F.col("q_comp")))
-
-
-def near_groups(docs: DataFrame) -> DataFrame:
+        near = both.join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("m")), "b").groupBy(F.col("a").alias("c")).agg(F.min("m").alias("m"))
+        moved = labels.join(near, F.col("cls") == F.col("c"), "left").select("cls", "n", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("up"))
+        offers = moved.where("up < old").groupBy(F.col("old").alias("o")).agg(F.min("up").alias("best"))
+        labels = written(moved.join(offers, F.col("old") == F.col("o"), "left").select("cls", F.coalesce("best", "old").alias("comp"), "n", F.col("best").isNotNull().alias("new")), "near-labels")
+        if labels.where("new").isEmpty():
+            return labels.drop("new")
+        labels = labels.drop("new")
+
+
+def with_pivots(bucket: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """key, cls, size and p0, p1 ... (the bucket's pivots, null beyond its members)."""
+    d = bucket.withColumn("o", F.struct(F.xxhash64("cls").alias("h"), "cls"))
+    found = d.groupBy("key").agg(F.count("*").alias("size"), F.min("o").alias("p0"))
+    for k in range(1, pivots):
+        more = d.join(found.select(F.col("key").alias("k"), F.col(f"p{k - 1}").alias("last")), F.col("key") == F.col("k")).where("o > last")
+        more = more.groupBy(F.col("key").alias("k")).agg(F.min("o").alias(f"p{k}"))
+        found = found.join(more, F.col("key") == F.col("k"), "left").drop("k")
+    found = found.select(F.col("key").alias("k"), "size", *[F.col(f"p{k}.cls").alias(f"p{k}") for k in range(pivots)])
+    return bucket.join(found, F.col("key") == F.col("k")).drop("k")
+
+
+def _pairs_with_pivot(members: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b of members and the k-th pivots of their buckets, where components differ and sizes allow a link."""
+    pairs = members.select("cls", F.col(f"p{k}").alias("q")).where("q IS NOT NULL AND cls <> q").distinct()
+    own = labels.select("cls", "comp", "n")
+    other = labels.select(F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"))
+    pairs = pairs.join(own, "cls").join(other, "q").where(f"comp <> q_comp AND 100 * least(n, q_n) >= {percent} * greatest(n, q_n)")
+    return pairs.select(F.least("cls", "q").alias("a"), F.greatest("cls", "q").alias("b")).distinct()
+
+
+def strays(members: DataFrame, labels: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """main, cls: classes that share a bucket with a component larger than their own (of equals the smaller label).
+
+    Buckets of up to pivots + 1 members are left out: every pair in them has met in the rounds.
+    """
+    sizes = labels.groupBy("comp").agg(F.count("*").alias("c_size"))
+    m = members.where(F.col("size") > pivots + 1).select("key", "cls").join(labels.select("cls", "comp"), "cls").join(sizes, "comp")
+    main = m.groupBy("key").agg(F.max(F.struct("c_size", (-F.col("comp")).alias("c"))).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    main = main.select(F.col("key").alias("k"), (-F.col("m.c")).alias("main"))
+    return m.join(main, F.col("key") == F.col("k")).where("comp <> main").select("main", "cls").distinct()
+
+
+def block_links(stray: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """a, b: links of strays with members of their main components and with its other strays."""
+    steps = list(range(BATCH, _N + 1, BATCH))
+    least = [fewest_matches(n, percent / 100, miss) for n in steps]
+    body = nodes.select("cls", "sig").join(sets, "cls").join(labels.select("cls", "comp"), "cls")
+    sizes = stray.groupBy("main").agg(F.count("*").alias("s")).join(labels.groupBy(F.col("comp").alias("main")).agg(F.count("*").alias("c")), "main")
+    sizes = sizes.select(F.col("main").alias("m"), F.ceil(F.col("s") / block).cast("int").alias("rows"), F.ceil((F.col("s") + F.col("c")) / block).cast("int").alias("cols"))
+    marked = stray.withColumn("stray", F.lit(True)).unionByName(labels.join(sizes.select(F.col("m").alias("main")), F.col("comp") == F.col("main"), "left_semi").select(F.col("comp").alias("main"), "cls", F.lit(False).alias("stray")))
+    d = marked.join(sizes, F.col("main") == F.col("m"))
+    place = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
+    as_col = d.select("main", "cls", F.lit(False).alias("row"), F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place("cols", 2).alias("j"))
+    as_row = d.where("stray").select("main", "cls", F.lit(True).alias("row"), place("rows", 1).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"))
+    d = as_col.unionByName(as_row).join(body, "cls")
+
+    def run(table: pa.Table) -> pa.Table:
+        row = table.column("row").to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, _N)
+        cls, comp = np.array(table.column("cls").to_pylist(), dtype=object), table.column("comp").to_numpy()
+        full = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
+        size = np.array([len(x) for x in full])
+        r, c = np.flatnonzero(row), np.flatnonzero(~row)
+        x, y = np.nonzero((comp[r][:, None] != comp[c][None, :]) & (100 * np.minimum(size[r][:, None], size[c][None, :]) >= percent * np.maximum(size[r][:, None], size[c][None, :])))
+        x, y = r[x], c[y]
+        matches, lo = np.zeros(len(x), np.int64), 0
+        for hi, m in zip(steps, least, strict=True):
+            matches += (sig[x, lo:hi] == sig[y, lo:hi]).sum(axis=1)
+            go = matches >= m
+            x, y, matches, lo = x[go], y[go], matches[go], hi
+        keep = []
+        for k, (u, v) in enumerate(zip(x, y, strict=True)):
+            common = len(np.intersect1d(full[u], full[v], assume_unique=True))
+            if 100 * common >= percent * (size[u] + size[v] - common):
+                keep.append(k)
+        ends = [sorted((cls[x[k]], cls[y[k]])) for k in keep]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
+
+    return d.groupBy("main", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def near_groups(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     prints = written(fingerprints(docs), "near-prints")
     # one row of each class stands for it; which one does not matter, its set is the same
-    classes = prints.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("comp"), F.min("n_shingles").alias("n"))
+    classes = prints.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("comp"))
     one = prints.where("cls IS NOT NULL").join(classes.select(F.col("cls").alias("c"), "comp"), (F.col("cls") == F.col("c")) & (F.col("doc_id") == F.col("comp"))).dropDuplicates(["cls"])
     bucket = written(buckets(one.select("cls", "sig")), "near-buckets")
-    nodes = bucket.select("cls").distinct()
-    nodes = written(one.join(nodes, "cls", "left_semi").select("cls", F.col("doc_id").alias("comp"), F.col("n_shingles").alias("n"), "sig"), "near-nodes")
+    nodes = written(one.join(bucket.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("doc_id").alias("comp"), F.col("n_shingles").alias("n"), "sig"), "near-nodes")
     sets = written(class_sets(docs, nodes.select(F.col("comp").alias("doc_id"), "cls")), "near-sets")
+    members = written(with_pivots(bucket, pivots), "near-members")
     sigs = nodes.select("cls", "sig")
-    labels, found = nodes.select("cls", "comp"), []
-    for turn in range(ROUNDS + 1):
-        members = bucket.join(labels, "cls").join(nodes.select("cls", "n"), "cls")
-        pairs = _pairs_with_pivot(members, turn) if turn < ROUNDS else _pairs_across(members)
-        # sizes alone bound the similarity
-        pairs = pairs.where(f"100 * least(n, q_n) >= {THRESHOLD} * greatest(n, q_n)").select(F.least("cls", "q").alias("a"), F.greatest("cls", "q").alias("b")).distinct()
+    labels = nodes.select("cls", "comp", "n")
+    for k in range(pivots):
+        pairs = _pairs_with_pivot(members, labels, k, THRESHOLD)
         pairs = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
-        links = written(verified(pruned(pairs), sets), f"near-links{turn}")
-        found.append(links)
-        if not links.isEmpty():
-            labels = components(labels, reduce(DataFrame.unionByName, found))
+        links = written(verified(pruned(pairs), sets), f"near-links{k}")
+        labels = components(labels, links)
+    stray = written(strays(members, labels, pivots), "near-strays")
+    labels = components(labels, written(block_links(stray, labels, nodes, sets), "near-links"))
     joined = labels.select(F.col("cls").alias("l_cls"), F.col("comp").alias("l_comp"))
     known = classes.join(joined, F.col("cls") == F.col("l_cls"), "left").select(F.col("cls").alias("c"), F.coalesce("l_comp", "comp").alias("comp"))
     out = prints.join(known, F.col("cls") == F.col("c"), "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
