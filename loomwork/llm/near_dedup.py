@@ -5,15 +5,17 @@
    class; from here on only classes are compared, so exact copies cost one row each and no pairs.
 2. Signatures are banded. A band that two or more classes share is a bucket.
 3. Rounds: each bucket has up to PIVOTS pivots, the first members in the order of a hash, so buckets
-   of one group choose the same ones. In a round, members are paired with one pivot of their bucket
-   if it is in another component. A pair's signatures are compared in batches, and the pair is pruned
-   as soon as the posterior chance of a similarity of at least the threshold falls below the chosen
-   miss probability. Survivors are verified exactly on their full sets, and components are joined. A
-   large group of near copies falls together in a number of pairs that is linear in its size.
+   of one group choose the same ones. In a round, a pivot meets the members of its buckets that are
+   in other components, and components are joined. A large group of near copies falls together in a
+   number of pairs that is linear in its size.
 4. What is left are classes in buckets of which another component is the largest. Each is a stray of
-   that component and is compared with all its members and with its other strays, so no link between
-   components is lost. Strays and members meet in blocks of bounded size, where signatures prune and
-   sets verify as before; only links leave a block, and two members of one component never meet.
+   that component and meets all its members and its other strays, so no link between components is
+   lost, and two members of one component never meet.
+
+Rounds and strays meet in blocks of bounded size; only links leave a block. Inside, signatures are
+compared in batches of hashes, and a pair is pruned as soon as the posterior chance of a similarity
+of at least the threshold falls below the chosen miss probability. Survivors are verified exactly on
+their full sets.
 
 Edge cases: a text with fewer than 5 words is one shingle of all its words; without words (or null)
 its set is empty and it is linked with nothing; equal sets are linked; rows repeated with one doc_id
@@ -22,6 +24,7 @@ get the same result each; an empty table gives none; further columns are ignored
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,8 @@ from loomwork.llm.shared import written
 from loomwork.llm.text_arrays import LOWER, byte_slices, mix, ngram_hashes, word_hashes, word_spans
 
 WORDS, THRESHOLD = 5, 75  # words of a shingle; similarity in percent
-BANDS, ROWS = 32, 4  # a pair at the threshold shares no band with a chance of 5e-6
-BATCH = 32  # hashes that are compared before the next decision
+BANDS, ROWS = 48, 5  # a pair at the threshold shares no band with a chance of 2e-6
+BATCH = 40  # hashes that are compared before the next decision
 MISS = 1e-9  # chance to prune a pair at the threshold or above
 PIVOTS = 3  # pivots of a bucket
 BLOCK = 128  # classes of a block
@@ -125,6 +128,7 @@ def buckets(classes: DataFrame) -> DataFrame:
     return bands.join(shared, F.col("key") == F.col("k"), "left_semi")
 
 
+@functools.cache
 def fewest_matches(n: int, threshold: float = THRESHOLD / 100, miss: float = MISS) -> int:
     """The fewest matches of `n` hashes with which P(similarity >= threshold) is at least `miss`.
 
@@ -139,43 +143,38 @@ def fewest_matches(n: int, threshold: float = THRESHOLD / 100, miss: float = MIS
     return n
 
 
-def pruned(pairs: DataFrame, threshold: float = THRESHOLD / 100, miss: float = MISS, batch_size: int = BATCH) -> DataFrame:
-    """The pairs (a, b, sig_a, sig_b) that no batch of hashes rules out, as a, b."""
-    steps = list(range(batch_size, _N + 1, batch_size))
-    least = [fewest_matches(n, threshold, miss) for n in steps]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, _N)
-            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).reshape(-1, _N)
-            left, matches, lo = np.arange(len(x)), np.zeros(len(x), np.int64), 0
-            for hi, m in zip(steps, least, strict=True):
-                matches[left] += (x[left, lo:hi] == y[left, lo:hi]).sum(axis=1)
-                left, lo = left[matches[left] >= m], hi
-            keep = pa.array(left)
-            yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
-
+def compared(blocks: DataFrame, body: DataFrame, percent: int = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """a, b: the links between the rows and the columns of blocks (main, i, j, cls, comp, row).
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    `body` has cls, sig and set. In a block, pairs of one component and pairs whose sizes rule a link
+    out are left aside, signatures prune batch by batch, and full sets verify the survivors.
+    """
+    steps = list(range(BATCH, _N + 1, BATCH))
+    least = [fewest_matches(n, percent / 100, miss) for n in steps]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(k)
-            keep = pa.array(keep, pa.int64())
-            yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        row = table.column("row").to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, _N)
+        cls, comp = table.column("cls").to_pylist(), table.column("comp").to_numpy()
+        full = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
+        size = np.array([len(x) for x in full])
+        r, c = np.flatnonzero(row), np.flatnonzero(~row)
+        own, other = size[r][:, None], size[c][None, :]
+        x, y = np.nonzero((comp[r][:, None] != comp[c][None, :]) & (100 * np.minimum(own, other) >= percent * np.maximum(own, other)))
+        x, y = r[x], c[y]
+        matches, lo = np.zeros(len(x), np.int64), 0
+        for hi, m in zip(steps, least, strict=True):
+            matches += (sig[x, lo:hi] == sig[y, lo:hi]).sum(axis=1)
+            go = matches >= m
+            x, y, matches, lo = x[go], y[go], matches[go], hi
+        ends = []
+        for u, v in zip(x.tolist(), y.tolist(), strict=True):
+            common = len(np.intersect1d(full[u], full[v], assume_unique=True))
+            if 100 * common >= percent * (size[u] + size[v] - common):
+                ends.append(sorted((cls[u], cls[v])))
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
 
-    p = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-    return p.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return blocks.join(body, "cls").groupBy("main", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -223,13 +222,15 @@ def with_pivots(bucket: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     return bucket.join(found, F.col("key") == F.col("k")).drop("k")
 
 
-def _pairs_with_pivot(members: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b of members and the k-th pivots of their buckets, where components differ and sizes allow a link."""
+def pivot_blocks(members: DataFrame, labels: DataFrame, k: int, percent: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Blocks of one row, the k-th pivot of a bucket, and members of its buckets in other components."""
     pairs = members.select("cls", F.col(f"p{k}").alias("q")).where("q IS NOT NULL AND cls <> q").distinct()
-    own = labels.select("cls", "comp", "n")
     other = labels.select(F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"))
-    pairs = pairs.join(own, "cls").join(other, "q").where(f"comp <> q_comp AND 100 * least(n, q_n) >= {percent} * greatest(n, q_n)")
-    return pairs.select(F.least("cls", "q").alias("a"), F.greatest("cls", "q").alias("b")).distinct()
+    pairs = pairs.join(labels, "cls").join(other, "q").where(f"comp <> q_comp AND 100 * least(n, q_n) >= {percent} * greatest(n, q_n)")
+    pivots = pairs.groupBy("q", "q_comp").agg(F.ceil(F.count("*") / block).cast("int").alias("cols"))
+    cols = pairs.join(pivots.select("q", "cols"), "q").select(F.col("q").alias("main"), F.lit(0).alias("i"), F.pmod(F.xxhash64("cls"), F.col("cols")).cast("int").alias("j"), "cls", "comp", F.lit(False).alias("row"))
+    rows = pivots.select(F.col("q").alias("main"), F.lit(0).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), F.col("q").alias("cls"), F.col("q_comp").alias("comp"), F.lit(True).alias("row"))
+    return cols.unionByName(rows)
 
 
 def strays(members: DataFrame, labels: DataFrame, pivots: int = PIVOTS) -> DataFrame:
@@ -244,43 +245,17 @@ def strays(members: DataFrame, labels: DataFrame, pivots: int = PIVOTS) -> DataF
     return m.join(main, F.col("key") == F.col("k")).where("comp <> main").select("main", "cls").distinct()
 
 
-def block_links(stray: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """a, b: links of strays with members of their main components and with its other strays."""
-    steps = list(range(BATCH, _N + 1, BATCH))
-    least = [fewest_matches(n, percent / 100, miss) for n in steps]
-    body = nodes.select("cls", "sig").join(sets, "cls").join(labels.select("cls", "comp"), "cls")
+def stray_blocks(stray: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of strays (rows) and of their main component's members with all its strays (columns)."""
     sizes = stray.groupBy("main").agg(F.count("*").alias("s")).join(labels.groupBy(F.col("comp").alias("main")).agg(F.count("*").alias("c")), "main")
     sizes = sizes.select(F.col("main").alias("m"), F.ceil(F.col("s") / block).cast("int").alias("rows"), F.ceil((F.col("s") + F.col("c")) / block).cast("int").alias("cols"))
-    marked = stray.withColumn("stray", F.lit(True)).unionByName(labels.join(sizes.select(F.col("m").alias("main")), F.col("comp") == F.col("main"), "left_semi").select(F.col("comp").alias("main"), "cls", F.lit(False).alias("stray")))
-    d = marked.join(sizes, F.col("main") == F.col("m"))
+    own = stray.join(labels.select("cls", "comp"), "cls").select("main", "cls", "comp", F.lit(True).alias("stray"))
+    body = labels.select(F.col("comp").alias("main"), "cls", "comp", F.lit(False).alias("stray"))
+    d = own.unionByName(body).join(sizes, F.col("main") == F.col("m"))
     place = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
-    as_col = d.select("main", "cls", F.lit(False).alias("row"), F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place("cols", 2).alias("j"))
-    as_row = d.where("stray").select("main", "cls", F.lit(True).alias("row"), place("rows", 1).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"))
-    d = as_col.unionByName(as_row).join(body, "cls")
-
-    def run(table: pa.Table) -> pa.Table:
-        row = table.column("row").to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, _N)
-        cls, comp = np.array(table.column("cls").to_pylist(), dtype=object), table.column("comp").to_numpy()
-        full = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
-        size = np.array([len(x) for x in full])
-        r, c = np.flatnonzero(row), np.flatnonzero(~row)
-        x, y = np.nonzero((comp[r][:, None] != comp[c][None, :]) & (100 * np.minimum(size[r][:, None], size[c][None, :]) >= percent * np.maximum(size[r][:, None], size[c][None, :])))
-        x, y = r[x], c[y]
-        matches, lo = np.zeros(len(x), np.int64), 0
-        for hi, m in zip(steps, least, strict=True):
-            matches += (sig[x, lo:hi] == sig[y, lo:hi]).sum(axis=1)
-            go = matches >= m
-            x, y, matches, lo = x[go], y[go], matches[go], hi
-        keep = []
-        for k, (u, v) in enumerate(zip(x, y, strict=True)):
-            common = len(np.intersect1d(full[u], full[v], assume_unique=True))
-            if 100 * common >= percent * (size[u] + size[v] - common):
-                keep.append(k)
-        ends = [sorted((cls[x[k]], cls[y[k]])) for k in keep]
-        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
-
-    return d.groupBy("main", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    cols = d.select("main", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place("cols", 2).alias("j"), "cls", "comp", F.lit(False).alias("row"))
+    rows = d.where("stray").select("main", place("rows", 1).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), "cls", "comp", F.lit(True).alias("row"))
+    return cols.unionByName(rows)
 
 
 def near_groups(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
@@ -291,17 +266,14 @@ def near_groups(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     one = prints.where("cls IS NOT NULL").join(classes.select(F.col("cls").alias("c"), "comp"), (F.col("cls") == F.col("c")) & (F.col("doc_id") == F.col("comp"))).dropDuplicates(["cls"])
     bucket = written(buckets(one.select("cls", "sig")), "near-buckets")
     nodes = written(one.join(bucket.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("doc_id").alias("comp"), F.col("n_shingles").alias("n"), "sig"), "near-nodes")
-    sets = written(class_sets(docs, nodes.select(F.col("comp").alias("doc_id"), "cls")), "near-sets")
+    sets = class_sets(docs, nodes.select(F.col("comp").alias("doc_id"), "cls"))
     members = written(with_pivots(bucket, pivots), "near-members")
-    sigs = nodes.select("cls", "sig")
+    body = written(nodes.select("cls", "sig").join(sets, "cls"), "near-body")
     labels = nodes.select("cls", "comp", "n")
     for k in range(pivots):
-        pairs = _pairs_with_pivot(members, labels, k, THRESHOLD)
-        pairs = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
-        links = written(verified(pruned(pairs), sets), f"near-links{k}")
-        labels = components(labels, links)
+        labels = components(labels, written(compared(pivot_blocks(members, labels, k), body), f"near-links{k}"))
     stray = written(strays(members, labels, pivots), "near-strays")
-    labels = components(labels, written(block_links(stray, labels, nodes, sets), "near-links"))
+    labels = components(labels, written(compared(stray_blocks(stray, labels), body), "near-links"))
     joined = labels.select(F.col("cls").alias("l_cls"), F.col("comp").alias("l_comp"))
     known = classes.join(joined, F.col("cls") == F.col("l_cls"), "left").select(F.col("cls").alias("c"), F.coalesce("l_comp", "comp").alias("comp"))
     out = prints.join(known, F.col("cls") == F.col("c"), "left").withColumn("component_id", F.coalesce("comp", "doc_id"))

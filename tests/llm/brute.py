@@ -97,6 +97,17 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def within(a, b, edits):
+    """Whether the distance is at most `edits`, by trying each edit at the first difference."""
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    if not a or not b or not edits:
+        return len(a) + len(b) <= edits
+    return within(a[1:], b, edits - 1) or within(a, b[1:], edits - 1) or within(a[1:], b[1:], edits - 1)
+
+
 def lines(rows, edits=2, min_chars=24):
     own = [[(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for _, t in rows]
     first = {}
@@ -107,7 +118,7 @@ def lines(rows, edits=2, min_chars=24):
     n_links, late = collections.Counter(), set()
     for p, x in enumerate(long):
         for y in long[:p]:
-            if abs(len(x) - len(y)) <= edits and edit_distance(x, y) <= edits:
+            if abs(len(x) - len(y)) <= edits and within(x, y, edits):
                 n_links[x] += 1
                 n_links[y] += 1
                 late.add(max(x, y, key=first.get))
