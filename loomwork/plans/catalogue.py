@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import columns as C
+from loomwork.functions import sampling
 from loomwork.operators import arrays, joins, lookup, rank, sequences, stats, stores, tensors
+from loomwork.plans import outputs
 from loomwork.sources import files
 from loomwork.streaming import ledger
 
@@ -599,6 +601,66 @@ def rollup_counts(spark, d):
     return T(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+# sampling -------------------------------------------------------------------------------------------
+
+
+def _u(*parts: str) -> str:
+    """SQL for a uniform of the keys."""
+    return "(('0x' || substr(sha256(concat_ws('/', " + ", ".join(parts) + ")), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(f"SELECT y, x, k, round((y + {_u('4', chr(39) + 'v' + chr(39), 'y', 'x', 'k')}) / 6, 10) AS v, round((x + {_u('4', chr(39) + 'u' + chr(39), 'y', 'x', 'k')}) / 5, 10) AS u FROM range(6) a(y), range(5) b(x), range(2) c(k)")
+def stratified_samples(spark, d):
+    return sampling.stratified(spark, 4, 6, 5, 2).select("y", "x", "k", F.round("v", 10).alias("v"), F.round("u", 10).alias("u"))
+
+
+@query(f"SELECT p_partkey, round(sqrt({_u('1', 'p_partkey')}) * cos(2 * pi() * {_u('2', 'p_partkey')}), 9) AS x, round(sqrt({_u('1', 'p_partkey')}) * sin(2 * pi() * {_u('2', 'p_partkey')}), 9) AS y FROM part")
+def disk_points(spark, d):
+    p = sampling.disk_point(C.uniform(F.lit(1), "p_partkey"), C.uniform(F.lit(2), "p_partkey"))
+    return T(spark, d, "part").select("p_partkey", F.round(p["x"], 9).alias("x"), F.round(p["y"], 9).alias("y"))
+
+
+@query(f"""SELECT c_custkey, CASE WHEN u * 10 < 1 THEN 0 WHEN u * 10 < 3 THEN 1 WHEN u * 10 < 6 THEN 2 ELSE 3 END AS pick FROM (SELECT c_custkey, {_u('7', 'c_custkey')} AS u FROM customer)""")
+def weighted_choice(spark, d):
+    w = F.array(*[F.lit(float(k)) for k in (1, 2, 3, 4)])
+    return T(spark, d, "customer").select("c_custkey", sampling.weighted_choice(w, C.uniform(F.lit(7), "c_custkey")).alias("pick"))
+
+
+@query(f"SELECT p_partkey, floor({_u('8', 'p_partkey', chr(39) + 'top' + chr(39))} * (p_size + 16 - 16 + 1))::INT AS top, floor({_u('8', 'p_partkey', chr(39) + 'left' + chr(39))} * (32 - 16 + 1))::INT AS \"left\", {_u('8', 'p_partkey', chr(39) + 'hflip' + chr(39))} < 0.5 AS hflip FROM part")
+def crop_windows(spark, d):
+    w, a = sampling.crop_window(F.col("p_size") + 16, F.lit(32), 16, F.lit(8), "p_partkey"), sampling.augmentation(F.lit(8), "p_partkey")
+    return T(spark, d, "part").select("p_partkey", w["top"].alias("top"), w["left"].alias("left"), a["hflip"].alias("hflip"))
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_quantity > 30 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY (l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) <= 3")
+def rejection_sample(spark, d):
+    c = T(spark, d, "lineitem").withColumn("o", F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"))
+    return sampling.rejected(c, ["l_partkey"], "o", F.col("l_quantity") > 30, 3).select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+# outputs --------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def stale_files(spark, d):
+    expected = T(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page_id"))
+    return outputs.stale_files(T(spark, d, "pages").select("page_id"), expected, "page_id")
+
+
+@query("SELECT p_brand FROM (SELECT DISTINCT p_brand FROM part) QUALIFY row_number() OVER (ORDER BY p_brand DESC) > 3")
+def versions_to_drop(spark, d):
+    return outputs.versions_to_drop(T(spark, d, "part").select("p_brand").distinct(), "p_brand", 3)
+
+
+@query("""WITH j AS (SELECT n_nationkey, s_suppkey, s_acctbal FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000),
+    g AS (SELECT n_nationkey, count(s_suppkey) AS n, count(*) FILTER (s_acctbal >= 9000) AS r, arg_max(s_suppkey, (s_acctbal, -s_suppkey)) AS pick FROM j GROUP BY 1)
+    SELECT n_nationkey, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'unique' WHEN r = 1 THEN 'resolved' ELSE 'uncertain' END AS outcome, coalesce(pick, -1) AS pick FROM g""")
+def resolved_pairs(spark, d):
+    c = T(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_acctbal")
+    r = outputs.resolved_pairs(T(spark, d, "nation").select("n_nationkey"), c, "n_nationkey", "n_nationkey", "s_suppkey", "s_acctbal", 9000)
+    return r.withColumn("pick", F.coalesce("pick", F.lit(-1)))
+
+
 # arrays through NumPy: no SQL; tests/ compares them with plain loops ------------------------------------
 
 
