@@ -273,3 +273,19 @@ def test_topological(spark):
     assert joins.topological_levels([("b", "a"), ("c", "b")], ["c", "b", "a"]) == ["a", "b", "c"]
     with pytest.raises(ValueError, match="cycle"):
         joins.topological_levels([("a", "b"), ("b", "a")], ["a", "b"])
+
+
+def test_prescription(spark):
+    from loomwork.sources import prescriptions
+
+    text = "UNIT MM X\nSURF 0\n  TYPE STANDARD\n  DISZ INFINITY\nSURF 1\n  STOP\n  TYPE EVENASPH\n  CURV 0.02 0 0\n  DISZ 4.5\n  GLAS BK7 0 0\n  DIAM 8 1\n  CONI -1\n  PARM 2 1e-5\n  PARM 4 2e-9\nSURF 2\n  GLAS ___BLANK 1 0 1.6 50\n"
+    s = files.stanza_lines(spark.createDataFrame([(1, text)], "doc int, text string"), "doc", "text")
+    glass = spark.createDataFrame([("BK7", 1.5168, 64.17)], "name string, nd double, vd double")
+    rows = {r.i: r for r in prescriptions.surfaces(s, "doc", glass).collect()}
+    assert (rows[0].SHAPE, rows[0].D, rows[0].R) == ("FLAT", float("inf"), None)
+    assert (rows[1].STOP, rows[1].SHAPE, rows[1].R, rows[1].Nd, rows[1].APERSEMI) == ("X", "ASPH", 50.0, 1.5168, 8.0)
+    assert (rows[2].Nd, rows[2].Vd) == (1.6, 50.0)
+    a = prescriptions.aspheric(s, "doc").collect()
+    assert len(a) == 1 and (a[0].i, a[0].K, a[0].A4, a[0].A6, a[0].A8) == (1, -1.0, 1e-5, 0.0, 2e-9)
+    with pytest.raises(Exception, match="unknown glass: BK7"):
+        prescriptions.surfaces(s, "doc", glass.limit(0)).collect()
