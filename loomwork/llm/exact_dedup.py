@@ -11,8 +11,9 @@ Texts are equal when they are identical after every run of white space became on
    its copies, however many, and one that was turned away is turned away each time in this level, so
    every group is resolved in exactly one place.
 
-Edge cases: a null text equals an empty one; of rows with equal text and equal doc_id one stays; a
-table without rows gives none; further columns of the input are ignored.
+Edge cases: a null text equals an empty one; rows repeated with one doc_id and text are all marked
+kept if the doc_id is the group's smallest (`drop_copies` leaves one of them); a table without rows
+gives none; further columns of the input are ignored.
 """
 
 from __future__ import annotations
