@@ -1,21 +1,20 @@
 """Operator 5: language-model scores from a log-frequency Bloom filter.
 
-Counting. Tokens are words (A-Z lower-cased) and one end for each text. Counts of the training rows
-are partial sums of each task, then sums by fingerprint. An n-gram is frequent when its count is at
-least FLOOR of all tokens; so there are at most 1 / FLOOR frequent n-grams of each order at every
-size of the input, which bounds what is broadcast. Longer n-grams are counted only where both their
-shorter parts are frequent, as no other can be.
-
-Model. A frequent n-gram with a count in [least * RATIO**(j - 1), least * RATIO**j) is put into the
-filter j times, as (n-gram, 1) to (n-gram, j). A query probes level 1, 2, ... until the first miss,
-and the last hit gives the quantised count: the lower end of its level, and the upper end for a
-history, so that probabilities never sum to more than 1. Orders are mixed: with a known history,
-p(w | history) = MIX * count(history, w) / count(history) + (1 - MIX) * p(w | shorter history), and
-p(w) = (count(w) + 1) / (all tokens + different tokens + 1), where the count of a word that isn't
-frequent comes from the table of counts by a join on the word.
-
-The words that are not frequent are joined with that table: the common words, which would be hot
-keys, never enter the shuffle.
+Counting. Tokens are words (A-Z lower-cased) and one end for each text. Documents are taken in slices
+of bounded bytes, and a slice asks for each of its different n-grams once. The questions, packed with
+the slice's own counts of training rows, are dealt to buckets by a hash of the n-gram; their number
+grows with the bytes of all texts, so that a bucket stays small at every size of the input. A bucket
+sums the counts of its n-grams, every one that occurs in a training row.
+
+Model. Each bucket holds one segment of the filter, sized from its number of entries. An n-gram of two
+words or more with a count in [RATIO**(j - 1), RATIO**j) is put into it j times, as (n-gram, 1) to
+(n-gram, j). A query probes level 1, 2, ... until the first miss, and the last hit gives the quantised
+count: the lower end of its level, and the upper end for a history, so that probabilities never sum to
+more than 1. The counts of words, which the base score needs, are exact. Orders are mixed: with a known
+history, p(w | history) = MIX * count(history, w) / count(history) + (1 - MIX) * p(w | shorter history),
+and p(w) = (count(w) + 1) / (all tokens + different tokens + 1).
+
+The answers, packed as the questions were, go back to the slices, which add up the scores of their rows.
 
 Edge cases: a null or empty text is the end alone; repeated rows are scored each; without training
 rows every count is 0; an empty table gives none; further columns are ignored.
@@ -36,11 +35,12 @@ from loomwork.llm.shared import written
 from loomwork.llm.text_arrays import LOWER, byte_slices, mix, word_hashes, word_spans
 
 ORDER = 2
-FLOOR = 2.0**-21
 RATIO = 1.2
 MIX = 0.15
-#: Segments of the filter, bits of each (a power of 2), and bits that one entry sets: 16 MB in all.
+#: Segments of a filter and bits of each (a power of 2) where nothing else is said, and bits that one entry sets.
 SEGMENTS, SEGMENT_BITS, PROBES = 16, 1 << 23, 5
+#: Bits of a segment for each entry, at least; bytes of text in a slice, and those of all texts for each bucket.
+ENTRY_BITS, SLICE_BYTES, BUCKET_BYTES = 16, 12 << 20, 8 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -78,163 +78,172 @@ def histories(levels: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _contains(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    return table[at] == values
-
-
-def gram_counts(docs: DataFrame, order: int, shorter=None) -> DataFrame:
-    """g, n of the n-grams of `order`; `shorter` is a broadcast sorted array of frequent ones of order - 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in byte_slices(batch.column(0), 12 << 20):
-                tokens, counts = token_stream(data, offsets)
-                levels = grams(tokens, counts, order)
-                g = levels[-1]
-                if shorter is not None:
-                    g = g[_contains(shorter.value, levels[-2]) & _contains(shorter.value, histories(levels[:-1], counts)[-1])]
-                g, n = np.unique(g, return_counts=True)
-                yield pa.record_batch([pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
-
-    return docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
 class LogFrequencyFilter:
     """Membership of (n-gram, level), in segments by n-gram."""
 
     def __init__(self, bits: np.ndarray, least: float):
-        self.bits, self.least = bits, least  # bits: SEGMENTS x SEGMENT_BITS / 8 bytes
+        self.bits, self.least = bits, least  # bits: segments x bits of each / 8 bytes
 
     @staticmethod
-    def segment(g: np.ndarray) -> np.ndarray:
-        return (mix(g ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(40)) % np.uint64(SEGMENTS)
+    def segment(g: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+        return (mix(g ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(24)) % np.uint64(segments)
 
     @staticmethod
-    def places(g: np.ndarray, level: int) -> list[np.ndarray]:
+    def places(g: np.ndarray, level: int, n_bits: int = SEGMENT_BITS) -> list[np.ndarray]:
         h = mix(g + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         step = (h >> np.uint64(32)) | np.uint64(1)
-        return [(h + np.uint64(i) * step) % np.uint64(SEGMENT_BITS) for i in range(PROBES)]
+        return [(h + np.uint64(i) * step) % np.uint64(n_bits) for i in range(PROBES)]
 
-    def count(self, g: np.ndarray) -> np.ndarray:
-        """The quantised count of each n-gram: the lower end of its level, 0 where level 1 misses."""
-        if not len(g):
-            return np.zeros(0)
-        own, back = np.unique(g, return_inverse=True)
-        level, left, segment = np.zeros(len(own)), np.arange(len(own)), self.segment(own)
+    def levels(self, g: np.ndarray) -> np.ndarray:
+        """The level of each of different n-grams: the last one that hits, 0 where level 1 misses."""
+        level, left, segment = np.zeros(len(g), np.int64), np.arange(len(g)), self.segment(g, len(self.bits))
         j = 0
         while len(left):
             j += 1
             hit = np.ones(len(left), bool)
-            for p in self.places(own[left], j):
+            for p in self.places(g[left], j, 8 * self.bits.shape[1]):
                 hit &= (self.bits[segment[left], p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
             left = left[hit]
             level[left] = j
-        return np.where(level > 0, self.least * RATIO ** (level - 1), 0.0)[back]
+        return level
 
+    def count(self, g: np.ndarray) -> np.ndarray:
+        """The quantised count of each n-gram: the lower end of its level, 0 where level 1 misses."""
+        own, back = np.unique(g, return_inverse=True)
+        return lower_end(self.levels(own), self.least)[back]
 
-def build_filter(frequent: DataFrame, least: float) -> LogFrequencyFilter:
-    """The filter of the frequent n-grams (g, n): each segment is made by one task, from bounded rows."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        g = table.column("g").to_numpy().astype(np.uint64)
-        levels = 1 + np.floor(np.log(np.maximum(table.column("n").to_numpy() / least, 1.0)) / math.log(RATIO)).astype(int)
-        bits = np.zeros(SEGMENT_BITS, bool)
-        for j in range(1, levels.max() + 1):
-            for p in LogFrequencyFilter.places(g[levels >= j], j):
-                bits[p] = True
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+def lower_end(level: np.ndarray, least: float = 1.0) -> np.ndarray:
+    """The least count of a level, 0 of level 0."""
+    return np.where(level > 0, least * RATIO ** (level - 1.0), 0.0)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = LogFrequencyFilter.segment(b.column(0).to_numpy().astype(np.uint64)).astype(np.int64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(s)], names=["g", "n", "segment"])
 
-    made = frequent.select("g", "n").mapInArrow(label, "g long, n long, segment long").groupBy("segment").applyInArrow(run, "segment long, bits binary")
-    bits = np.zeros((SEGMENTS, SEGMENT_BITS // 8), np.uint8)
-    for row in made.collect():  # SEGMENTS rows at most
-        bits[row.segment] = np.frombuffer(row.bits, np.uint8)
-    return LogFrequencyFilter(bits, least)
+def build_segment(g: np.ndarray, n: np.ndarray) -> LogFrequencyFilter:
+    """The filter of one bucket's different n-grams, with their counts of 1 or more."""
+    levels = 1 + np.floor(np.log(n) / math.log(RATIO)).astype(int)
+    n_bits = 1 << max(10, (ENTRY_BITS * int(levels.sum())).bit_length())
+    bits = np.zeros(n_bits, bool)
+    for j in range(1, levels.max(initial=0) + 1):
+        for p in LogFrequencyFilter.places(g[levels >= j], j, n_bits):
+            bits[p] = True
+    return LogFrequencyFilter(np.packbits(bits, bitorder="little")[None], 1.0)
 
 
-_ROWS = "row long, doc_id long, held_out boolean, total boolean, g long, tf long, n_tokens long, n_known long, base double, score double"
-_NAMES = ["row", "doc_id", "held_out", "total", "g", "tf", "n_tokens", "n_known", "base", "score"]
+def asked(words: np.ndarray, ranks: np.ndarray, counts: np.ndarray, order: int, buckets: int) -> Iterator[tuple]:
+    """For each order of a slice: its different n-grams by bucket, their buckets, and the places of its
+    n-grams and of its histories in them (those of the last order are no histories)."""
+    levels = grams(words[ranks], counts, order)
+    past = histories(levels, counts)
+    for k in range(order):
+        g, back = np.unique(np.concatenate([levels[k], past[k][:0] if k + 1 == order else past[k]]), return_inverse=True)
+        bucket = LogFrequencyFilter.segment(g, buckets).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty(len(g), np.int64)
+        place[by] = np.arange(len(g))
+        back = place[back]
+        yield g[by], bucket[by], back[: len(ranks)], back[len(ranks) :]
 
 
-def scores(docs: DataFrame, order: int = ORDER, floor: float = FLOOR, weight: float = MIX) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    context = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    train = docs.where("NOT held_out")
-    words = written(gram_counts(train, 1), "lm-words")
-    n_all, n_different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, floor * n_all)
-    common = words.where(F.col("n") >= least)  # at most 1 / floor rows
-    tables = [common]
-    table = common.orderBy("g").toArrow()
-    keys, known = (table.column(k).to_numpy() for k in ("g", "n"))
-    by_key = np.argsort(keys.astype(np.uint64))
-    keys, known = keys.astype(np.uint64)[by_key], known[by_key]
-    exact = context.broadcast((keys, known))
-    shorter = context.broadcast(keys)
-    for k in range(2, order + 1):
-        longer = written(gram_counts(train, k, shorter).where(F.col("n") >= least), f"lm-grams{k}")
-        tables.append(longer)
-        if k < order:
-            shorter = context.broadcast(np.sort(longer.select("g").toArrow().column(0).to_numpy().astype(np.uint64)))
-    frequent = tables[0]
-    for t in tables[1:]:
-        frequent = frequent.unionByName(t)
-    model = context.broadcast(build_filter(frequent, least))
-    whole = math.log10(n_all + n_different + 1)
+_SLICES = "slice long, ids array<bigint>, held array<boolean>, counts binary, words binary, ranks binary"
+_ASKED = "bucket int, slice long, k int, g binary, n binary"
+_REPLIES = "slice long, bucket int, k int, answer binary, n_all long, n_different long"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def slices(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, held_out, text) in slices, with the fingerprints of their words and each token's rank in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row0 = TaskContext.get().partitionId() << 36
-        keys, known = exact.value
-        lm = model.value
+        at = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo, hi, data, offsets in byte_slices(batch.column(2)):
+            for lo, hi, data, offsets in byte_slices(batch.column(2), SLICE_BYTES):
                 tokens, counts = token_stream(data, offsets)
-                doc = np.repeat(np.arange(hi - lo), counts)
-                at = np.minimum(np.searchsorted(keys, tokens), max(len(keys) - 1, 0))
-                is_common = keys[at] == tokens if len(keys) else np.zeros(len(tokens), bool)
-                c = known[at] if len(keys) else np.zeros(len(tokens))
-                base = np.where(is_common, np.log10(c + 1.0) - whole, 0.0)
-                levels = grams(tokens, counts, order)
-                past = histories(levels, counts)
-                p = np.where(is_common, (lm.count(tokens) + 1) / 10**whole, 1.0)  # of other words the part that is known here
-                for k in range(1, order):
-                    past_count = RATIO * lm.count(past[k - 1])  # the upper end, so that no history's shares exceed 1
-                    hit = np.zeros(len(tokens))
-                    ask = is_common & (past_count > 0)
-                    hit[ask] = np.minimum(lm.count(levels[k][ask]) / past_count[ask], 1.0)
-                    p = np.where(past_count > 0, weight * hit + (1 - weight) * p, p)
-                n = hi - lo
-                ids, held = batch.column(0).slice(lo, n), batch.column(1).slice(lo, n)
-                rows = row0 + np.arange(n)
-                sums = [np.bincount(doc, weights=x, minlength=n) for x in (is_common, base, np.log10(p))]
-                spread = mix(rows.astype(np.uint64)).astype(np.int64)
-                zero = np.zeros(n, np.int64)
-                yield pa.record_batch([pa.array(rows), ids, held, pa.array(np.ones(n, bool)), pa.array(spread), pa.array(zero), pa.array(counts.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=_NAMES)
-                t, d = tokens[~is_common], doc[~is_common]
-                by = np.lexsort((t, d))
-                t, d = t[by], d[by]
-                new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])) if len(t) else np.zeros(0, np.int64)
-                tf = np.diff(np.concatenate([new, [len(t)]]))
-                d, t = d[new], t[new]
-                zero, none = np.zeros(len(t), np.int64), np.zeros(len(t))
-                which = pa.array(d)
-                yield pa.record_batch([pa.array(rows[d]), ids.take(which), held.take(which), pa.array(np.zeros(len(t), bool)), pa.array(t.astype(np.int64)), pa.array(tf.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(none), pa.array(none)], names=_NAMES)
-                row0 += n
-
-    rows = docs.mapInArrow(run, _ROWS)
-    rare = words.where(F.col("n") < least).select(F.col("g").alias("w"), "n")
-    rows = rows.join(rare, F.col("g") == F.col("w"), "left")
-    log_p = F.when(F.col("total"), 0.0).otherwise(F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - whole))
-    seen = F.when(F.col("total") | F.col("n").isNull(), 0).otherwise(F.col("tf"))
-    rows = rows.select("row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).alias("n_known"), (F.col("base") + log_p).alias("base"), (F.col("score") + log_p).alias("score"))
-    out = rows.groupBy("row", "doc_id", "held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.drop("row")
+                words, ranks = np.unique(tokens, return_inverse=True)
+                lists = [pa.array([batch.column(c).slice(lo, hi - lo).to_pylist()], t) for c, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.bool_())))]
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (counts.astype(np.int64), words, ranks.astype(np.int32))]
+                yield pa.record_batch([pa.array([at]), *lists, *packed], names=["slice", "ids", "held", "counts", "words", "ranks"])
+                at += 1
+
+    return docs.mapInArrow(run, _SLICES)
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch, row: int) -> list[np.ndarray]:
+    return [np.frombuffer(table.column(c)[row].as_py(), t) for c, t in (("counts", np.int64), ("words", np.uint64), ("ranks", np.int32))]
+
+
+def replies(cut: DataFrame, order: int, buckets: int) -> DataFrame:
+    """The answers of each bucket to each slice: the exact counts of words, the levels of longer n-grams."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                counts, words, ranks = _unpacked(batch, row)
+                train = np.repeat(~np.array(batch.column("held")[row].as_py(), bool), counts)
+                for k, (g, bucket, place, _) in enumerate(asked(words, ranks, counts, order, buckets)):
+                    n = np.bincount(place[train], minlength=len(g)).astype(np.int32)
+                    which, first = np.unique(bucket, return_index=True)
+                    ends = [*first[1:], len(g)]
+                    out = [pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for x in (g, n)]
+                    same = [np.full(len(which), x) for x in (batch.column("slice")[row].as_py(), k)]
+                    yield pa.record_batch([pa.array(which.astype(np.int32)), pa.array(same[0].astype(np.int64)), pa.array(same[1].astype(np.int32)), *out], names=["bucket", "slice", "k", "g", "n"])
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        ks = table.column("k").to_numpy()
+        answers: list[bytes] = [b""] * len(ks)
+        n_all = n_different = 0
+        for k in range(order):
+            rows = np.flatnonzero(ks == k)
+            if not len(rows):
+                continue
+            parts = [np.frombuffer(table.column("g")[int(r)].as_py(), np.uint64) for r in rows]
+            g, back = np.unique(np.concatenate(parts), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([np.frombuffer(table.column("n")[int(r)].as_py(), np.int32) for r in rows]), minlength=len(g)).astype(np.int64)
+            if k == 0:
+                found, n_all, n_different = n, int(n.sum()), int((n > 0).sum())
+            else:
+                found = build_segment(g[n > 0], n[n > 0]).levels(g).astype(np.uint8)
+            found, at = found[back], 0
+            for r, part in zip(rows, parts, strict=True):
+                answers[r] = found[at : at + len(part)].tobytes()
+                at += len(part)
+        first = np.arange(len(ks)) == 0
+        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "k": table.column("k"), "answer": pa.array(answers, pa.binary()), "n_all": pa.array(np.where(first, n_all, 0)), "n_different": pa.array(np.where(first, n_different, 0))})
+
+    return cut.mapInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(answer, _REPLIES)
+
+
+def scores(docs: DataFrame, order: int = ORDER, weight: float = MIX) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+    cut = written(slices(docs), "lm-slices")
+    found = written(replies(cut, order, buckets), "lm-replies")
+    n_all, n_different = found.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_different"), F.lit(0))).first()
+    whole = math.log10(n_all + n_different + 1)
+
+    def run(key: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
+        counts, words, ranks = _unpacked(own, 0)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        ks, by = told.column("k").to_numpy(), np.argsort(told.column("bucket").to_numpy(), kind="stable")
+        past_count = np.zeros(0)
+        for k, (_, _, place, past) in enumerate(asked(words, ranks, counts, order, buckets)):
+            told_k = b"".join(told.column("answer")[int(r)].as_py() for r in by[ks[by] == k])
+            if k == 0:
+                c = np.frombuffer(told_k, np.int64)
+                base = np.log10(c[place] + 1.0) - whole
+                is_known, p, upper = c[place] > 0, 10**base, c.astype(float)
+            else:
+                lower = lower_end(np.frombuffer(told_k, np.uint8).astype(np.int64))
+                hit = np.minimum(lower[place] / np.maximum(past_count, 1.0), 1.0)
+                p = np.where(past_count > 0, weight * hit + (1 - weight) * p, p)
+                upper = RATIO * lower  # so that no history's shares exceed 1
+            past_count = upper[past]
+        known, base, score = (np.bincount(doc, weights=x, minlength=len(counts)) for x in (is_known, base, np.log10(p)))
+        columns = [own.column("ids").combine_chunks().flatten(), own.column("held").combine_chunks().flatten(), counts, known.astype(np.int64), base, score]
+        return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    # a group has one slice: its number is given to it alone
+    out = cut.groupBy("slice").cogroup(found.select("slice", "bucket", "k", "answer").groupBy("slice")).applyInArrow(run, _SCORES)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

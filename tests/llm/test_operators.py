@@ -1,6 +1,7 @@
 """Each operator against its plain version, on texts with every edge case at once."""
 
 import collections
+import math
 import os
 import random
 import zlib
@@ -176,6 +177,23 @@ def test_lm_filter_counts():
     assert (f.count(rng.integers(0, 1 << 62, 5_000).astype(np.uint64)) == 0).mean() > 0.999
 
 
+def test_lm_keeps_rare_grams_of_large_inputs(spark):
+    """With over 2**22 training tokens, pairs and words that occur once still count in the score."""
+    train = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(200) if k not in train]
+    rows = [(k, "a " * 120_000) for k in train[:40]]
+    rows += [(train[40], "p q r s"), (train[41], "p a q"), (held[0], "p q r s"), (held[1], "s r q p")]
+    got = {r.doc_id: r for r in bloom_lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = 40 * 120_001 + 9
+    whole, m = n + 7, bloom_lm.MIX  # 6 different tokens, the end included
+    count = {"p": 2, "q": 2, "r": 1, "s": 1, "a": 4_800_001, "end": 42}
+    level = lambda c: bloom_lm.RATIO ** math.floor(math.log(c) / math.log(bloom_lm.RATIO)) if c else 0.0
+    own = lambda h, w, c: math.log10(m * min(level(c) / count[h], 1.0) + (1 - m) * (count[w] + 1) / whole)
+    want = own("end", "p", 2) + own("p", "q", 1) + own("q", "r", 1) + own("r", "s", 1) + own("s", "end", 1)
+    assert got[held[0]].train_tokens == n and got[held[0]].score == pytest.approx(want, rel=1e-9)
+    assert got[held[1]].base_score == pytest.approx(got[held[0]].base_score) and got[held[1]].score < got[held[0]].score - 5
+
+
 def test_near(docs):
     got = sorted(tuple(r) for r in near_dedup.near_groups(docs).collect())
     assert got == sorted(brute.near(PAIRS))
