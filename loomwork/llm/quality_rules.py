@@ -4,7 +4,11 @@ Fixed rules count words, symbols, repeated lines and repeated 3-word windows. Th
 two histograms of a document with those of its language: character classes (lower, upper, digit,
 beyond ASCII, other) and common words (the words of COMMON and all others). A language's reference is
 the sum over its documents that pass the fixed rules. The Jensen-Shannon distance (base 2, 0 to 1) of
-either histogram must not exceed its limit. Guards: the histogram of characters is compared from
+either histogram must not exceed its limit. The limit of common words is a share of the distance that a
+text without any of them has from the language's reference, WORD_SHARE + WORD_NOISE / sqrt(words) of it:
+short texts stray further by chance, and from MIN_WORDS words on the share is below 1. A language whose
+reference has less than MIN_COMMON of common words (one that COMMON doesn't know) has the fixed
+WORD_LIMIT. Guards: the histogram of characters is compared from
 MIN_CHARS characters in words on, that of common words from MIN_WORDS words on, and a language with
 fewer than MIN_REFERENCE words in its reference rejects nothing.
 
@@ -23,6 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # fixed values: frequent function words of English, German, French and Spanish
 COMMON = ["the", "of", "and", "to", "in", "is", "that", "for", "der", "die", "und", "den", "von", "zu", "das", "mit", "le", "les", "des", "et", "un", "une", "pour", "dans", "el", "los", "las", "que", "una", "por", "con", "del"]
 CHARACTER_LIMIT, WORD_LIMIT = 0.27, 0.40
+WORD_SHARE, WORD_NOISE, MIN_COMMON = 0.7, 2.0, 0.05
 MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 80, 1_000
 #: Up to so many different repeated windows are looked up one by one; more are found by sorting.
 FEW = 24
@@ -84,6 +89,14 @@ def jensen_shannon(p: str, q: str) -> Column:
     return F.expr(f"sqrt(greatest(0D, 0.5D * aggregate(zip_with({p}, {q}, (a, b) -> {half('a')} + {half('b')}), 0D, (s, x) -> s + x)))")
 
 
+def word_limits(word_limit: float) -> Column:
+    """The limit of word_distance, from ref_usual and n_words."""
+    none = f"array_append(array_repeat(0D, {len(COMMON)}), 1D)"
+    share = WORD_SHARE + WORD_NOISE / F.sqrt(F.greatest("n_words", F.lit(1)))
+    own = F.least(share * jensen_shannon(none, "ref_usual"), F.lit(word_limit))
+    return F.when(F.element_at("ref_usual", -1) <= 1 - MIN_COMMON, own).otherwise(word_limit)
+
+
 def references(found: DataFrame) -> DataFrame:
     """ref_lang, ref_words, ref_kinds, ref_usual: the summed histograms of each language."""
     sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
@@ -99,5 +112,5 @@ def judged(docs: DataFrame, character_limit: float = CHARACTER_LIMIT, word_limit
     known = F.coalesce(F.col("ref_words") >= MIN_REFERENCE, F.lit(False))
     d = d.withColumn("character_distance", F.when(known & (F.col("word_chars") >= MIN_CHARS), jensen_shannon("kinds", "ref_kinds")))
     d = d.withColumn("word_distance", F.when(known & (F.col("n_words") >= MIN_WORDS), jensen_shannon("usual", "ref_usual")))
-    strange = (F.coalesce("character_distance", F.lit(0.0)) > character_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
+    strange = (F.coalesce("character_distance", F.lit(0.0)) > character_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limits(word_limit))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~strange).alias("kept"), "character_distance", "word_distance")

@@ -147,6 +147,20 @@ def test_quality_rejects_strange_texts(spark):
     assert not got.pop(40) and all(got.values())
 
 
+def test_quality_rejects_by_common_words(spark):
+    """A text in the wrong language and one without common words, of the same letters as the others."""
+    rnd = random.Random(2)
+    content = ["".join(rnd.choice("aeinrst") for _ in range(6)) for _ in range(300)]
+    text = lambda usual, n: " ".join(rnd.choice(usual if rnd.random() < 0.12 else content) for _ in range(n))
+    english, german = ["the", "of", "and", "to"], ["der", "die", "und", "den"]
+    rows = [(k, text(english, 80 + 10 * k), "en") for k in range(40)] + [(100 + k, text(german, 80 + 10 * k), "de") for k in range(40)]
+    rows += [(200 + k, text(content, 80 + 10 * k), "la") for k in range(10)]  # a language without any of COMMON
+    strange = [(300, text(content, 100), "en"), (301, text(content, 400), "de"), (302, text(german, 400), "en"), (303, text(english, 400), "de")]
+    d = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows + strange], SCHEMA)
+    got = {r.doc_id: r.kept for r in quality_rules.judged(d).collect()}
+    assert [got.pop(k) for k in range(300, 304)] == [False] * 4 and all(got.values())
+
+
 def test_lm(docs):
     got = {r.doc_id: r for r in bloom_lm.scores(docs).collect()}
     for i, held, n, known, total, base in brute.lm_base(PAIRS):
