@@ -11,9 +11,13 @@ Texts are equal when they are identical after every run of white space became on
    its copies, however many, and one that was turned away is turned away each time in this level, so
    every group is resolved in exactly one place.
 
+Of each group the row with the smallest doc_id stays, of several with that doc_id the first; a null
+doc_id comes after all others. `drop_copies` tells rows apart by a written number of their own, so rows
+of one doc_id with different texts, and rows without a doc_id, stay as any other row does.
+
 Edge cases: a null text equals an empty one; rows repeated with one doc_id and text are all marked
-kept if the doc_id is the group's smallest (`drop_copies` leaves one of them); a table without rows
-gives none; further columns of the input are ignored.
+kept if the doc_id is the group's smallest (`drop_copies` leaves one of them); of a null doc_id kept is
+null, as in SQL; a table without rows gives none; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.shared import written
@@ -34,8 +38,8 @@ from loomwork.llm.text_arrays import squeezed
 #: Bytes of content that one task's table holds.
 TABLE_BYTES = 48 << 20
 
-_LOCAL = "doc_id long, part int, seq long, n long, h long, n_bytes long, content binary"
-_PASS = "part int, seq long, first_id long, n long, h long, n_bytes long, content binary, keep_id long, keep_part int, keep_seq long, group_size long, text_sha256 string"
+_LOCAL = "doc_id long, row long, part int, seq long, n long, h long, n_bytes long, content binary"
+_PASS = "part int, seq long, first_id long, first_row long, n long, h long, n_bytes long, content binary, keep_id long, keep_row long, group_size long, text_sha256 string"
 
 
 class ContentTable:
@@ -100,8 +104,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-_LOCAL_ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("n_bytes", pa.int64()), ("content", pa.binary())])
-_PASS_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("first_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("n_bytes", pa.int64()), ("content", pa.binary()), ("keep_id", pa.int64()), ("keep_part", pa.int32()), ("keep_seq", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
+_LOCAL_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("n_bytes", pa.int64()), ("content", pa.binary())])
+_PASS_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("first_id", pa.int64()), ("first_row", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("n_bytes", pa.int64()), ("content", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
+
+
+def _order(first: tuple[int | None, int]) -> tuple[bool, int, int]:
+    """The order of (doc_id, row): null doc_ids last."""
+    return first[0] is None, first[0] or 0, first[1]
 
 
 def _merge_own(table_bytes: int):
@@ -110,16 +119,16 @@ def _merge_own(table_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         table, done = ContentTable(table_bytes), 0
-        first: list[int] = []
+        first: list[tuple[int | None, int]] = []  # of each entry the first (doc_id, row)
         count: list[int] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = ((first[e], part, done + e, count[e], table.hashes[e], len(c), c) for e, c in enumerate(table.contents))
+            rows = ((*first[e], part, done + e, count[e], table.hashes[e], len(c), c) for e, c in enumerate(table.contents))
             yield from _batches(rows, _LOCAL_ARROW)
 
         for batch in batches:
             seqs = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 content = squeezed(text.as_py() or b"")
                 h = xxhash.xxh3_64_intdigest(content) >> 1
                 e, slot = table.find(h, content)
@@ -131,15 +140,15 @@ def _merge_own(table_bytes: int):
                         first, count = [], []
                         _, slot = table.find(h, content)
                     e = table.add(slot, h, content)
-                    first.append(doc_id)
+                    first.append((doc_id, row))
                     count.append(0)
                 count[e] += 1
-                first[e] = min(first[e], doc_id)
+                first[e] = min(first[e], (doc_id, row), key=_order)
                 seqs.append(done + e)
             n = len(seqs)
             if n:
                 none = pa.nulls(n, pa.int64())
-                yield pa.record_batch([batch.column(0), pa.array([part] * n, pa.int32()), pa.array(seqs, pa.int64()), none, none, none, pa.nulls(n, pa.binary())], schema=_LOCAL_ARROW)
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([part] * n, pa.int32()), pa.array(seqs, pa.int64()), none, none, none, pa.nulls(n, pa.binary())], schema=_LOCAL_ARROW)
         yield from flush()
 
     return run
@@ -150,9 +159,9 @@ def _resolve(table_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ContentTable(table_bytes)
-        groups: list[list] = []  # of each entry: smallest (doc_id, part, seq), copies, representatives
+        groups: list[list] = []  # of each entry: first (doc_id, row), copies, representatives
         for batch in batches:
-            part, seq, ids, ns = (batch.column(k).to_pylist() for k in ("part", "seq", "first_id", "n"))
+            part, seq, ids, rows, ns = (batch.column(k).to_pylist() for k in ("part", "seq", "first_id", "first_row", "n"))
             later = []
             for k, (h, content) in enumerate(zip(batch.column("h").to_pylist(), batch.column("content"), strict=True)):
                 content = content.as_py()
@@ -162,50 +171,57 @@ def _resolve(table_bytes: int):
                         later.append(k)
                         continue
                     e = table.add(slot, h, content)
-                    groups.append([(ids[k], part[k], seq[k]), 0, []])
+                    groups.append([(ids[k], rows[k]), 0, []])
                 g = groups[e]
-                g[0] = min(g[0], (ids[k], part[k], seq[k]))
+                g[0] = min(g[0], (ids[k], rows[k]), key=_order)
                 g[1] += ns[k]
                 g[2].append((part[k], seq[k]))
             if later:
                 rest = batch.take(pa.array(later, pa.int64()))
                 n = len(later)
-                none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())]
-                yield pa.record_batch([rest.column(x).cast(_PASS_ARROW.field(x).type) for x in ("part", "seq", "first_id", "n", "h", "n_bytes", "content")] + none, schema=_PASS_ARROW)
-        out = ((p, s, None, None, None, None, None, *g[0], g[1], hashlib.sha256(table.contents[e]).hexdigest()) for e, g in enumerate(groups) for p, s in g[2])
+                none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())]
+                yield pa.record_batch([rest.column(x).cast(_PASS_ARROW.field(x).type) for x in ("part", "seq", "first_id", "first_row", "n", "h", "n_bytes", "content")] + none, schema=_PASS_ARROW)
+        out = ((p, s, None, None, None, None, None, None, *g[0], g[1], hashlib.sha256(table.contents[e]).hexdigest()) for e, g in enumerate(groups) for p, s in g[2])
         yield from _batches(out, _PASS_ARROW)
 
     return run
 
 
-def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+def _grouped(docs: DataFrame, row: Column, table_bytes: int) -> DataFrame:
+    """doc_id, row, keep_id, keep_row, group_size, text_sha256 of every row; `row` is a number of its own."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select("doc_id", row.alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     local = written(rows.mapInArrow(_merge_own(table_bytes), _LOCAL), "exact-local")
-    todo = local.where("n IS NOT NULL").withColumnRenamed("doc_id", "first_id")
+    todo = local.where("n IS NOT NULL").withColumnsRenamed({"doc_id": "first_id", "row": "first_row"})
     done, level = [], 0
     while True:
         total = todo.agg(F.sum("n_bytes")).first()[0]
         if total is None:
             break
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // table_bytes))
-        dealt = todo.select("part", "seq", "first_id", "n", "h", "n_bytes", "content").repartition(buckets, F.xxhash64("h", F.lit(level)))
+        dealt = todo.select("part", "seq", "first_id", "first_row", "n", "h", "n_bytes", "content").repartition(buckets, F.xxhash64("h", F.lit(level)))
         passed = written(dealt.mapInArrow(_resolve(table_bytes), _PASS), f"exact-level{level}")
-        done.append(passed.where("keep_id IS NOT NULL").select("part", "seq", "keep_id", "keep_part", "keep_seq", "group_size", "text_sha256"))
-        todo = passed.where("keep_id IS NULL")
+        done.append(passed.where("group_size IS NOT NULL").select("part", "seq", "keep_id", "keep_row", "group_size", "text_sha256"))
+        todo = passed.where("group_size IS NULL")
         level += 1
-    members = local.where("n IS NULL").select("doc_id", F.col("part").alias("m_part"), F.col("seq").alias("m_seq"))
+    members = local.where("n IS NULL").select("doc_id", "row", F.col("part").alias("m_part"), F.col("seq").alias("m_seq"))
     if not done:
-        return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
+        return spark.createDataFrame([], "doc_id long, row long, keep_id long, keep_row long, group_size long, text_sha256 string")
     groups = done[0]
     for more in done[1:]:
         groups = groups.unionByName(more)
     out = members.join(groups, (F.col("m_part") == F.col("part")) & (F.col("m_seq") == F.col("seq")))
+    return out.select("doc_id", "row", "keep_id", "keep_row", "group_size", "text_sha256")
+
+
+def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+    out = _grouped(docs, F.monotonically_increasing_id(), table_bytes)
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows that stay, with the columns of the input. Rows repeated with one doc_id stay once."""
-    stays = exact_groups(docs, table_bytes).where("kept").select(F.col("doc_id").alias("keep_id_")).distinct()
-    return docs.join(stays, F.col("doc_id") == F.col("keep_id_"), "left_semi").dropDuplicates(["doc_id"])
+    """The rows that stay, one of each text, with the columns of the input."""
+    numbered = written(docs.withColumn("row_", F.monotonically_increasing_id()), "exact-rows")
+    stays = _grouped(numbered, F.col("row_"), table_bytes).where("row = keep_row").select(F.col("row").alias("keep_row_"))
+    return numbered.join(stays, F.col("row_") == F.col("keep_row_"), "left_semi").drop("row_")

@@ -240,6 +240,17 @@ def test_exact(docs):
     assert sorted(tuple(r) for r in exact_dedup.exact_groups(docs, table_bytes=9_000).collect()) == want
 
 
+def test_drop_copies_decides_by_row(spark):
+    """Rows of one doc_id with different texts, and rows without a doc_id."""
+    rows = [(1, "A"), (2, "A"), (2, "B"), (None, "A"), (None, "C"), (None, "C"), (None, "D"), (3, "D"), (4, "E"), (4, "E")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted([(1, "A"), (2, "B"), (None, "C"), (3, "D"), (4, "E")], key=str)
+    for table_bytes in (exact_dedup.TABLE_BYTES, 200):
+        assert sorted(map(tuple, exact_dedup.drop_copies(d, table_bytes).collect()), key=str) == want
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(d).collect()}
+    assert got == {(1, 1, 3, True), (2, 1, 3, False), (None, 1, 3, None), (2, 2, 1, True), (None, None, 2, None), (3, 3, 2, True), (None, 3, 2, None), (4, 4, 2, True)}
+
+
 def test_content_table_compares_contents():
     t = exact_dedup.ContentTable(1 << 20)
     for k in range(5_000):
