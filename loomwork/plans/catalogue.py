@@ -488,7 +488,7 @@ def polar(spark, d):
 
 @query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) ELSE printf('%.1f KB', n / 1024.0::DOUBLE) END AS size FROM (SELECT doc_id, 2 * n_chars + 1 AS n FROM documents WHERE n_chars < 400000)")
 def size_text(spark, d):
-    return T(spark, d, "documents").where("n_chars < 400000").select("doc_id", C.size_text(2 * F.col("n_chars") + 1).alias("size"))
+    return T(spark, d, "documents").select("doc_id", C.size_text(2 * F.col("n_chars") + 1).alias("size"))
 
 
 @query("""SELECT vec_id, round(0.299 * 0 + 65.481 * embedding[1]::DOUBLE + 128.553 * embedding[2]::DOUBLE + 24.966 * embedding[3]::DOUBLE + 16, 5) AS y FROM embeddings""")

@@ -289,3 +289,11 @@ def test_prescription(spark):
     assert len(a) == 1 and (a[0].i, a[0].K, a[0].A4, a[0].A6, a[0].A8) == (1, -1.0, 1e-5, 0.0, 2e-9)
     with pytest.raises(Exception, match="unknown glass: BK7"):
         prescriptions.surfaces(s, "doc", glass.limit(0)).collect()
+
+
+def test_size_text_keeps_long_documents(spark, tmp_path):
+    from loomwork.plans import catalogue
+
+    spark.createDataFrame([(1, 10), (2, 400_000), (3, 2_000_000)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r["size"] for r in catalogue.QUERIES["size_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: "21.0 B", 2: "781.3 KB", 3: "3.8 MB"}
