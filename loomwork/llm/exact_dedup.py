@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import written
+from loomwork.llm.shared import kept_rows, numbered, written
 from loomwork.llm.text_arrays import squeezed
 
 #: Bytes of content that one task's table holds.
@@ -221,7 +221,7 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows that stay, one of each text, with the columns of the input."""
-    numbered = written(docs.withColumn("row_", F.monotonically_increasing_id()), "exact-rows")
-    stays = _grouped(numbered, F.col("row_"), table_bytes).where("row = keep_row").select(F.col("row").alias("keep_row_"))
-    return numbered.join(stays, F.col("row_") == F.col("keep_row_"), "left_semi").drop("row_")
+    """The rows that stay, one of each text, with the columns of the input, whatever their names."""
+    docs, row = numbered(docs, "exact-rows")
+    stays = _grouped(docs, F.col(row), table_bytes).where("row = keep_row").select("keep_row")
+    return kept_rows(docs, row, stays)
