@@ -3,16 +3,18 @@
 Inputs of the network at each word: a vector of the word, if it is one of the vocabulary that the
 training rows give, and the mean vector of its character trigrams, which reaches inflected and
 unseen forms. All windows of WINDOW words, STRIDE apart and the last one at the text's end, are
-scored; two directions of gated recurrent units run over a window, attention weighs their states,
-and the text's score is that of its highest window. Gradients are written out in NumPy.
+scored, so any WINDOW - STRIDE words in a row stand whole in a window; two directions of gated
+recurrent units run over a window, attention weighs their states, and the text's score is that of its
+highest window. Training takes windows COARSE apart. Gradients are written out in NumPy.
 
 Training takes a bounded sample of the labelled rows outside the held-out fold: at most SAMPLE rows
-of either label, in the order of a hash of doc_id, of texts up to SAMPLE_CHARS characters. Weights
-and vocabulary have a fixed size and are broadcast. Scoring reads every whole text.
+of either label, in the order of a hash of doc_id, with their whole texts. Weights and vocabulary have
+a fixed size and are broadcast. Scoring reads every whole text.
 
 Edge cases: an empty or null text, or one without letters or digits, has one empty window and its
-score; repeated rows are scored alike; a label without a document, or null, teaches nothing; without
-rows of both labels every score is 0; an empty table gives none; further columns are ignored.
+score; repeated rows are scored alike; a null doc_id is scored as any other and is in no fold; a label
+without a document, or null, teaches nothing; without rows of both labels every score is 0; an empty
+table gives none; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm.shared import fresh
 from loomwork.llm.text_arrays import LOWER, byte_slices, word_hashes, word_spans
 
-WINDOW, STRIDE = 32, 24
-SAMPLE, SAMPLE_CHARS = 1_500, 30_000
+WINDOW, STRIDE, COARSE = 32, 8, 24
+SAMPLE = 1_500
 VOCABULARY, LEAST_TEXTS = 6_000, 3
 TRIGRAMS, D_WORD, D_CHAR, HIDDEN, ATTENTION = 1 << 14, 8, 12, 8, 6
 LOOK = 60  # steps between two looks at the rows that are kept back; the best weights stay
@@ -74,12 +77,12 @@ class Words:
         out.trigrams = self.trigrams[np.repeat(self.begins[used] - out.begins, out.lengths) + np.arange(out.lengths.sum())]
         return out
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each window: its text, the place of its first word, its number of words."""
-        n = np.maximum(1, 1 + -(-np.maximum(self.counts - WINDOW, 0) // STRIDE))
+        n = np.maximum(1, 1 + -(-np.maximum(self.counts - WINDOW, 0) // stride))
         text = np.repeat(np.arange(len(n)), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.minimum(k * STRIDE, np.maximum(self.counts[text] - WINDOW, 0))
+        start = np.minimum(k * stride, np.maximum(self.counts[text] - WINDOW, 0))
         base = np.cumsum(self.counts) - self.counts
         return text, base[text] + start, np.minimum(self.counts[text], WINDOW)
 
@@ -205,9 +208,9 @@ def _tokens(words: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_logits(net: Network, words: Words, batch: int = 2048, only: np.ndarray | None = None) -> np.ndarray:
+def text_logits(net: Network, words: Words, batch: int = 2048, only: np.ndarray | None = None, stride: int = STRIDE) -> np.ndarray:
     """The highest logit of each text's windows; -inf for texts outside `only`."""
-    text, start, length = words.windows()
+    text, start, length = words.windows(stride)
     if only is not None:
         out = np.full(len(words.counts), -np.inf)
         text, start, length = text[only[text]], start[only[text]], length[only[text]]
@@ -232,7 +235,7 @@ def train(texts: list[bytes], toxic: np.ndarray, steps: int = STEPS, seed: int =
     n_texts = np.bincount(pairs, minlength=len(words.hash))
     often = np.argsort(-n_texts, kind="stable")[:VOCABULARY]
     net = Network(np.sort(words.hash[often[n_texts[often] >= LEAST_TEXTS]]))
-    text, start, length = words.windows()
+    text, start, length = words.windows(COARSE)
     first = np.flatnonzero(np.diff(text, prepend=-1))
     last = np.append(first[1:], len(text))
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -262,7 +265,7 @@ def train(texts: list[bytes], toxic: np.ndarray, steps: int = STEPS, seed: int =
         target = SMOOTH + (1 - 2 * SMOOTH) * target
         _adam(net, net.gradients(own, x, tokens[rows], target), moments, step, RATE * min(1.0, 2.0 * (1 - step / (steps + 1))))
         if step % LOOK == 0 or step == steps:
-            loss = _balanced_loss(text_logits(net, words, only=held)[held], toxic[held])
+            loss = _balanced_loss(text_logits(net, words, only=held, stride=COARSE)[held], toxic[held])
             if loss < best[0]:
                 best = (loss, {k: a.copy() for k, a in net.p.items()})
     net.p = best[1]
@@ -312,36 +315,37 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tup
     ids = known.where("toxic = 1").orderBy(*order).limit(most).unionByName(known.where("toxic = 0").orderBy(*order).limit(most))
     ids = ids.select(F.col("doc_id").alias("id"), "toxic")
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).where(F.length("text") <= SAMPLE_CHARS)  # 2 * most ids at most
+    rows = text.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # 2 * most ids at most
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).orderBy(*order).collect()
     return [r.text.encode() for r in rows], np.array([r.toxic for r in rows], dtype=int)
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All rows with their columns and score_ (double)."""
+def score(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
+    """All rows with their columns and a score (double), and that column's name."""
     net = train(*training_rows(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), fresh(docs, "score_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             if net is not None:
-                for lo, hi, data, offsets in byte_slices(batch.column(at), 2 << 20):
+                for lo, hi, data, offsets in byte_slices(batch.column(at), 1 << 20):
                     scores[lo:hi] = sigmoid(text_logits(net, Words(data, offsets)))
-            yield pa.record_batch([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score_"])
+            yield pa.record_batch([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score_", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(run, schema), name
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    out = score(docs.select("doc_id", "text"), labels)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("score_").alias("score"), (F.col("score_") >= CUT).cast("int").alias("predicted"))
+    out, name = score(docs.select("doc_id", "text"), labels)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= CUT).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted toxic, with the columns of the input."""
-    return score(docs, labels).where(F.col("score_") < CUT).drop("score_")
+    out, name = score(docs, labels)
+    return out.where(F.col(name) < CUT).drop(name)
