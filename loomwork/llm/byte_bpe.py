@@ -36,8 +36,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Runs without white space, with one space before them, and runs of white space; a match of the
 #: tokenizer's pattern never crosses the border of such a segment.
 SEGMENT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Segments that a worker remembers; characters of a slice.
-REMEMBERED, SLICE = 400_000, 6 << 20
+#: Segments, and pairs of tokens, that a worker remembers; characters of a slice.
+REMEMBERED, SLICE = 200_000, 2 << 20
 WALL, GONE = -1, -2  # ends a word; was merged into the symbol before
 
 
@@ -63,6 +63,8 @@ class MergeReplay:
         key = left << 32 | right
         rank = self.merged.get(key)
         if rank is None:
+            if len(self.merged) >= REMEMBERED:
+                self.merged.clear()
             rank = self.merged[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return rank
 
