@@ -52,7 +52,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 QUERIES = {
