@@ -204,6 +204,7 @@ def classify_lens(efl: ColumnLike, fnum: ColumnLike, imgrad: ColumnLike, ttl: Co
     The first branch that holds wins. NaN compares as false, as in the source of the rule; a null
     makes the lens unknown.
     """
+    # fixed values: the thresholds and labels of the rule
     efl, fnum, imgrad, ttl = (F.when(F.isnan(_c(x).cast("double")), F.lit(None)).otherwise(_c(x).cast("double")) for x in (efl, fnum, imgrad, ttl))
     half = F.degrees(F.atan(F.try_divide(imgrad, efl)))
     name = lambda a, b: F.struct(F.lit(a).alias("category"), F.lit(b).alias("subcategory"))
@@ -312,6 +313,7 @@ def normal(*keys: ColumnLike) -> Column:
 
 def luma(r: ColumnLike, g: ColumnLike, b: ColumnLike) -> Column:
     """The Y channel of the studio-range transform, inputs in [0, 1], result about [16, 235]."""
+    # fixed values: the coefficients of the transform
     return 65.481 * _c(r) + 128.553 * _c(g) + 24.966 * _c(b) + 16.0
 
 

@@ -9,41 +9,48 @@ from pyspark.sql import functions as F
 
 _PARTS = 128
 _SAMPLE = 8_192
+#: So many rows are numbered by one window: a fixed bound, so that small tables need no cuts.
+_FEW = 32_768
 
 
-def _cuts(df: DataFrame, order: list[str], parts: int) -> list:
-    """Up to parts - 1 rows that cut `df` into ranges of about equal size; a bounded sample on the driver."""
+def _cuts(df: DataFrame, order: list[str], parts: int, few: int = _FEW) -> list:
+    """Up to parts - 1 rows that cut `df` into ranges of about equal size, in Spark's own order (nulls first, NaN last).
+
+    A bounded sample comes to the driver; none of up to `few` rows.
+    """
     n = df.count()
-    if n <= 4 * parts:
+    if n <= few:
         return []
-    rows = df.select(*order).sample(min(1.0, _SAMPLE / n), seed=1).orderBy(*order).limit(2 * _SAMPLE).collect()
-    return [rows[len(rows) * k // parts] for k in range(1, parts)] if rows else []
+    rows = df.select(*order).sample(min(1.0, _SAMPLE / n), seed=1).orderBy(*order).limit(2 * _SAMPLE).distinct().orderBy(*order).collect()
+    at = sorted({len(rows) * k // parts for k in range(1, parts)}) if rows else []
+    return [rows[k] for k in at]
 
 
-def _range_of(order: list[str], cuts: list) -> Column:
+def _range_of(df: DataFrame, order: list[str], cuts: list) -> Column:
     """The number of the range of a row: a bisection over the cuts, in compiled comparisons."""
     key = F.struct(*order)
+    kinds = [df.schema[c].dataType for c in order]
 
     def half(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        cut = F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cuts[mid], strict=True)])
+        cut = F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, cuts[mid], kinds, strict=True)])
         return F.when(key < cut, half(lo, mid)).otherwise(half(mid + 1, hi))
 
     return half(0, len(cuts))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int = _PARTS) -> DataFrame:
-    """Rows with their number, from 1, in the order of `order` (a total order).
+def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int = _PARTS, few: int = _FEW) -> DataFrame:
+    """Rows with their number, from 1, in the order of `order` (a total order; nulls first, NaN last).
 
     Rows are dealt to ranges; each range is numbered by a window of its own and moved by the rows of
     the ranges before it. The cuts are literals, so a lost task gives the same numbers again.
     """
-    cuts = sorted(set(_cuts(df, order, parts)))
-    if not cuts:  # a few rows: one window
+    cuts = _cuts(df, order, parts, few)
+    if not cuts:  # a bounded number of rows: one window
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    d = df.withColumn("range_", _range_of(order, cuts))
+    d = df.withColumn("range_", _range_of(df, order, cuts))
     counts = d.groupBy("range_").agg(F.count("*").alias("in_range_"))
     before = F.coalesce(F.sum("in_range_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("range_").alias("r_"), before.alias("before_"))

@@ -2,42 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def greedy_centres(values: Column, eps: float) -> Column:
-    """Centres of greedy clusters of a sorted array of distinct values.
+    """Centres of greedy clusters of a sorted array of distinct values (of one row, so a short one).
 
-    A cluster takes values up to 2 eps from its first one; its centre is the middle of its ends.
+    A cluster takes values up to 2 eps from its first one; its centre is the middle of its ends. The
+    state keeps the open cluster apart, so closed ones are copied only when another one closes.
     """
-    empty = F.expr("cast(array() AS array<array<double>>)")
+    start = F.expr("struct(cast(array() AS array<double>) AS done, cast(null AS double) AS first, cast(null AS double) AS last)")
+
+    def step(s: Column, v: Column) -> Column:
+        joins = v - s["first"] <= 2 * eps
+        done = F.when(joins | s["first"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array((s["first"] + s["last"]) / 2)))
+        return F.struct(F.coalesce(done, s["done"]).alias("done"), F.when(joins, s["first"]).otherwise(v).alias("first"), v.alias("last"))
+
+    end = lambda s: F.when(s["first"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array((s["first"] + s["last"]) / 2)))
+    return F.aggregate(values, start, step, end)
 
-    def step(state: Column, v: Column) -> Column:
-        last = F.try_element_at(state, F.lit(-1))
-        joins = (F.size(state) > 0) & (v - last[0] <= 2 * eps)
-        grown = F.concat(F.slice(state, 1, F.greatest(F.size(state) - 1, F.lit(0))), F.array(F.array(last[0], v)))
-        return F.when(joins, grown).otherwise(F.concat(state, F.array(F.array(v, v))))
 
-    return F.transform(F.aggregate(values, empty, step), lambda c: (c[0] + c[1]) / 2)
+def greedy_heads(df: DataFrame, group: list[str], value: str, eps: float, name: str = "head") -> DataFrame:
+    """`df` (distinct values of each group) with the first value of each value's greedy cluster.
+
+    A chain of clusters is sequential by nature, but a gap of more than 2 eps always starts a cluster, so
+    chains are cut there. Rows stream through a task in order, by Spark's sort; only the chain and its last
+    head are remembered, whatever the size of a group.
+    """
+    w = Window.partitionBy(*group).orderBy(value)
+    d = df.withColumn("cut_", F.sum(F.when(F.col(value) - F.lag(value).over(w) <= 2 * eps, 0).otherwise(1)).over(w))
+    d = d.withColumn("chain_", F.concat_ws("/", F.to_json(F.struct(*group)), F.col("cut_").cast("string")))
+    d = d.repartition(*group, "cut_").sortWithinPartitions("chain_", value)
+    at, chain_at = d.columns.index(value), d.columns.index("chain_")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, head = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, chains = batch.column(at).to_numpy(), batch.column(chain_at).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(chains[1:] != chains[:-1]) + 1).tolist(), len(v)]
+            heads = np.empty(len(v))
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if chains[lo] != chain:
+                    chain, head = chains[lo], float(v[lo])
+                while lo < hi:
+                    end = lo + int(np.searchsorted(v[lo:hi] - head, 2 * eps, side="right"))
+                    heads[lo:end], lo = head, end
+                    if lo < hi:
+                        head = float(v[lo])
+            yield pa.record_batch([*batch.columns, pa.array(heads)], names=[*batch.schema.names, name])
+
+    return d.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField(name, T.DoubleType())])).drop("cut_", "chain_")
 
 
 def greedy_cluster(df: DataFrame, group: list[str], value: str, eps: float) -> DataFrame:
     """group, value, centre: each distinct value with its nearest centre (of ties the lower).
 
-    A gap of more than 2 eps always starts a cluster. The values of a group are cut at such gaps
-    first, so the ordered fold runs over short arrays, however many values the group has.
+    The nearest centre is that of the value's own cluster or of the one before or after it.
     """
     v = F.col(value).cast("double")
-    d = df.select(*group, v.alias("v_")).where("v_ IS NOT NULL").distinct()
-    w = Window.partitionBy(*group).orderBy("v_")
-    d = d.withColumn("cut_", F.sum(F.when(F.col("v_") - F.lag("v_").over(w) <= 2 * eps, 0).otherwise(1)).over(w))
-    runs = d.groupBy(*group, "cut_").agg(F.array_sort(F.collect_list("v_")).alias("vs_"))
-    runs = runs.withColumn("centres_", greedy_centres("vs_", eps))
-    # the nearest centre can be that of the run before or after only through a gap of more than 2 eps, which is farther
-    out = runs.select(*group, "centres_", F.explode("vs_").alias("v_"))
-    near = F.array_min(F.transform("centres_", lambda c: F.struct(F.abs(c - F.col("v_")).alias("d"), c.alias("c"))))
-    return out.select(*group, F.col("v_").alias(value), near["c"].alias("centre"))
+    d = greedy_heads(df.select(*group, v.alias("v_")).where("v_ IS NOT NULL").distinct(), group, "v_", eps, "head_")
+    centres = d.groupBy(*group, "head_").agg(((F.min("v_") + F.max("v_")) / 2).alias("own_"))
+    w = Window.partitionBy(*group).orderBy("head_")
+    centres = centres.select(*[F.col(g).alias(f"g{k}_") for k, g in enumerate(group)], F.col("head_").alias("h_"), F.array_compact(F.array(F.lag("own_").over(w), "own_", F.lead("own_").over(w))).alias("near_"))
+    on = [F.col(g).eqNullSafe(F.col(f"g{k}_")) for k, g in enumerate(group)] + [F.col("head_") == F.col("h_")]
+    near = F.array_min(F.transform("near_", lambda c: F.struct(F.abs(c - F.col("v_")).alias("d"), c.alias("c"))))
+    return d.join(centres, on).select(*group, F.col("v_").alias(value), near["c"].alias("centre"))
 
 
 def local_scales(df: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import columns as C
@@ -80,9 +80,10 @@ def get_column(spark, d):
     return lookup.get_column(T(spark, d, "customer"), "c_mktsegment", c_acctbal__gt=1000)
 
 
-@query("SELECT coalesce(min(value), 'none') AS value FROM (SELECT c_name AS value FROM customer WHERE c_custkey = 7)")
+@query("SELECT coalesce(min(c_name), 'none') AS value FROM customer WHERE c_custkey = 7 UNION ALL SELECT coalesce(min(c_name), 'none') FROM customer WHERE c_custkey = -7")
 def get_or_default(spark, d):
-    return lookup.get_or(T(spark, d, "customer").withColumnRenamed("c_name", "value"), "c_custkey", 7, "value", "none")
+    c = T(spark, d, "customer").withColumnRenamed("c_name", "value")
+    return lookup.get_or(c, "c_custkey", 7, "value", "none").unionByName(lookup.get_or(c, "c_custkey", -7, "value", "none"))
 
 
 @query("SELECT count(*) > 0 AS found FROM supplier WHERE s_suppkey = -1")
@@ -95,9 +96,11 @@ def count_rows(spark, d):
     return stores.row_count(T(spark, d, "events"))
 
 
-@query("SELECT event_id, event_type IN ('true', '1', 'click') AND event_type <> 'click' AS truthy FROM events")
+@query("SELECT event_id, x IN ('true', '1') AS truthy FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '1' WHEN 2 THEN 'yes' WHEN 3 THEN '0' ELSE event_type END AS x FROM events)")
 def truthy_text(spark, d):
-    return T(spark, d, "events").select("event_id", lookup.is_truthy("event_type").alias("truthy"))
+    k = F.col("event_id") % 5
+    x = F.when(k == 0, "true").when(k == 1, "1").when(k == 2, "yes").when(k == 3, "0").otherwise(F.col("event_type"))
+    return T(spark, d, "events").select("event_id", x.alias("x")).select("event_id", lookup.is_truthy("x").alias("truthy"))
 
 
 @query("SELECT DISTINCT n_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS rn, count(*) OVER () AS n FROM nation) WHERE rn = n OR rn BETWEEN 4 AND 6 OR n_name = 'FRANCE' OR rn = 1")
@@ -246,9 +249,10 @@ def strided_shard(spark, d):
 
 
 @query("""SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(v) AS count
-    FROM (UNPIVOT (SELECT l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME metric VALUE v) GROUP BY metric""")
+    FROM (UNPIVOT (SELECT l_quantity, l_discount, CASE WHEN l_linenumber <> 2 AND l_linenumber <> 3 THEN l_tax END AS l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME metric VALUE v) GROUP BY metric""")
 def summary_stats(spark, d):
-    s = stats.summary(T(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    tax = F.when(F.col("l_linenumber") == 2, float("nan")).when(F.col("l_linenumber") == 3, float("inf")).otherwise(F.col("l_tax"))
+    s = stats.summary(T(spark, d, "lineitem").withColumn("l_tax", tax), ["l_quantity", "l_discount", "l_tax"])
     return s.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "count")
 
 
@@ -271,12 +275,12 @@ def centroid(spark, d):
     return stats.centroid(arrays.cells(e, ["vec_id"], "a", 8), ["vec_id"], "y", "x", "value").select("vec_id", F.round("cy", 6).alias("cy"), F.round("cx", 6).alias("cx"))
 
 
-@query("""WITH m AS (SELECT vec_id, list_sum(list_transform(embedding, lambda v: pow(v::DOUBLE - 0.25, 2))) / 64 AS mse FROM embeddings)
-    SELECT vec_id, round(mse, 6) AS mse, round(20 * log10(1 / sqrt(mse)), 4) AS psnr FROM m""")
+@query("""WITH m AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 0.0 ELSE list_sum(list_transform(embedding, lambda v: pow(v::DOUBLE - 0.25, 2))) / 64 END AS mse FROM embeddings)
+    SELECT vec_id, round(mse, 6) AS mse, CASE WHEN mse = 0 THEN 'inf'::DOUBLE ELSE round(20 * log10(1 / sqrt(CASE WHEN mse > 0 THEN mse END)), 4) END AS psnr FROM m""")
 def psnr(spark, d):
-    e = T(spark, d, "embeddings").withColumn("flat", F.transform("embedding", lambda v: F.lit(0.25)))
+    e = T(spark, d, "embeddings").withColumn("flat", F.transform("embedding", lambda v: F.when(F.col("vec_id") % 10 == 0, v.cast("double")).otherwise(0.25)))
     e = e.withColumn("mse", stats.mean_squared_error(F.col("embedding"), F.col("flat")))
-    return e.select("vec_id", F.round("mse", 6).alias("mse"), F.round(stats.psnr(F.col("mse")), 4).alias("psnr"))
+    return e.select("vec_id", F.round("mse", 6).alias("mse"), F.when(F.col("mse") == 0, stats.psnr(F.col("mse"))).otherwise(F.round(stats.psnr(F.col("mse")), 4)).alias("psnr"))
 
 
 @query("SELECT o_orderpriority AS stage, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
@@ -328,19 +332,19 @@ def running_z(spark, d):
 
 
 @query("""WITH RECURSIVE s AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn, 1 + (p_size % 5) / 10.0::DOUBLE AS n, (p_size % 7 - 3) / 100.0::DOUBLE AS k, (p_size % 3) / 10.0::DOUBLE AS t FROM part),
-    u AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY p_brand ORDER BY p_partkey), 1) AS n1 FROM s WHERE rn <= 12),
-    m AS (SELECT p_brand, rn, 1 + t * (k * (n1 - n) / n) AS a, t * (n1 / n) AS b, k * (n1 - n) / n AS c, n1 / n AS d FROM u),
-    f AS (SELECT p_brand, rn, a, b, c, d FROM m WHERE rn = 1 UNION ALL
-          SELECT m.p_brand, m.rn, m.a * f.a + m.b * f.c, m.a * f.b + m.b * f.d, m.c * f.a + m.d * f.c, m.c * f.b + m.d * f.d FROM f JOIN m ON m.p_brand = f.p_brand AND m.rn = f.rn + 1)
-    SELECT p_brand, round(arg_max(a, rn), 8) AS a, round(arg_max(b, rn), 8) AS b, round(arg_max(c, rn), 8) AS c, round(arg_max(d, rn), 8) AS d FROM f GROUP BY p_brand""")
+    g AS (SELECT p_brand, (rn - 1) // 12 AS lens, (rn - 1) % 12 + 1 AS rn, n, k, t FROM s),
+    u AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY p_brand, lens ORDER BY rn), 1) AS n1 FROM g),
+    m AS (SELECT p_brand, lens, rn, 1 + t * (k * (n1 - n) / n) AS a, t * (n1 / n) AS b, k * (n1 - n) / n AS c, n1 / n AS d FROM u),
+    f AS (SELECT p_brand, lens, rn, a, b, c, d FROM m WHERE rn = 1 UNION ALL
+          SELECT m.p_brand, m.lens, m.rn, m.a * f.a + m.b * f.c, m.a * f.b + m.b * f.d, m.c * f.a + m.d * f.c, m.c * f.b + m.d * f.d FROM f JOIN m ON m.p_brand = f.p_brand AND m.lens = f.lens AND m.rn = f.rn + 1)
+    SELECT p_brand, lens, round(arg_max(a, rn), 8) AS a, round(arg_max(b, rn), 8) AS b, round(arg_max(c, rn), 8) AS c, round(arg_max(d, rn), 8) AS d FROM f GROUP BY p_brand, lens""")
 def matrix_fold(spark, d):
     s = F.col("p_size")
     p = T(spark, d, "part").select("p_brand", "p_partkey", (1 + (s % 5) / 10.0).alias("n"), ((s % 7 - 3) / 100.0).alias("k"), ((s % 3) / 10.0).alias("t"))
-    from pyspark.sql import Window
-
-    p = p.withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("rn <= 12")  # a lens has few surfaces
-    m = sequences.surface_chain(p, ["p_brand"], "rn", "n", "k", "t")
-    return m.select("p_brand", *[F.round(c, 8).alias(c) for c in "abcd"])
+    p = p.withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    p = p.withColumn("lens", F.expr("cast(rn div 12 AS bigint)"))  # twelve parts in a row are the surfaces of one lens
+    m = sequences.surface_chain(p, ["p_brand", "lens"], "rn", "n", "k", "t")
+    return m.select("p_brand", "lens", *[F.round(c, 8).alias(c) for c in "abcd"])
 
 
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 32 AS chunk FROM orders")
@@ -348,12 +352,12 @@ def chunk_ids(spark, d):
     return rank.chunked(T(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], 32).select("o_orderkey", "chunk")
 
 
-@query("""SELECT vec_id, y, x, round(sum(v) OVER (PARTITION BY vec_id ORDER BY y ROWS UNBOUNDED PRECEDING) , 5) AS integral FROM (
-    SELECT vec_id, y, x, sum(v) OVER (PARTITION BY vec_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i))) WHERE x = 7""")
+@query("""SELECT vec_id, y, x, round(sum(v) OVER (PARTITION BY vec_id, x ORDER BY y ROWS UNBOUNDED PRECEDING) , 5) AS integral FROM (
+    SELECT vec_id, y, x, sum(v) OVER (PARTITION BY vec_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)))""")
 def integral_image(spark, d):
     e = T(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
     i = sequences.integral_image(arrays.cells(e, ["vec_id"], "a", 8), ["vec_id"], "y", "x", "value")
-    return i.where("x = 7").select("vec_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("integral", 5).alias("integral"))
+    return i.select("vec_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("integral", 5).alias("integral"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 30 THEN 1 WHEN p_size <= 45 THEN 2 ELSE -1 END AS period FROM part")
@@ -448,16 +452,16 @@ def scene_key(spark, d):
     return T(spark, d, "pages").select("page_id", C.scene_key(name).alias("key"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract(text, '[^\\x20\\x09-\\x0D]+') AS token FROM documents UNION ALL SELECT n_chars, CASE n_chars % 4 WHEN 0 THEN '-' WHEN 1 THEN 'INF' WHEN 2 THEN n_chars::VARCHAR ELSE n_chars || '.5e-3' END FROM documents)
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS token FROM documents UNION ALL SELECT n_chars, CASE n_chars % 4 WHEN 0 THEN '-' WHEN 1 THEN 'INF' WHEN 2 THEN n_chars::VARCHAR ELSE n_chars || '.5e-3' END FROM documents)
     SELECT doc_id, token, CASE WHEN token = '-' THEN 'null' WHEN upper(token) = 'INF' THEN 'inf' WHEN regexp_full_match(token, '[+-]?[0-9]+') THEN 'int' WHEN regexp_full_match(token, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'double' ELSE 'string' END AS kind,
-    CASE WHEN upper(token) = 'INF' THEN 'inf'::DOUBLE WHEN regexp_full_match(token, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN round(token::DOUBLE, 8) END AS number FROM t""")
+    CASE WHEN upper(token) = 'INF' THEN 'inf'::DOUBLE WHEN regexp_full_match(token, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN token::DOUBLE END AS number FROM t""")
 def coerce_cell(spark, d):
     x = T(spark, d, "documents")
     n = F.col("n_chars")
     made = F.when(n % 4 == 0, "-").when(n % 4 == 1, "INF").when(n % 4 == 2, n.cast("string")).otherwise(F.concat(n.cast("string"), F.lit(".5e-3")))
-    t = x.select("doc_id", F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0).alias("token")).unionByName(x.select(n.alias("doc_id"), made.alias("token")))
+    t = x.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("token")).unionByName(x.select(n.alias("doc_id"), made.alias("token")))
     t = t.withColumn("c", C.coerce_cell("token"))
-    return t.select("doc_id", "token", "c.kind", F.when(F.col("c.number") < float("inf"), F.round("c.number", 8)).otherwise(F.col("c.number")).alias("number"))
+    return t.select("doc_id", "token", "c.kind", "c.number")
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
@@ -486,15 +490,19 @@ def polar(spark, d):
     return T(spark, d, "events").select("event_id", F.round(p["r"], 8).alias("r"), F.round(p["angle"], 8).alias("angle"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) ELSE printf('%.1f KB', n / 1024.0::DOUBLE) END AS size FROM (SELECT doc_id, 2 * n_chars + 1 AS n FROM documents WHERE n_chars < 400000)")
+@query("""SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1024 ** 2 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1024 ** 3 THEN printf('%.1f MB', n / (1024.0::DOUBLE ** 2))
+    WHEN n < 1024 ** 4 THEN printf('%.1f GB', n / (1024.0::DOUBLE ** 3)) WHEN n < 1024 ** 5 THEN printf('%.1f TB', n / (1024.0::DOUBLE ** 4)) ELSE printf('%.1f PB', n / (1024.0::DOUBLE ** 5)) END AS size
+    FROM (SELECT doc_id, 2 * n_chars * n_chars + 1 AS n FROM documents)""")
 def size_text(spark, d):
-    return T(spark, d, "documents").select("doc_id", C.size_text(2 * F.col("n_chars") + 1).alias("size"))
+    n = F.col("n_chars").cast("long")
+    return T(spark, d, "documents").select("doc_id", C.size_text(2 * n * n + 1).alias("size"))
 
 
-@query("""SELECT vec_id, round(0.299 * 0 + 65.481 * embedding[1]::DOUBLE + 128.553 * embedding[2]::DOUBLE + 24.966 * embedding[3]::DOUBLE + 16, 5) AS y FROM embeddings""")
+@query("SELECT vec_id, k, round(65.481 * embedding[3 * k + 1]::DOUBLE + 128.553 * embedding[3 * k + 2]::DOUBLE + 24.966 * embedding[3 * k + 3]::DOUBLE + 16, 5) AS y FROM embeddings, range(21) t(k)")
 def luma(spark, d):
-    e = lambda k: F.element_at("embedding", k).cast("double")
-    return T(spark, d, "embeddings").select("vec_id", F.round(C.luma(e(1), e(2), e(3)), 5).alias("y"))
+    e = T(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))).alias("k"))
+    at = lambda j: F.get("embedding", (3 * F.col("k") + j).cast("int")).cast("double")
+    return e.select("vec_id", "k", F.round(C.luma(at(0), at(1), at(2)), 5).alias("y"))
 
 
 # arrays ---------------------------------------------------------------------------------------------

@@ -27,9 +27,15 @@ def table_json(spark: SparkSession, path: str, columns: dict[str, type]) -> Data
 
 
 def key_value_csv(spark: SparkSession, path: str) -> DataFrame:
-    """key, value of a two-column CSV. A first row `key,value` is a header; short rows are dropped; the last of a key stays."""
+    """key, value of a two-column CSV. A file's first row `key,value` is a header; short rows are dropped; the last of a key stays.
+
+    Rows stand in the order of file, place of the split, and row in the split, however Spark cuts the files.
+    """
     df = spark.read.schema("key string, value string").csv(path, header=False, mode="PERMISSIVE")
-    df = df.withColumn("at_", F.monotonically_increasing_id()).where("value IS NOT NULL").where("NOT (at_ = 0 AND key = 'key' AND value = 'value')")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    df = df.withColumn("at_", place)
+    first = df.groupBy(F.col("at_.file").alias("f_")).agg(F.min("at_").alias("first_"))
+    df = df.join(first, F.col("at_.file") == F.col("f_")).where("value IS NOT NULL AND NOT (at_ = first_ AND key = 'key' AND value = 'value')")
     return df.groupBy("key").agg(F.max_by("value", "at_").alias("value"))
 
 
@@ -55,7 +61,7 @@ def commented_list(spark: SparkSession, path: str) -> DataFrame:
 
 def job_rows(lines: DataFrame, header: tuple[str, ...] = ("model", "weight", "dataset")) -> DataFrame:
     """Jobs of a comma-separated list: blank lines, comments, the header and rows of another length are skipped."""
-    parts = lines.select(F.transform(F.split("value", ","), F.trim).alias("p")).where(F.size("p") == len(header))
+    parts = lines.select(F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("p")).where(F.size("p") == len(header))
     parts = parts.where(~F.get("p", F.lit(0)).startswith("#") & (F.lower(F.get("p", F.lit(0))) != header[0]))
     return parts.select(*[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(header)])
 

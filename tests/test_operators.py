@@ -142,10 +142,17 @@ def test_minmax_ties(spark):
 
 def test_numbered_over_ranges(spark):
     d = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("v"))
-    got = rank.numbered(d, ["v"], parts=16).collect()
+    got = rank.numbered(d, ["v"], parts=16, few=100).collect()
     assert all(r.rn == r.v + 1 for r in got) and len(got) == 5000
 
 
+def test_numbered_with_nulls_and_nan(spark):
+    rows = [(None, None), *[(None, k) for k in range(40)], *[(float(k % 7), k) for k in range(100)], *[(float("nan"), k) for k in range(30)]]
+    got = rank.numbered(spark.createDataFrame(rows, "x double, k int").repartition(5), ["x", "k"], parts=16, few=10).collect()
+    place = lambda r: (r.x is not None, r.x is not None and r.x != r.x, r.x if r.x is not None and r.x == r.x else 0.0, r.k is not None, r.k or 0)
+    assert [r.rn for r in sorted(got, key=place)] == list(range(1, len(rows) + 1))
+
+
 def test_greedy_cluster(spark):
     d = spark.createDataFrame([(1, v) for v in (0.0, 0.9, 2.0, 2.1)], "g int, v double")
     got = {r.v: r.centre for r in sequences.greedy_cluster(d, ["g"], "v", 1.0).collect()}
@@ -158,6 +165,27 @@ def test_greedy_cluster_within_eps(spark):
     assert all(abs(r.v - r.centre) <= 1.0 + 1e-9 for r in sequences.greedy_cluster(d, ["g"], "v", 1.0).collect())
 
 
+def test_greedy_cluster_of_dense_groups(spark):
+    """Groups without gaps, over several batches, against the plain loop; also the fold over one array."""
+    rng = np.random.default_rng(1)
+    values = {g: np.unique(np.round(rng.uniform(0, 300, 9_000), 2)) for g in (1, 2, None)}
+    d = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g int, v double").repartition(7)
+    got = {(r.g, r.v): r.centre for r in sequences.greedy_cluster(d, ["g"], "v", 1.0).collect()}
+    for g, vs in values.items():
+        clusters = []
+        for v in vs.tolist():
+            if clusters and v - clusters[-1][0] <= 2.0:
+                clusters[-1][1] = v
+            else:
+                clusters.append([v, v])
+        centres = np.array([(a + b) / 2 for a, b in clusters])
+        for v in vs.tolist():
+            assert got[g, v] == centres[np.argmin(np.abs(centres - v))]
+        if g == 1:
+            folded = spark.createDataFrame([(vs.tolist(),)], "a array<double>").select(sequences.greedy_centres(F.col("a"), 1.0).alias("c")).first().c
+            assert folded == centres.tolist()
+
+
 def test_local_scales(spark):
     d = spark.createDataFrame([(1, v) for v in (1.0, 1.5, 4.0, 4.25)], "g int, v double")
     assert [r.scale for r in sequences.local_scales(d, ["g"], "v").orderBy("v").collect()] == [0.5, 0.5, 0.25, 0.25]
@@ -296,4 +324,4 @@ def test_size_text_keeps_long_documents(spark, tmp_path):
 
     spark.createDataFrame([(1, 10), (2, 400_000), (3, 2_000_000)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r["size"] for r in catalogue.QUERIES["size_text"](spark, str(tmp_path)).collect()}
-    assert got == {1: "21.0 B", 2: "781.3 KB", 3: "3.8 MB"}
+    assert got == {1: "201.0 B", 2: "298.0 GB", 3: "7.3 TB"}
