@@ -1,25 +1,35 @@
 """Operator 6: MinHash near-duplicates with sequential Bayesian verification.
 
-1. One pass over the texts makes, per document, the set of its 5-word shingles (64-bit fingerprints),
-   a 128-bit fingerprint of the whole set, and a MinHash signature. Documents with equal sets form a
-   class; from here on only classes are compared, so exact copies cost one row each and no pairs.
+1. One pass over the texts makes, per row, the set of its 5-word shingles (64-bit fingerprints), a
+   128-bit fingerprint of the whole set, and a MinHash signature. Rows with equal sets form a class,
+   named by the number of one of its rows; from here on only classes are compared, so exact copies
+   cost one row each and no pairs.
 2. Signatures are banded. A band that two or more classes share is a bucket.
-3. Rounds: each bucket has up to PIVOTS pivots, the first members in the order of a hash, so buckets
-   of one group choose the same ones. In a round, a pivot meets the members of its buckets that are
-   in other components, and components are joined. A large group of near copies falls together in a
-   number of pairs that is linear in its size.
-4. What is left are classes in buckets of which another component is the largest. Each is a stray of
-   that component and meets all its members and its other strays, so no link between components is
-   lost, and two members of one component never meet.
-
-Rounds and strays meet in blocks of bounded size; only links leave a block. Inside, signatures are
-compared in batches of hashes, and a pair is pruned as soon as the posterior chance of a similarity
-of at least the threshold falls below the chosen miss probability. Survivors are verified exactly on
-their full sets.
+3. Rounds: in each bucket where two or more components stand, the component with most members gives a
+   pivot, its first member in the order of a hash of the round. Every class of another component
+   meets one pivot, the first of those in its buckets; buckets of one group mostly choose alike. So a
+   round compares at most one pair for each class, and links found join components. Rounds go on as
+   long as they link a fair part of the classes they ask.
+4. What is left are buckets with several components. Each class that is not in its bucket's largest
+   component is a stray of that component and meets all classes of those buckets that are in other
+   components, so every pair that shares a band and is not yet in one component is compared.
+
+Comparing: signatures are compared in batches of hashes, and a pair is pruned as soon as the
+posterior chance of a similarity of at least the threshold falls below the chosen miss probability.
+Survivors are verified exactly on their full sets. Pairs meet in blocks, of one pivot or of strays and
+classes, and only links leave a block; blocks are bounded in rows and, but for a single large set, in
+bytes.
+
+Joins that move signatures, texts or sets always deal both sides by key (merge joins), at every size of
+the input, so that what is measured on small inputs holds for large ones.
 
 Edge cases: a text with fewer than 5 words is one shingle of all its words; without words (or null)
 its set is empty and it is linked with nothing; equal sets are linked; rows repeated with one doc_id
-get the same result each; an empty table gives none; further columns are ignored.
+are documents of their own that report the same doc_id; a row without a doc_id is linked as any other,
+its component_id is the smallest doc_id that it reaches (null if none), and kept is false, or null
+where component_id is null; an empty table gives none; further columns are ignored, whatever their
+names. `drop_near_copies` keeps one row of each component: of its smallest doc_id the first row, a null
+doc_id after all others.
 """
 
 from __future__ import annotations
@@ -29,18 +39,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import written
+from loomwork.llm.shared import kept_rows, numbered, written
 from loomwork.llm.text_arrays import LOWER, byte_slices, mix, ngram_hashes, word_hashes, word_spans
 
 WORDS, THRESHOLD = 5, 75  # words of a shingle; similarity in percent
 BANDS, ROWS = 48, 5  # a pair at the threshold shares no band with a chance of 2e-6
 BATCH = 40  # hashes that are compared before the next decision
 MISS = 1e-9  # chance to prune a pair at the threshold or above
-PIVOTS = 3  # pivots of a bucket
-BLOCK = 128  # classes of a block
+ROUNDS, FAIR = 8, 0.1  # most rounds, and the part of its pairs that a round links if another one follows
+BLOCK = 256  # classes of either side of a block
+BLOCK_BYTES = 4 << 20  # bytes of sets of either side
+MANY, COLUMNS = 1_000, 4_096  # survivors of a block from which counts are taken by a matrix product, and its columns at a time
+FEW = 100_000  # so many class numbers at most are sent to all tasks; more are shuffled
 
 _N = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(6))
@@ -68,10 +81,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A MinHash signature (uint32) for each set that isn't empty."""
+    """A MinHash signature (the upper 16 bits of each minimum) for each set that isn't empty."""
     sizes = np.array([len(s) for s in sets])
     h = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    out = np.empty((len(sets), _N), dtype=np.uint32)
+    out = np.empty((len(sets), _N), dtype=np.uint16)
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     step = 1 << 16  # values at a time, so that they stay in the cache; a set is never split over two rows
     lo = 0
@@ -80,7 +93,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         hi = len(sets) if at[-1] - at[lo] < step else hi
         part, own = h[at[lo] : at[hi - 1] + sizes[hi - 1]], at[lo:hi] - at[lo]
         for k in range(_N):
-            out[lo:hi, k] = (np.minimum.reduceat(part * _A[k] + _B[k], own) >> np.uint64(32)).astype(np.uint32)
+            out[lo:hi, k] = (np.minimum.reduceat(part * _A[k] + _B[k], own) >> np.uint64(48)).astype(np.uint16)
         lo = hi
     return out
 
@@ -92,40 +105,41 @@ def _digest(s: np.ndarray) -> bytes:
         return np.array([np.add.reduce(mix(s + np.uint64(11))) + n, np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))], dtype=np.uint64).tobytes()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (16 bytes; null for an empty set), sig."""
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """row, place, doc_id, n_shingles, cls (16 bytes; null for an empty set), sig of rows (row, place, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in byte_slices(batch.column(1)):
+            for lo, hi, data, offsets in byte_slices(batch.column(3)):
                 sets = shingle_sets(data, offsets)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sig = iter(signatures([sets[k] for k in full]))
                 cls = [_digest(s) if len(s) else None for s in sets]
                 sigs = [next(sig).tobytes() if len(s) else None for s in sets]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "cls", "sig"])
+                own = [batch.column(k).slice(lo, hi - lo) for k in range(3)]
+                yield pa.record_batch([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sigs, pa.binary())], names=["row", "place", "doc_id", "n_shingles", "cls", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig binary")
+    return rows.mapInArrow(run, "row long, place long, doc_id long, n_shingles long, cls binary, sig binary")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """key, cls of every band that at least two classes share."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """key, c, n of every band that at least two classes share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.stack([np.frombuffer(x.as_py(), dtype=np.uint32) for x in batch.column(1)]).astype(np.uint64).reshape(n, BANDS, ROWS)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).astype(np.uint64).reshape(n, BANDS, ROWS)
             key = np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for r in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             which = pa.array(np.repeat(np.arange(n), BANDS))
-            yield pa.record_batch([pa.array(key.reshape(-1).astype(np.int64)), batch.column(0).take(which)], names=["key", "cls"])
+            yield pa.record_batch([pa.array(key.reshape(-1).astype(np.int64)), batch.column(0).take(which), batch.column(1).take(which)], names=["key", "c", "n"])
 
-    bands = classes.select("cls", "sig").mapInArrow(run, "key long, cls binary")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
-    return bands.join(shared, F.col("key") == F.col("k"), "left_semi")
+    bands = nodes.select("c", "n", "sig").mapInArrow(run, "key long, c long, n int")
+    shared = bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select(F.col("key").alias("k"))
+    return bands.join(shared.hint("merge"), F.col("key") == F.col("k"), "left_semi")
 
 
 @functools.cache
@@ -143,144 +157,217 @@ def fewest_matches(n: int, threshold: float = THRESHOLD / 100, miss: float = MIS
     return n
 
 
-def compared(blocks: DataFrame, body: DataFrame, percent: int = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """a, b: the links between the rows and the columns of blocks (main, i, j, cls, comp, row).
-
-    `body` has cls, sig and set. In a block, pairs of one component and pairs whose sizes rule a link
-    out are left aside, signatures prune batch by batch, and full sets verify the survivors.
+def _steps(percent: int, miss: float) -> list[tuple[int, int, int]]:
+    """Batches of hashes (from, to), and the fewest matches up to there with which a pair stays."""
+    return [(hi - BATCH, hi, fewest_matches(hi, percent / 100, miss)) for hi in range(BATCH, _N + 1, BATCH)]
+
+
+def _similar(sig: np.ndarray, x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (x, y) that no batch prunes."""
+    matches = np.zeros(len(x), np.int64)
+    for lo, hi, least in steps:
+        matches += (sig[x, lo:hi] == sig[y, lo:hi]).sum(axis=1)
+        go = matches >= least
+        x, y, matches = x[go], y[go], matches[go]
+    return x, y
+
+
+def _some(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `df` whose `c` is in `ids`: looked up in a broadcast table of at most FEW numbers, else by a shuffle."""
+    ids = ids.select(F.col("c").alias("own_c")).distinct()
+    return df.join(F.broadcast(ids) if len(ids.take(FEW + 1)) <= FEW else ids, F.col("c") == F.col("own_c"), "left_semi")
+
+
+def _common(full: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The size of the intersection of each pair of sets (x, y)."""
+    if len(x) < MANY:
+        return np.array([len(np.intersect1d(full[u], full[v], assume_unique=True)) for u, v in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    rows, cols = np.unique(x), np.unique(y)
+    sides = [(np.concatenate([full[k] for k in own]), np.repeat(np.arange(len(own)), [len(full[k]) for k in own])) for own in (rows, cols)]
+    both = np.intersect1d(*[values for values, _ in sides])
+    found = []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        real = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[real], kind="stable")
+        found.append((at[real][order], owner[real][order]))
+    counts = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, len(both), COLUMNS):
+        part = []
+        for (at, owner), n in zip(found, (len(rows), len(cols)), strict=True):
+            a, b = np.searchsorted(at, [lo, lo + COLUMNS])
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[owner[a:b], at[a:b] - lo] = 1
+            part.append(m)
+        counts += part[0] @ part[1].T
+    return counts[np.searchsorted(rows, x), np.searchsorted(cols, y)].astype(np.int64)
+
+
+def verified(blocks: DataFrame, body: DataFrame, percent: int = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """a, b: the links between the rows and the columns of blocks (main, i, j, c, comp, row, twice) that are in different components.
+
+    `body` has c, sig and set; `twice` marks classes that are among the rows and the columns. In a block, sizes rule links out, signatures prune batch by batch, and
+    full sets verify the survivors.
     """
-    steps = list(range(BATCH, _N + 1, BATCH))
-    least = [fewest_matches(n, percent / 100, miss) for n in steps]
+    steps = _steps(percent, miss)
 
     def run(table: pa.Table) -> pa.Table:
-        row = table.column("row").to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, _N)
-        cls, comp = table.column("cls").to_pylist(), table.column("comp").to_numpy()
+        row, comp, c, twice = (table.column(k).to_numpy(zero_copy_only=False) for k in ("row", "comp", "c", "twice"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, _N)
         full = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
         size = np.array([len(x) for x in full])
-        r, c = np.flatnonzero(row), np.flatnonzero(~row)
-        own, other = size[r][:, None], size[c][None, :]
-        x, y = np.nonzero((comp[r][:, None] != comp[c][None, :]) & (100 * np.minimum(own, other) >= percent * np.maximum(own, other)))
-        x, y = r[x], c[y]
-        matches, lo = np.zeros(len(x), np.int64), 0
-        for hi, m in zip(steps, least, strict=True):
-            matches += (sig[x, lo:hi] == sig[y, lo:hi]).sum(axis=1)
-            go = matches >= m
-            x, y, matches, lo = x[go], y[go], matches[go], hi
-        ends = []
-        for u, v in zip(x.tolist(), y.tolist(), strict=True):
-            common = len(np.intersect1d(full[u], full[v], assume_unique=True))
-            if 100 * common >= percent * (size[u] + size[v] - common):
-                ends.append(sorted((cls[u], cls[v])))
-        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
-
-    return blocks.join(body, "cls").groupBy("main", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
-
-
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and set (packed fingerprints) of the classes of `wanted` (doc_id, cls), from one document each."""
+        other = np.flatnonzero(~row)
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in np.flatnonzero(row).tolist():
+            y = other[(comp[other] != comp[r]) & (~twice[other] | ~twice[r] | (c[other] > c[r])) & (100 * np.minimum(size[other], size[r]) >= percent * np.maximum(size[other], size[r]))]
+            x, y = _similar(sig, np.full(len(y), r), y, steps)
+            xs.append(x)
+            ys.append(y)
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        common = _common(full, x, y)
+        link = 100 * common >= percent * (size[x] + size[y] - common)
+        return pa.table({"a": pa.array(c[x[link]], pa.int64()), "b": pa.array(c[y[link]], pa.int64())})
+
+    return blocks.join(_some(body, blocks).hint("merge"), "c").groupBy("main", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _parts(n_rows: Column, n_shingles: Column) -> Column:
+    """How many blocks hold so many classes with so many shingles."""
+    return F.greatest(F.lit(1), F.ceil(n_rows / BLOCK), F.ceil(8 * n_shingles / BLOCK_BYTES)).cast("int")
+
+
+def pivot_blocks(pairs: DataFrame) -> DataFrame:
+    """Blocks of the pairs (q, q_comp, c, comp, n): one row, the pivot, and its classes. Written once."""
+    dealt = pairs.groupBy("q", "q_comp").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    place = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+    cols = pairs.join(dealt.select(F.col("q").alias("main"), "parts"), F.col("q") == F.col("main"))
+    cols = cols.select("main", F.lit(0).alias("i"), place.alias("j"), "c", "comp", F.lit(False).alias("row"), F.lit(False).alias("twice"))
+    rows = dealt.select(F.col("q").alias("main"), F.lit(0).alias("i"), F.explode(F.expr("sequence(0, parts - 1)")).alias("j"), F.col("q").alias("c"), F.col("q_comp").alias("comp"), F.lit(True).alias("row"), F.lit(False).alias("twice"))
+    return written(cols.unionByName(rows), "near-blocks")
+
+
+def class_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """c and set (packed fingerprints) of the classes of `wanted` (place, cls, c), from one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in byte_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "own", "set"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["place", "own", "set"])
 
-    text = docs.select("doc_id", "text").join(wanted.select(F.col("doc_id").alias("w")), F.col("doc_id") == F.col("w"), "left_semi")
-    made = text.mapInArrow(run, "doc_id long, own binary, set binary").join(wanted.withColumnRenamed("doc_id", "w"), (F.col("doc_id") == F.col("w")) & (F.col("own") == F.col("cls")))
-    return made.select("cls", "set").dropDuplicates(["cls"])
+    text = rows.select("place", "text").join(wanted.select(F.col("place").alias("w")).hint("merge"), F.col("place") == F.col("w"), "left_semi")
+    made = text.mapInArrow(run, "place long, own binary, set binary").join(wanted.withColumnRenamed("place", "w").hint("merge"), (F.col("place") == F.col("w")) & (F.col("own") == F.col("cls")))
+    return made.select("c", "set").dropDuplicates(["c"])
 
 
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """cls, comp, n with the smallest label that a class reaches over the links (a, b).
+def roots(links: DataFrame) -> DataFrame:
+    """u, v: of each node of the links (a, b) that is not the smallest of its component, that smallest node.
 
-    Smallest labels pass along the links, and then all classes of one label take the best that any of
-    them was offered, so whole components move at once and few rounds are needed.
+    Large and small stars take turns: a node's larger neighbours, then its smaller ones, are linked to
+    its smallest neighbour, until nothing moves. The edges are pairs of components, not of documents.
     """
-    if links.isEmpty():
-        return labels
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    while True:
-        near = both.join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("m")), "b").groupBy(F.col("a").alias("c")).agg(F.min("m").alias("m"))
-        moved = labels.join(near, F.col("cls") == F.col("c"), "left").select("cls", "n", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("up"))
-        offers = moved.where("up < old").groupBy(F.col("old").alias("o")).agg(F.min("up").alias("best"))
-        labels = written(moved.join(offers, F.col("old") == F.col("o"), "left").select("cls", F.coalesce("best", "old").alias("comp"), "n", F.col("best").isNotNull().alias("new")), "near-labels")
-        if labels.where("new").isEmpty():
-            return labels.drop("new")
-        labels = labels.drop("new")
-
-
-def with_pivots(bucket: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """key, cls, size and p0, p1 ... (the bucket's pivots, null beyond its members)."""
-    d = bucket.withColumn("o", F.struct(F.xxhash64("cls").alias("h"), "cls"))
-    found = d.groupBy("key").agg(F.count("*").alias("size"), F.min("o").alias("p0"))
-    for k in range(1, pivots):
-        more = d.join(found.select(F.col("key").alias("k"), F.col(f"p{k - 1}").alias("last")), F.col("key") == F.col("k")).where("o > last")
-        more = more.groupBy(F.col("key").alias("k")).agg(F.min("o").alias(f"p{k}"))
-        found = found.join(more, F.col("key") == F.col("k"), "left").drop("k")
-    found = found.select(F.col("key").alias("k"), "size", *[F.col(f"p{k}.cls").alias(f"p{k}") for k in range(pivots)])
-    return bucket.join(found, F.col("key") == F.col("k")).drop("k")
-
-
-def pivot_blocks(members: DataFrame, labels: DataFrame, k: int, percent: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Blocks of one row, the k-th pivot of a bucket, and members of its buckets in other components."""
-    pairs = members.select("cls", F.col(f"p{k}").alias("q")).where("q IS NOT NULL AND cls <> q").distinct()
-    other = labels.select(F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"))
-    pairs = pairs.join(labels, "cls").join(other, "q").where(f"comp <> q_comp AND 100 * least(n, q_n) >= {percent} * greatest(n, q_n)")
-    pivots = pairs.groupBy("q", "q_comp").agg(F.ceil(F.count("*") / block).cast("int").alias("cols"))
-    cols = pairs.join(pivots.select("q", "cols"), "q").select(F.col("q").alias("main"), F.lit(0).alias("i"), F.pmod(F.xxhash64("cls"), F.col("cols")).cast("int").alias("j"), "cls", "comp", F.lit(False).alias("row"))
-    rows = pivots.select(F.col("q").alias("main"), F.lit(0).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), F.col("q").alias("cls"), F.col("q_comp").alias("comp"), F.lit(True).alias("row"))
-    return cols.unionByName(rows)
-
-
-def strays(members: DataFrame, labels: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """main, cls: classes that share a bucket with a component larger than their own (of equals the smaller label).
-
-    Buckets of up to pivots + 1 members are left out: every pair in them has met in the rounds.
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-edges")
+    state = None
+    while (now := tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) != state:
+        state = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.col("x")).alias("m"))
+        large = both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        small = large.join(low, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "near-edges")
+    return edges
+
+
+def moved(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (c, comp) after the components that the links (a, b) join."""
+    own = [labels.select(F.col("c").alias(f"{x}_c"), F.col("comp").alias(f"{x}_comp")) for x in "ab"]
+    comps = links.join(own[0], F.col("a") == F.col("a_c")).join(own[1], F.col("b") == F.col("b_c"))
+    up = roots(comps.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    return written(labels.join(up, F.col("comp") == F.col("u"), "left").select("c", F.coalesce("v", "comp").alias("comp")), "near-labels")
+
+
+def open_members(bucket: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, c, n, comp of the buckets in which two or more components stand."""
+    m = bucket.select("key", "c", "n").join(labels, "c")
+    several = m.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    return written(m.join(several, F.col("key") == F.col("k"), "left_semi").select("key", "c", "n", "comp"), "near-members")
+
+
+def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """q, q_comp, c, comp, n: for each class outside the largest component of a bucket, one of its buckets' pivots."""
+    order = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c")
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("many"), F.min(order).alias("o"))
+    chosen = parts.groupBy(F.col("key").alias("k")).agg(F.min(F.struct((-F.col("many")).alias("few"), F.col("o"), F.col("comp").alias("q_comp"))).alias("p"))
+    chosen = chosen.select("k", F.struct("p.o", "p.q_comp").alias("p"))
+    best = members.join(chosen, F.col("key") == F.col("k")).where("comp <> p.q_comp").groupBy("c", "comp", "n").agg(F.min("p").alias("p"))
+    return best.select(F.col("p.o.c").alias("q"), F.col("p.q_comp").alias("q_comp"), "c", "comp", "n")
+
+
+def stray_blocks(members: DataFrame) -> DataFrame:
+    """Blocks of the classes that share a bucket across components. Written once.
+
+    Each bucket belongs to the largest component in it; its other classes are strays of that component.
+    Strays (rows) meet all classes of those buckets (columns).
     """
-    sizes = labels.groupBy("comp").agg(F.count("*").alias("c_size"))
-    m = members.where(F.col("size") > pivots + 1).select("key", "cls").join(labels.select("cls", "comp"), "cls").join(sizes, "comp")
-    main = m.groupBy("key").agg(F.max(F.struct("c_size", (-F.col("comp")).alias("c"))).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    main = main.select(F.col("key").alias("k"), (-F.col("m.c")).alias("main"))
-    return m.join(main, F.col("key") == F.col("k")).where("comp <> main").select("main", "cls").distinct()
-
-
-def stray_blocks(stray: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of strays (rows) and of their main component's members with all its strays (columns)."""
-    sizes = stray.groupBy("main").agg(F.count("*").alias("s")).join(labels.groupBy(F.col("comp").alias("main")).agg(F.count("*").alias("c")), "main")
-    sizes = sizes.select(F.col("main").alias("m"), F.ceil(F.col("s") / block).cast("int").alias("rows"), F.ceil((F.col("s") + F.col("c")) / block).cast("int").alias("cols"))
-    own = stray.join(labels.select("cls", "comp"), "cls").select("main", "cls", "comp", F.lit(True).alias("stray"))
-    body = labels.select(F.col("comp").alias("main"), "cls", "comp", F.lit(False).alias("stray"))
-    d = own.unionByName(body).join(sizes, F.col("main") == F.col("m"))
-    place = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
-    cols = d.select("main", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place("cols", 2).alias("j"), "cls", "comp", F.lit(False).alias("row"))
-    rows = d.where("stray").select("main", place("rows", 1).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), "cls", "comp", F.lit(True).alias("row"))
-    return cols.unionByName(rows)
-
-
-def near_groups(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    prints = written(fingerprints(docs), "near-prints")
+    weight = members.select("comp", "c").distinct().groupBy(F.col("comp").alias("w")).agg(F.count("*").alias("many"))
+    largest = members.select("key", "comp").distinct().join(weight, F.col("comp") == F.col("w")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("many", "comp")).alias("m"))
+    d = members.join(largest.select("k", F.col("m.comp").alias("main")), F.col("key") == F.col("k")).select("main", "c", "comp", "n").distinct()
+    d = written(d, "near-strays")
+    stray = F.col("comp") != F.col("main")
+    sizes = d.groupBy(F.col("main").alias("m")).agg(_parts(F.count_if(stray), F.sum(F.when(stray, F.col("n")).otherwise(0))).alias("rows"), _parts(F.count("*"), F.sum("n")).alias("cols"))
+    d = d.join(sizes, F.col("main") == F.col("m"))
+    place = lambda n, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n)).cast("int")
+    cols = d.select("main", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place("cols", 2).alias("j"), "c", "comp", F.lit(False).alias("row"), stray.alias("twice"))
+    rows = d.where(stray).select("main", place("rows", 1).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), "c", "comp", F.lit(True).alias("row"), F.lit(True).alias("twice"))
+    return written(cols.unionByName(rows), "near-blocks")
+
+
+def _components(rows: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The written fingerprints of rows (row, place, doc_id, text), and cls with its component's first doc_id and row.
+
+    `place` finds a row's text again: equal texts may share it.
+    """
+    prints = written(fingerprints(rows), "near-prints")
     # one row of each class stands for it; which one does not matter, its set is the same
-    classes = prints.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("comp"))
-    one = prints.where("cls IS NOT NULL").join(classes.select(F.col("cls").alias("c"), "comp"), (F.col("cls") == F.col("c")) & (F.col("doc_id") == F.col("comp"))).dropDuplicates(["cls"])
-    bucket = written(buckets(one.select("cls", "sig")), "near-buckets")
-    nodes = written(one.join(bucket.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("doc_id").alias("comp"), F.col("n_shingles").alias("n"), "sig"), "near-nodes")
-    sets = class_sets(docs, nodes.select(F.col("comp").alias("doc_id"), "cls"))
-    members = written(with_pivots(bucket, pivots), "near-members")
-    body = written(nodes.select("cls", "sig").join(sets, "cls"), "near-body")
-    labels = nodes.select("cls", "comp", "n")
-    for k in range(pivots):
-        labels = components(labels, written(compared(pivot_blocks(members, labels, k), body), f"near-links{k}"))
-    stray = written(strays(members, labels, pivots), "near-strays")
-    labels = components(labels, written(compared(stray_blocks(stray, labels), body), "near-links"))
-    joined = labels.select(F.col("cls").alias("l_cls"), F.col("comp").alias("l_comp"))
-    known = classes.join(joined, F.col("cls") == F.col("l_cls"), "left").select(F.col("cls").alias("c"), F.coalesce("l_comp", "comp").alias("comp"))
-    out = prints.join(known, F.col("cls") == F.col("c"), "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of the input."""
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("keep_id_"))
-    return docs.join(kept, F.col("doc_id") == F.col("keep_id_"), "left_semi")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = written(prints.where("cls IS NOT NULL").groupBy("cls").agg(F.min("row").alias("c"), F.min(first).alias("first")), "near-classes")
+    one = prints.join(classes.select(F.col("c").alias("own_c")).hint("merge"), F.col("row") == F.col("own_c"), "left_semi").select(F.col("row").alias("c"), "place", "cls", F.col("n_shingles").cast("int").alias("n"), "sig")
+    bucket = written(buckets(one), "near-buckets")
+    nodes = written(one.join(bucket.select("c").distinct().hint("merge"), "c", "left_semi"), "near-nodes")
+    body = written(nodes.select("c", "sig").join(class_sets(rows, nodes.select("place", "cls", "c")).hint("merge"), "c"), "near-body")
+    labels = nodes.select("c", F.col("c").alias("comp"))
+    members = bucket.withColumn("comp", F.col("c"))
+    for turn in range(rounds):
+        pairs = written(pivot_pairs(members, turn), f"near-pairs{turn}")
+        found = written(verified(pivot_blocks(pairs), body), f"near-links{turn}")
+        asked, links = pairs.count(), found.count()
+        if links:
+            labels = moved(labels, found)
+            members = open_members(members, labels)
+        if links <= FAIR * asked:
+            break
+    labels = moved(labels, verified(stray_blocks(members), body)).select(F.col("c").alias("l_c"), "comp")
+    known = classes.join(labels, F.col("c") == F.col("l_c"), "left").select("cls", "first", F.coalesce("comp", "c").alias("comp"))
+    least = known.groupBy(F.col("comp").alias("g")).agg(F.min("first").alias("least"))
+    return prints, known.join(least, F.col("comp") == F.col("g")).select(F.col("cls").alias("k_cls"), F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row"))
+
+
+def near_groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    # a row without a doc_id is found again by its text
+    place = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), place.alias("place"), "doc_id", "text")
+    prints, known = _components(rows, rounds)
+    out = prints.join(known, F.col("cls") == F.col("k_cls"), "left")
+    out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.when(F.col("component_id").isNotNull(), F.lit(False))).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """One row of each component, with the columns of the input."""
+    docs, row = numbered(docs, "near-rows")
+    rows = docs.select(F.col(row).alias("row"), F.col(row).alias("place"), "doc_id", "text")
+    prints, known = _components(rows, rounds)
+    out = prints.join(known, F.col("cls") == F.col("k_cls"), "left")
+    return kept_rows(docs, row, out.where("cls IS NULL OR row = least_row").select("row"))
