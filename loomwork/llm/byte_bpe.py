@@ -1,7 +1,7 @@
 """Operator 2: byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task takes a slice of its documents, cuts the texts into pieces and replays the merges over all
-different new pieces at once. An inverted index maps the rank of a merge to the positions where its
+A task takes groups of its documents, cuts the texts into pieces and replays the merges over all
+different new pieces of a group at once. An inverted index maps the rank of a merge to the positions where its
 pair stands; ranks are applied in order, and each merge looks at its two neighbours only and files
 the new pairs under their ranks. Work is in proportion to the merges, so one word of a million
 letters costs what a million letters of short words cost. A piece's ids do not depend on the rest
@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,9 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Runs without white space, with one space before them, and runs of white space; a match of the
 #: tokenizer's pattern never crosses the border of such a segment.
 SEGMENT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Segments, and pairs of tokens, that a worker remembers; characters of a slice.
-REMEMBERED, SLICE = 200_000, 2 << 20
+#: Segments, and pairs of tokens, that a worker remembers; bytes of texts whose new segments are learned at once,
+#: of texts that stand as strings at a time, and of new pieces in one replay.
+REMEMBERED, GROUP, SLICE, REPLAY = 150_000, 8 << 20, 1 << 20, 3 << 19
 WALL, GONE = -1, -2  # ends a word; was merged into the symbol before
 
 
@@ -50,6 +52,16 @@ def read_ranks(path: str) -> list[bytes]:
     return [t for _, t in pairs]
 
 
+def packed_each(ids: np.ndarray) -> list[bytes]:
+    """Each id as four bytes."""
+    data = ids.tobytes()
+    return [data[k : k + 4] for k in range(0, len(data), 4)]
+
+
+def unpacked(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, np.int32).tolist()
+
+
 class MergeReplay:
     """Encodes many byte strings at once by one rank table."""
 
@@ -58,6 +70,7 @@ class MergeReplay:
         self.ranks = {t: r for r, t in enumerate(tokens)}
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
         self.merged: dict[int, int] = {}  # pair -> rank of the merged token, or -1
+        self.packed = packed_each(np.arange(len(tokens), dtype=np.int32))
 
     def rank_of(self, left: int, right: int) -> int:
         key = left << 32 | right
@@ -68,9 +81,9 @@ class MergeReplay:
             rank = self.merged[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return rank
 
-    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each piece."""
-        result = [(r,) if (r := self.ranks.get(p)) is not None else () for p in pieces]
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, packed as four bytes each."""
+        result = [self.packed[r] if (r := self.ranks.get(p)) is not None else b"" for p in pieces]
         todo = [k for k, p in enumerate(pieces) if p and not result[k]]
         if not todo:
             return result
@@ -80,11 +93,11 @@ class MergeReplay:
         symbols[starts + lengths - 1] = WALL
         out_of_order = self._replay(symbols)
         left = symbols != GONE
-        ids = symbols[left].tolist()
+        ids = symbols[left].astype(np.int32).tobytes()
         ends = (np.cumsum(left)[starts + lengths - 1] - 1).tolist()
         lo = 0
         for k, hi in zip(todo, ends, strict=True):
-            result[k] = tuple(ids[lo:hi])
+            result[k] = ids[4 * lo : 4 * hi]
             lo = hi + 1
         for w in np.unique(np.searchsorted(starts, out_of_order, side="right") - 1):
             result[todo[w]] = self._one_by_one(pieces[todo[w]])
@@ -142,14 +155,14 @@ class MergeReplay:
             file(np.concatenate([ahead[fore], at[aft]]), np.concatenate([x[fore], np.full(aft.sum(), rank)]), np.concatenate([np.full(fore.sum(), rank), y[aft]]), rank)
         return np.concatenate(late) if late else np.zeros(0, np.int64)
 
-    def _one_by_one(self, piece: bytes) -> tuple[int, ...]:
+    def _one_by_one(self, piece: bytes) -> bytes:
         ids = [self.bytes[b] for b in piece]
         while len(ids) > 1:
             rank, at = min(((r, k) for k in range(len(ids) - 1) if (r := self.rank_of(ids[k], ids[k + 1])) >= 0), default=(-1, 0))
             if rank < 0:
                 break
             ids[at : at + 2] = [rank]
-        return tuple(ids)
+        return b"".join(self.packed[r] for r in ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -161,30 +174,50 @@ class TextEncoder:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.replay = MergeReplay(tokens)
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, slice by slice."""
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE):
-                size += len(texts[hi])
-                hi += 1
-            segments = [SEGMENT.findall(t) for t in texts[lo:hi]]
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The packed ids of each text.
+
+        A group of texts is read twice: for its different new segments, which are learned together, and
+        for the ids. Only a slice of it stands as strings at a time.
+        """
+        for lo, hi in _runs(texts, GROUP):
             if len(self.seen) > REMEMBERED:
                 self.seen.clear()
-            self._learn(list(set(chain.from_iterable(segments)) - self.seen.keys()))
-            for s in segments:
-                yield list(chain.from_iterable(map(self.seen.__getitem__, s)))
-            lo = hi
+            new: set[str] = set()
+            group = texts.slice(lo, hi - lo)
+            for a, b in _runs(group, SLICE):
+                new.update(chain.from_iterable(map(SEGMENT.findall, group.slice(a, b - a).to_pylist())))
+            self._learn(list(new - self.seen.keys()))
+            for a, b in _runs(group, SLICE):
+                for t in group.slice(a, b - a).to_pylist():
+                    yield b"".join(map(self.seen.__getitem__, SEGMENT.findall(t)))
 
     def _learn(self, segments: list[str]) -> None:
-        pieces = [self.pattern.findall(s) for s in segments]
-        new = list(set(chain.from_iterable(pieces)))
-        ids = dict(zip(new, self.replay.encode([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-        for s, p in zip(segments, pieces, strict=True):
-            self.seen[s] = ids[p[0]] if len(p) == 1 else tuple(chain.from_iterable(ids[x] for x in p))
+        lo = 0
+        while lo < len(segments):
+            size, hi = 0, lo
+            while hi < len(segments) and size < REPLAY:
+                size += len(segments[hi])
+                hi += 1
+            part = segments[lo:hi]
+            pieces = [self.pattern.findall(s) for s in part]
+            new = list(set(chain.from_iterable(pieces)))
+            ids = dict(zip(new, self.replay.encode([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
+            for s, p in zip(part, pieces, strict=True):
+                self.seen[s] = ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p])
+            lo = hi
+
+
+def _runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """First row and last row + 1 of runs of texts of about `most` bytes."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts.cast(pa.binary())), dtype=np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 _encoders: dict[tuple[int, str], TextEncoder] = {}
@@ -210,7 +243,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokens, pattern)
         for batch in batches:
-            ids = pa.array(encoder.encode(batch.column(1).to_pylist()), pa.list_(pa.int32()))
+            packed = list(encoder.encode(batch.column(1)))
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.record_batch([batch.column(0), ids], names=["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -237,7 +272,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         text_of = [str(k) for k in range(len(tokens.value))].__getitem__
         for batch in batches:
             counts, ids_sha, bytes_sha = [], [], []
-            for ids in encoder.encode(batch.column(1).to_pylist()):
+            for ids in map(unpacked, encoder.encode(batch.column(1))):
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(text_of, ids)).encode()).hexdigest())
                 bytes_sha.append(hashlib.sha256(encoder.replay.decode(ids)).hexdigest())

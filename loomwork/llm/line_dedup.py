@@ -1,13 +1,20 @@
 """Operator 3: line deduplication by a segment-partition edit join, in DataFrame functions only.
 
 Lines are the \\n-split parts of a text that hold a word. Equal lines are one content, first seen at
-the smallest (doc_id, line number). Contents of at least MIN_CHARS characters within EDITS edits of
-each other are linked:
+the smallest (doc_id, line number). Two contents are linked if both have MIN_CHARS characters or more
+and they are within EDITS edits of each other, so at most a twelfth of a line differs:
 
 - A content is split into EDITS + 1 segments. Of two linked contents, at least one segment of the
   shorter stands unchanged in the longer one, near its own place. Index rows are the segments by
   length, number and characters; probe rows are the substrings of a content at the few places where
   a segment of a content up to EDITS shorter can stand. They meet in an equi-join on a hash.
+- A segment that more than COMMON contents share is common: many variants of one line would meet each
+  other there. Contents with a common segment meet on a finer key instead. Cut into FINE segments, two
+  linked contents differ in two of them at most, so the others, about (FINE - 2) / FINE of all
+  characters, are equal in both: before the first of the two at the same place, after the second
+  counted from the end, and between them moved by at most one place (if both edits lie in one segment,
+  a neighbour of it takes the second place and nothing stands between). The key is the hash of these
+  parts; so no link is lost, and a key of the first kind gives at most COMMON pairs for each probe row.
 - Candidates are verified by a bit-parallel edit distance on the band of 2 * EDITS + 1 diagonals:
   one bit mask for each number of edits says which diagonals are reached, and a row of the table is
   a few shifts. Common starts and ends are cut off first, by bisection.
@@ -16,8 +23,9 @@ A line stays if it is the first of its content and no linked content was seen ea
 occurs in very many documents is merged by partial counts before the shuffle and is one row after.
 
 Edge cases: null or empty texts and lines without words have no part in this (such lines stay where
-the text is rebuilt); rows repeated with one doc_id count as copies of the document, of which the
-lines stay once; an empty table gives none; further columns are ignored.
+the text is rebuilt); rows of one doc_id are one document, of which a line stays where its first place
+and content are met again; rows without a doc_id count as one document after all others; an empty
+table gives none; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +35,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import written
+from loomwork.llm.shared import fresh, written
 
 EDITS, MIN_CHARS = 2, 24
+#: Contents that share a segment before it is common; segments of the finer cut (at least 3 characters each).
+COMMON, FINE = 4, 8
 #: Contents in candidates up to this number are sent to all tasks (two longs each); more are shuffled.
 BROADCAST_ROWS = 1_000_000
-_SHIFT = "2147483648BD"
+_SHIFT, _LAST = "2147483648BD", "9223372036854775808BD"  # stands for a null doc_id
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -43,10 +53,10 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 def contents(lines: DataFrame) -> DataFrame:
     """lid, line, doc_id, line_no (first seen) and n_chars of each different line, written once."""
-    place = F.expr(f"cast(doc_id AS decimal(20, 0)) * {_SHIFT} + line_no")
+    place = F.expr(f"coalesce(cast(doc_id AS decimal(20, 0)), {_LAST}) * {_SHIFT} + line_no")
     c = lines.groupBy("line").agg(F.min(place).alias("place"))
     c = c.withColumn("line_no", F.expr(f"cast(pmod(place, {_SHIFT}) AS int)"))
-    c = c.withColumn("doc_id", F.expr(f"(place - line_no) div {_SHIFT}"))
+    c = c.withColumn("doc_id", F.expr(f"if(place >= {_LAST} * {_SHIFT}, null, cast((least(place, {_LAST} * {_SHIFT} - 1) - line_no) div {_SHIFT} AS bigint))"))
     return written(c.select(F.monotonically_increasing_id().alias("lid"), "line", "doc_id", "line_no", F.length("line").alias("n_chars")), "line-contents")
 
 
@@ -61,14 +71,14 @@ def _key(i: int, n: Column, start: Column, length: Column) -> Column:
     return F.xxhash64(F.lit(i), n, F.col("line").substr(start + 1, length))
 
 
-def index_rows(c: DataFrame, edits: int = EDITS) -> DataFrame:
-    """key, lid: the segments of each content."""
+def index_keys(edits: int = EDITS) -> Column:
+    """The keys of the segments of a content."""
     n = F.col("n_chars")
-    return c.select(F.explode(F.array(*[_key(i, n, *_segment(n, i, edits)) for i in range(edits + 1)])).alias("key"), "lid")
+    return F.array(*[_key(i, n, *_segment(n, i, edits)) for i in range(edits + 1)])
 
 
-def probe_rows(c: DataFrame, edits: int = EDITS) -> DataFrame:
-    """key, lid: the substrings of each content where a segment of an up to `edits` shorter one can stand.
+def probe_keys(edits: int = EDITS) -> Column:
+    """The keys of the substrings of a content where a segment of an up to `edits` shorter one can stand.
 
     Segment i of the shorter can have moved by at most i edits before it, and by the difference of
     lengths less the edits that are left after it.
@@ -81,7 +91,41 @@ def probe_rows(c: DataFrame, edits: int = EDITS) -> DataFrame:
             for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 at = start + move
                 keys.append(F.when((at >= 0) & (at + length <= F.col("n_chars")), _key(i, n, at, length)))
-    return c.select(F.explode(F.array(*keys)).alias("key"), "lid").where("key IS NOT NULL")
+    return F.array_compact(F.array(*keys))
+
+
+def _fine_keys(params: list[tuple[int, int, int, int]], fine: int) -> Column:
+    """For each (p, q, less, move) the key of a content as one that is `less` longer than another: all but its segments p and q."""
+    at = lambda j: f"cast(floor((n_chars - x.less) * {j} / {fine}) AS int)"
+    ends = [at("x.p"), at("(x.p + 1)"), at("x.q"), at("(x.q + 1)")]
+    parts = [f"substring(line, 1, {ends[0]})", f"substring(line, {ends[1]} + x.move + 1, {ends[2]} - {ends[1]})", f"substring(line, {ends[3]} + x.less + 1)"]
+    rows = ", ".join(f"named_struct('p', {p}, 'q', {q}, 'less', {less}, 'move', {move})" for p, q, less, move in params)
+    return F.expr(f"transform(array({rows}), x -> xxhash64(x.p, x.q, n_chars - x.less, {', '.join(parts)}))")
+
+
+def _parities() -> tuple[Column, Column]:
+    """Bit k: whether an odd number of a content's characters (neighbouring pairs) is in class k."""
+    # coalesce: never null, so that no filter on nulls repeats the split for each character
+    odd = lambda a, of: F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), of(x)))), F.lit(0).cast("long"))
+    pairs = F.transform(F.sequence(F.lit(1), F.col("n_chars") - 1), lambda i: F.concat(F.get("chars_", i - 1), F.get("chars_", i)))
+    return odd(F.split("line", ""), lambda x: F.pmod(F.hash(x), F.lit(64))), odd(pairs, lambda x: F.pmod(F.hash(x), F.lit(64)))
+
+
+def fine_pairs(index: DataFrame, probe: DataFrame, fine: int = FINE) -> DataFrame:
+    """a, b: contents of `index` and of `probe` (lid, line, n_chars) that share all but two segments of the finer cut."""
+    places = [(p, q) for p in range(fine) for q in range(p + 1, fine)]
+    # of two edits in segments that do not touch, each moves what follows by one place at most
+    moves = [(p, q, less, move) for p, q in places for less in range(3) for move in ([0] if q == p + 1 else range(max(-1, less - 1), min(1, less + 1) + 1))]
+    sides = []
+    for rows, name, params in ((index, "a", [(p, q, 0, 0) for p, q in places]), (probe, "b", moves)):
+        single, double = _parities()
+        d = rows.withColumn("chars_", F.split("line", "")).select("lid", "line", "n_chars", single.alias(f"single_{name}"), double.alias(f"double_{name}"))
+        sides.append(d.select(F.col("lid").alias(name), f"single_{name}", f"double_{name}", F.explode(_fine_keys(params, fine)).alias("key")))
+    i, p = sides
+    p = p.withColumnRenamed("key", "own")
+    flips = lambda x: F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b")))
+    near = (F.col("key") == F.col("own")) & (F.col("a") != F.col("b")) & (flips("single") <= 2 * EDITS) & (flips("double") <= 4 * EDITS)
+    return i.join(p, near).select("a", "b").distinct()
 
 
 def _common(a: str, b: str, side: str) -> Column:
@@ -143,33 +187,49 @@ def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
     return p.where(within_edits("chars_a", "chars_b", edits)).select("a", "b")
 
 
-def links(c: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def _few(ids: DataFrame) -> DataFrame:
+    """A table of one or two longs, broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(ids) if len(ids.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n")).where(F.col("n") <= BROADCAST_ROWS).take(1)) else ids
+
+
+def candidates(c: DataFrame, edits: int = EDITS, common: int = COMMON) -> DataFrame:
+    """a, b (lids): every two contents that may be linked, written once."""
+    keys = written(c.select("lid", index_keys(edits).alias("index"), probe_keys(edits).alias("probe")), "line-keys")
+    i, p = keys.select(F.explode("index").alias("key"), "lid"), keys.select(F.explode("probe").alias("key"), "lid")
+    hot = i.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > common).select(F.col("key").alias("k"))
+    if edits != EDITS:  # the finer cut is made for this number of edits
+        hot = hot.limit(0)
+    hot = _few(written(hot, "line-common"))
+    a, b = i.withColumnRenamed("lid", "a"), p.withColumnRenamed("lid", "b")
+    rare = a.join(hot, F.col("key") == F.col("k"), "left_anti").join(b, "key").where("a <> b").select("a", "b").distinct()
+    sides = []
+    for name, rows in (("index", i), ("probe", p)):
+        ids = _few(written(rows.join(hot, F.col("key") == F.col("k"), "left_semi").select(F.col("lid").alias("own")).distinct(), f"line-{name}"))
+        sides.append(c.select("lid", "line", "n_chars").join(ids, F.col("lid") == F.col("own"), "left_semi"))
+    return written(rare.unionByName(fine_pairs(*sides)).distinct(), "line-pairs")
+
+
+def links(c: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
     """a, b (lids) of linked contents; b is the longer, or the larger id of two of equal length."""
-    long_enough = c.where(F.col("n_chars") >= min_chars)
-    i = index_rows(long_enough, edits).withColumnRenamed("lid", "a")
-    p = probe_rows(c.where(F.col("n_chars") >= min_chars), edits).withColumnRenamed("lid", "b")
-    pairs = i.join(p, "key").where("a <> b").select("a", "b").distinct()
-    pairs = written(pairs, "line-pairs")
-    ids = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    few = ids.count() <= BROADCAST_ROWS
-    text = c.select("lid", "line", "n_chars").join(F.broadcast(ids) if few else ids, "lid", "left_semi")
-    text = written(text, "line-candidates")
+    pairs = candidates(c.where(F.col("n_chars") >= min_chars), edits, common)
+    ids = _few(written(pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct(), "line-ids"))
+    text = written(c.select("lid", "line", "n_chars").join(ids, F.col("lid") == F.col("own"), "left_semi"), "line-candidates")
     p = pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("n_chars").alias("n_a")), "a")
     p = p.join(text.select(F.col("lid").alias("b"), F.col("line").alias("line_b"), F.col("n_chars").alias("n_b")), "b")
-    return written(verified(p.where("n_a < n_b OR a < b"), edits), "line-links")
+    return written(verified(p.where("n_a < n_b OR (n_a = n_b AND a < b)"), edits), "line-links")
 
 
 def decisions(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """Contents with near (an earlier content is linked) and n_links, and the links."""
     c = contents(document_lines(docs))
     found = links(c, edits)
-    place = c.select("lid", F.struct("doc_id", "line_no").alias("at"))
+    place = c.select("lid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("at"))
     both = found.join(place.select(F.col("lid").alias("a"), F.col("at").alias("at_a")), "a").join(place.select(F.col("lid").alias("b"), F.col("at").alias("at_b")), "b")
     sides = both.select(F.col("a").alias("l"), (F.col("at_b") < F.col("at_a")).alias("late")).unionByName(both.select(F.col("b").alias("l"), (F.col("at_a") < F.col("at_b")).alias("late")))
     sides = sides.groupBy("l").agg(F.count("*").alias("links"), F.bool_or("late").alias("late"))
-    c = c.select("lid", "doc_id", "line_no", F.sha2(F.col("line").cast("binary"), 256).alias("sha"))
+    c = c.select("lid", "doc_id", "line_no", F.sha2(F.col("line").cast("binary"), 256).alias("sha"), F.xxhash64("line").alias("content"))
     out = c.join(sides, F.col("lid") == F.col("l"), "left")
-    return out.select("lid", "doc_id", "line_no", "sha", F.coalesce("late", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("n_links")), found
+    return out.select("lid", "doc_id", "line_no", "sha", "content", F.coalesce("late", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("n_links")), found
 
 
 def line_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -186,7 +246,7 @@ def line_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         F.sum("n_links").alias("n_links"),
         F.array_sort(F.collect_list(F.when(~F.col("near"), F.struct("line_no", "sha")))).alias("stay"),
     )
-    d = d.join(by, F.col("doc_id") == F.col("first_doc"), "left")
+    d = d.join(by, F.col("doc_id").eqNullSafe(F.col("first_doc")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     kept = F.sha2(F.coalesce(F.array_join(F.transform("stay", lambda s: s["sha"]), ""), F.lit("")).cast("binary"), 256)
     return d.select("doc_id", "n_lines", (F.col("n_lines") - zero("n_first")).alias("n_copies"), zero("n_near").alias("n_near"), zero("n_links").alias("n_links"), kept.alias("kept_sha256"))
@@ -195,7 +255,9 @@ def line_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The documents, with the columns of the input, without copied and near-copied lines."""
     lines, _ = decisions(docs, edits)
-    stay = lines.where("NOT near").groupBy(F.col("doc_id").alias("first_doc")).agg(F.collect_set("line_no").alias("stay_"))
-    d = docs.join(stay, F.col("doc_id") == F.col("first_doc"), "left")
-    keeps = F.filter(F.split("text", "\n"), lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.array_contains("stay_", i), F.lit(False)))
-    return d.withColumn("text", F.array_join(keeps, "\n")).select(*docs.columns)
+    first, stay = fresh(docs, "first_doc_"), fresh(docs, "stay_")
+    own = lines.where("NOT near").groupBy(F.col("doc_id").alias(first)).agg(F.collect_set(F.struct("line_no", "content")).alias(stay))
+    d = docs.join(own, F.col("doc_id").eqNullSafe(F.col(first)), "left")
+    stays = lambda x, i: F.coalesce(F.array_contains(stay, F.struct(i.alias("line_no"), F.xxhash64(x).alias("content"))), F.lit(False))
+    keeps = F.filter(F.split("text", "\n"), lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | stays(x, i))
+    return d.withColumn("text", F.array_join(keeps, "\n")).select(*[f"`{c}`" for c in docs.columns])

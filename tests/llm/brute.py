@@ -113,7 +113,7 @@ def lines(rows, edits=2, min_chars=24):
     first = {}
     for (i, _), ls in zip(rows, own, strict=True):
         for k, x in ls:
-            first[x] = min(first.get(x, (i, k)), (i, k))
+            first[x] = min(first.get(x, (i, k)), (i, k), key=lambda p: (p[0] is None, p[0] or 0, p[1]))
     long = [x for x in first if len(x) >= min_chars]
     n_links, late = collections.Counter(), set()
     for p, x in enumerate(long):
@@ -121,7 +121,7 @@ def lines(rows, edits=2, min_chars=24):
             if abs(len(x) - len(y)) <= edits and within(x, y, edits):
                 n_links[x] += 1
                 n_links[y] += 1
-                late.add(max(x, y, key=first.get))
+                late.add(max(x, y, key=lambda z: (first[z][0] is None, first[z][0] or 0, first[z][1])))
     out = []
     for (i, _), ls in zip(rows, own, strict=True):
         mine = [x for k, x in ls if first[x] == (i, k)]
@@ -144,3 +144,52 @@ def targets(sizes):
             out[s] = 2.0 * sizes[s]
             open_.remove(s)
         left = 1.5 * sum(sizes.values()) - sum(out.values())
+
+
+def _mix_plan(rows, order, block):
+    """Targets, sizes, the source of each slot, and of each row its places (first word of each copy) and size."""
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    want = targets(size)
+    names = sorted(s for s in size if s is not None) + ([None] if None in size else [])
+    total, ends, at = sum(want.values()), [], 0.0
+    for s in names:
+        at += want[s] / total
+        ends.append((at, s))
+    ends[-1] = (2.0, ends[-1][1])
+    golden = (math.sqrt(5) - 1) / 2
+    slots = [next(s for end, s in ends if math.fmod((k + 1) * golden, 1.0) < end) for k in range(math.ceil(total / block))]
+    places, stream = {}, collections.Counter()
+    for i, t, s in sorted(rows, key=lambda r: (order[r[0]], r[0])):
+        n = len(WORD.findall(t or ""))
+        places[i] = [stream[s], stream[s] + size[s]], n
+        stream[s] += n
+    return want, size, slots, places
+
+
+def mixed(rows, order, block):
+    """doc_id -> (taken, first slot, last slot), by dealing the words of one block after another to the slots."""
+    want, size, slots, places = _mix_plan(rows, order, block)
+    at = collections.defaultdict(list)  # of each source the slot of each block
+    for k, s in enumerate(slots):
+        at[s].append(k)
+    out = {}
+    for i, _, s in rows:
+        starts, n = places[i]
+        words = [w for p in starts for w in range(p, p + n) if w // block < len(at[s]) and w < 2 * size[s]]
+        hit = [at[s][w // block] for w in words]
+        out[i] = (len(words), min(hit, default=None), max(hit, default=None))
+    return out, want, size, slots
+
+
+def mixed_copies(rows, order, block):
+    """doc_id -> how many of its copies have half of their words or more taken."""
+    _, size, slots, places = _mix_plan(rows, order, block)
+    n_slots = collections.Counter(slots)
+    out = collections.Counter()
+    for i, _, s in rows:
+        starts, n = places[i]
+        words = min(n_slots[s] * block, 2 * size[s])
+        out[i] = sum(n > 0 and 2 * max(0, min(words - p, n)) >= n for p in starts)
+    return out

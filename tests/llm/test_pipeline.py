@@ -28,9 +28,10 @@ def test_run(spark, tmp_path):
     left = [(i, t) for i, t in left if i in stays]
     stays = {r[0] for r in brute.near(left) if r[3]}
     left = [(i, t) for i, t in left if i in stays]
-    mixed = source_mix.mix(docs.where(F.col("doc_id").isin([i for i, _ in left])))
-    copies = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixed.collect() if r["size"]}
-    want = collections.Counter({(i, brute.sha(t)): copies.get(i, 0) for i, t in left})
+    source = {r[0]: r[3] for r in rows}
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect()}
+    copies = brute.mixed_copies([(i, t, source[i]) for i, t in left], order, source_mix.BLOCK)
+    want = collections.Counter({(i, brute.sha(t)): copies[i] for i, t in left})
     assert got == +want
 
 
