@@ -161,6 +161,13 @@ def signed_blur_radius(z_obj: ColumnLike, z_focus: ColumnLike, power: ColumnLike
     return _c(pupil_r) * F.try_divide(d(z_focus) - d(z_obj), d(z_obj))
 
 
+def object_of_blur(coc: ColumnLike, z_focus: ColumnLike, power: ColumnLike, pupil_z: ColumnLike, pupil_r: ColumnLike, back: ColumnLike = 0.0) -> Column:
+    """The object distance whose signed blur radius is `coc`: the inverse of signed_blur_radius."""
+    focus = conjugate(z_focus, power) + _c(back) - _c(pupil_z)
+    image = F.try_divide(focus * _c(pupil_r), _c(pupil_r) + _c(coc)) - _c(back) + _c(pupil_z)
+    return conjugate(image, power, -1)
+
+
 def numerical_aperture(pupil_r: ColumnLike, sphere_r: ColumnLike, ior: ColumnLike = 1.0) -> Column:
     return _c(ior) * F.try_divide(_c(pupil_r), _c(sphere_r))
 

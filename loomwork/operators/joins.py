@@ -185,3 +185,24 @@ def topological_levels(edges: list[tuple[str, str]], nodes: list[str]) -> list[s
             raise ValueError(f"cycle among {sorted(set(nodes) - set(out))}")
         out.append(ready[0])
     return out
+
+
+def assignment_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, column, status (missing, added, changed), old, new as text: one row for each assignment that differs.
+
+    A key that only one side has gives a row for each column, with null on the other side.
+    """
+    x = a.select(F.col(key), F.lit(True).alias("in_a_"), *[F.col(c).cast("string").alias(f"a_{c}_") for c in columns])
+    y = b.select(F.col(key), F.lit(True).alias("in_b_"), *[F.col(c).cast("string").alias(f"b_{c}_") for c in columns])
+    j = x.join(y, key, "full_outer")
+    status = F.when(F.col("in_a_").isNull(), "added").when(F.col("in_b_").isNull(), "missing").otherwise("changed")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a_{c}_").alias("old"), F.col(f"b_{c}_").alias("new")) for c in columns])
+    d = j.select(key, status.alias("status"), F.explode(cells).alias("c_")).where("status <> 'changed' OR NOT (c_.old <=> c_.new)")
+    return d.select(key, "c_.column", "status", "c_.old", "c_.new")
+
+
+def resolved_names(df: DataFrame, given: str, known: DataFrame, name: str, target: str, out: str) -> DataFrame:
+    """`df` with the target of a known name; a given path (with a slash) stands for itself, an unknown name is null."""
+    k = known.groupBy(F.col(name).alias("k_")).agg(F.min(target).alias("t_"))
+    j = df.join(k, F.col(given) == F.col("k_"), "left")
+    return j.withColumn(out, F.when(F.col(given).contains("/"), F.col(given)).otherwise(F.col("t_"))).drop("k_", "t_")

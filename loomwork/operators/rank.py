@@ -108,3 +108,16 @@ def best_grid(n: int, ratio: float, spark, band: float = 4.0) -> DataFrame:
     shape = F.abs(F.ln(F.col("columns") / F.col("rows") / ratio))
     empty = F.col("rows") * F.col("columns") - n
     return g.where(shape <= F.lit(band)).select("rows", "columns", (shape + empty / n).alias("score")).orderBy("score", "rows").limit(1)
+
+
+def dictionary(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """The distinct values of the columns with code (from 0, in their order), first (the least `order`) and n (rows)."""
+    g = df.groupBy(*columns).agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    return numbered(g, columns, "code").withColumn("code", F.col("code") - 1)
+
+
+def expanded(df: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
+    """`df` with what its dictionary says of its values."""
+    w = words.select(*[F.col(c).alias(f"{c}_w_") for c in columns], *[c for c in words.columns if c not in columns])
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_w_")) for c in columns]
+    return df.join(w, on).drop(*[f"{c}_w_" for c in columns])

@@ -176,3 +176,12 @@ def seeded_position(df: DataFrame, group: list[str], columns: list[str], seed: i
     """Of each group one row, picked by the smallest hash: uniform among the valid positions."""
     h = F.sha2(F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in [*group, *columns]]).cast("binary"), 256)
     return df.groupBy(*group).agg(F.min_by(F.struct(*columns), h).alias("p_")).select(*group, "p_.*")
+
+
+def pupil_positions(front_a: Column, front_b: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
+    """struct(entrance, exit): where the stop's images stand, from the matrix of what is before it and of what is after it.
+
+    Before the stop (front_a, front_b) only the ray through its centre counts; null where an image is at infinity.
+    """
+    del a, c
+    return F.struct(F.try_divide(front_b, front_a).alias("entrance"), F.when(F.abs(d) > 1e-12, F.try_divide(-b, d)).alias("exit"))

@@ -156,7 +156,8 @@ def matrix_text(docs: DataFrame, doc: str, text: str, marker: str) -> DataFrame:
     d = d.select(doc, "row", F.transform(F.split(F.trim(F.regexp_replace("t_", "[Xx]", "")), r"\s+"), lambda v: v.cast("double")).alias("values"))
     w = Window.partitionBy(doc)
     same = F.min(F.size("values")).over(w) == F.max(F.size("values")).over(w)
-    return d.where(F.when(~same, F.raise_error(F.lit("rows differ in length")).cast("boolean")).otherwise(True))
+    d = d.withColumn("same_", same)
+    return d.where(F.when(~F.col("same_"), F.raise_error(F.lit("rows differ in length")).cast("boolean")).otherwise(True)).drop("same_")
 
 
 def tensor_rows(df: DataFrame, key: str, array: str, shape: list[int], dtype: str = "float64") -> DataFrame:
@@ -173,3 +174,28 @@ def renamed_pairs(pairs: DataFrame, order: list[str], digits: int) -> DataFrame:
     from loomwork.operators.rank import numbered
 
     return numbered(pairs, order, "rn_").withColumn("shared_name", F.lpad((F.col("rn_") - 1).cast("string"), digits, "0")).drop("rn_")
+
+
+def manifest_pairs(lines: DataFrame, line: str, low_root: str, high_root: str, template: str = "{}") -> DataFrame:
+    """`lines` with low and high: the paths of each listed file and of its partner, whose stem follows the template.
+
+    A line names the file first; what follows the first blank is a remark.
+    """
+    name = F.substring_index(F.trim(line), " ", 1)
+    stem, end = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    before, _, after = template.partition("{}")
+    low = F.concat(F.lit(low_root.rstrip("/") + "/"), F.lit(before), stem, F.lit(after), end)
+    return lines.where(F.trim(line) != "").withColumns({"low": low, "high": F.concat(F.lit(high_root.rstrip("/") + "/"), name)})
+
+
+def glass_catalogues(docs: DataFrame, catalog: str, text: str) -> DataFrame:
+    """name, nd, vd and the catalogue of the glasses of several catalogue texts."""
+    rows = stanza_lines(docs, catalog, text)
+    p = lambda k: F.get("params", F.lit(k))
+    return rows.where("keyword = 'NM'").select(p(0).alias("name"), p(3).try_cast("double").alias("nd"), p(4).try_cast("double").alias("vd"), F.col(catalog))
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """path, height, width, channels, mode and data of image files; files that are no image are left out."""
+    d = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return d.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "mode", "data")

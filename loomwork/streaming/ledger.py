@@ -92,3 +92,9 @@ def until_target(units: DataFrame, order: list[str], produced: str, cycles: int,
     u = u.withColumn("in_part_", inside).join(sums, F.col("part_") == F.col("p_")).join(F.broadcast(total))  # one row
     u = u.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)))).withColumn("before_", F.col("cycle") * F.col("t_") + F.col("off_") + F.col("in_part_"))
     return u.where(F.col("before_") < target).select("cycle", *units.columns, F.least(F.col(produced), F.lit(target) - F.col("before_")).alias("taken"))
+
+
+def cycles(units: DataFrame, n: str, name: str = "cycle") -> DataFrame:
+    """Each unit once for each of its cycles 0 .. n - 1; a unit without cycles gives no row."""
+    numbers = F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    return units.withColumn(name, F.explode(numbers))

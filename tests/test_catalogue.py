@@ -6,10 +6,12 @@ import os
 import duckdb
 import pytest
 
-from loomwork.plans import catalogue
+from loomwork.plans import catalogue, families
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+NAMES = list(catalogue.QUERIES)
+assert families.query is catalogue.query  # both register in one place
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
 
 
@@ -33,7 +35,7 @@ def rows(data, columns):
     return sorted(tuple(plain(r[c]) for c in sorted(columns)) for r in data)
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     got = [r.asDict() for r in df.collect()]
