@@ -193,3 +193,86 @@ def mixed_copies(rows, order, block):
         words = min(n_slots[s] * block, 2 * size[s])
         out[i] = sum(n > 0 and 2 * max(0, min(words - p, n)) >= n for p in starts)
     return out
+
+
+def jensen_shannon(p, q):
+    half = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+    return math.sqrt(max(0.0, 0.5 * sum(half(a, (a + b) / 2) + half(b, (a + b) / 2) for a, b in zip(p, q, strict=True))))
+
+
+def shares(h):
+    return [x / max(1.0, sum(h)) for x in h]
+
+
+def quality_verdicts(rows, q):
+    """doc_id -> (character distance, word distance, kept) of rows (doc_id, text, lang); `q` has the operator's parameters."""
+    found, refs = {}, {}
+    for i, text, lang in rows:
+        n, chars, *_, failed = base = quality(text)
+        text = text or ""
+        kinds = [len(re.findall(c, text)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^\x00-\x7F]")]
+        kinds.append(max(0, chars - sum(kinds)))
+        words = [w.lower() for w in WORD.findall(text)]
+        usual = [words.count(c) for c in q.COMMON]
+        usual.append(n - sum(usual))
+        found[i] = (base, kinds, usual, lang)
+        if not failed:
+            r = refs.setdefault(lang, [0, [0] * 5, [0] * len(usual)])
+            refs[lang] = [r[0] + n, [a + b for a, b in zip(r[1], kinds, strict=True)], [a + b for a, b in zip(r[2], usual, strict=True)]]
+    out = {}
+    for i, (base, kinds, usual, lang) in found.items():
+        n, chars, *_, failed = base
+        total, ref_kinds, ref_usual = refs.get(lang, (0, [0] * 5, [0] * len(usual)))
+        known = total >= q.MIN_REFERENCE
+        ref_kinds, ref_usual = shares(ref_kinds), shares(ref_usual)
+        c = jensen_shannon(shares(kinds), ref_kinds) if known and chars >= q.MIN_CHARS else None
+        w = jensen_shannon(shares(usual), ref_usual) if known and n >= q.MIN_WORDS else None
+        limit = q.WORD_LIMIT
+        if ref_usual[-1] <= 1 - q.MIN_COMMON:
+            limit = min(limit, (q.WORD_SHARE + q.WORD_NOISE / math.sqrt(max(n, 1))) * jensen_shannon([0.0] * len(q.COMMON) + [1.0], ref_usual))
+        out[i] = (c, w, not failed and not (c or 0) > q.CHARACTER_LIMIT and not (w or 0) > limit)
+    return out
+
+
+def lm_scores(rows, ratio, mix):
+    """doc_id -> log10 probability: bigram counts at the lower end of their level, words with one added."""
+    tokens = [(i, [*WORD.findall((t or "").translate(LOWER)), None]) for i, t in rows]
+    c, pairs = collections.Counter(), collections.Counter()
+    for i, t in tokens:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(t)
+            pairs.update(zip([None, *t[:-1]], t, strict=True))
+    whole = sum(c.values()) + len(c) + 1
+    level = {p: ratio ** math.floor(math.log(n) / math.log(ratio)) for p, n in pairs.items()}
+    out = {}
+    for i, t in tokens:
+        total = 0.0
+        for h, w in zip([None, *t[:-1]], t, strict=True):
+            p = (c[w] + 1) / whole
+            if c[h]:
+                p = mix * min(level.get((h, w), 0.0) / c[h], 1.0) + (1 - mix) * p
+            total += math.log10(p)
+        out[i] = total
+    return out
+
+
+def gru_logit(p, inputs):
+    """The logit of one window (a list of word vectors), unit by unit, by the network's definition."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    n = len(p["U"][0])
+    states = []
+    for side, order in ((0, range(len(inputs))), (1, reversed(range(len(inputs))))):
+        h, trail = [0.0] * n, {}
+        for t in order:
+            x = [sum(inputs[t][k] * p["W"][side][k][j] for k in range(len(inputs[t]))) + p["b"][side][0][j] for j in range(3 * n)]
+            u = [sum(h[k] * p["U"][side][k][j] for k in range(n)) for j in range(3 * n)]
+            r, z = [sig(x[j] + u[j]) for j in range(n)], [sig(x[n + j] + u[n + j]) for j in range(n)]
+            c = [math.tanh(x[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(n)]
+            trail[t] = h
+        states.append(trail)
+    both = [[*states[0][t], *states[1][t]] for t in range(len(inputs))]
+    e = [sum(math.tanh(sum(s[k] * p["A"][k][j] for k in range(2 * n)) + p["a0"][j]) * p["v"][j] for j in range(len(p["v"]))) for s in both]
+    w = [math.exp(v - max(e)) for v in e] if e else []
+    pooled = [sum(a * s[k] for a, s in zip(w, both, strict=True)) / sum(w) for k in range(2 * n)] if w else [0.0] * (2 * n)
+    return sum(a * b for a, b in zip(pooled, p["o"], strict=True)) + p["o0"][0]

@@ -17,7 +17,7 @@ P = pytest.importorskip("public_tokenizers")
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside, as columns of the input.
-CLASHES = ["size", "kept", "keep_id", "h", "n", "cls", "comp", "key", "set", "sig", "line", "lid", "words", "row", "part", "seq", "text_", "score_", "target", "taken", "g", "spans", "place", "rank", "a", "b"]
+CLASHES = ["size", "kept", "keep_id", "h", "n", "cls", "comp", "key", "set", "sig", "line", "lid", "words", "row", "part", "seq", "text_", "score_", "target", "taken", "g", "spans", "place", "rank", "a", "b", "row_", "stays_", "own_", "times_", "copy_", "first_doc_", "stay_", "keep_id_", "doc_id_", "main", "slot", "chars_", "first", "last"]
 
 
 def make_rows():
@@ -160,6 +160,19 @@ def test_quality(docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_verdicts(docs):
+    """Distances and verdicts against the plain version."""
+    want = brute.quality_verdicts([(i, t, lang) for i, t, lang, _, _ in ROWS], quality_rules)
+    got = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
+    for i, (c, w, kept) in want.items():
+        r = got[i]
+        assert (r.character_distance is None) == (c is None) and (r.word_distance is None) == (w is None), i
+        assert c is None or r.character_distance == pytest.approx(c, abs=1e-9)
+        assert w is None or r.word_distance == pytest.approx(w, abs=1e-9)
+        assert r.kept == kept, i
+    assert any(c is not None for c, _, _ in want.values()) and any(w is not None for _, w, _ in want.values())
+
+
 def test_quality_rejects_strange_texts(spark):
     rnd = random.Random(1)
     words = ["the", "of", "and", "to", *("".join(rnd.choice("aeinrst") for _ in range(6)) for _ in range(300))]
@@ -194,6 +207,14 @@ def test_lm(docs):
     assert sum(r.score for r in rest) > 1.3 * sum(r.base_score for r in rest)
 
 
+def test_lm_scores(docs):
+    """The model's scores against exact counts; a false hit of the filter may move a few of them."""
+    want = brute.lm_scores(PAIRS, bloom_lm.RATIO, bloom_lm.MIX)
+    got = {r.doc_id: r.score for r in bloom_lm.scores(docs).collect()}
+    same = sum(got[i] == pytest.approx(v, rel=1e-6) for i, v in want.items())
+    assert same >= 0.9 * len(want) and all(got[i] == pytest.approx(v, rel=0.02) for i, v in want.items())
+
+
 def test_lm_filter_counts():
     import numpy as np
 
@@ -362,6 +383,26 @@ def test_toxicity(spark):
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, _, _ in marks)
 
 
+def test_toxicity_scores():
+    """Scores against the network's definition, window by window and unit by unit."""
+    import numpy as np
+
+    rows, marks = toxic_rows()
+    net = toxicity.train([r[1].encode() for r in rows[:80]], np.array([m[2] for m in marks[:80]]), steps=20)
+    texts = [rows[0][1], rows[7][1], "one", "", "## !", "word " * 70]
+    data = [t.encode() for t in texts]
+    words = toxicity.Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]).astype(np.int64))
+    got = toxicity.text_logits(net, words)
+    plain = {k: np.asarray(v, dtype=float).tolist() for k, v in net.p.items()}
+    x, at = net.inputs(words).astype(float).tolist(), 0
+    for k, n in enumerate(words.counts.tolist()):
+        vectors = [x[w] for w in words.which[at : at + n].tolist()]
+        at += n
+        starts = sorted({*range(0, max(n - toxicity.WINDOW, 0), toxicity.STRIDE), max(n - toxicity.WINDOW, 0)})
+        want = max(brute.gru_logit(plain, vectors[s : s + toxicity.WINDOW]) for s in starts) + net.shift
+        assert got[k] == pytest.approx(want, abs=1e-3), texts[k]
+
+
 def test_toxicity_gradients():
     """The written gradients agree with differences of the loss."""
     import numpy as np
@@ -465,5 +506,41 @@ def test_repeated_rows(name, repeated):
     assert sorted(r.doc_id for r in got) == [ROWS[0][0]] * 2 + [ROWS[61][0]] * 2 + [9_999]
 
 
+@pytest.mark.parametrize("name", list(OPERATORS))
+def test_rows_without_doc_id(name, spark):
+    """A null doc_id is reported as any other row."""
+    rows = [(None, "to be or not to be, that is 10.0.0.1", "en", "s", 0), (None, "to be or not to be, that is 10.0.0.1", "en", "s", 0), (None, None, None, None, 0), (5, "to be or not to be, that is 10.0.0.1", "en", "s", 0), (6, "x", "en", None, 0)]
+    got = OPERATORS[name](spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == [5, 6, None, None, None]
+
+
+KEEPING = {
+    "toxicity": lambda d: toxicity.drop_toxic(d, labels(d.sparkSession)),
+    "exact": exact_dedup.drop_copies,
+    "near": near_dedup.drop_near_copies,
+    "mix": source_mix.mixed_documents,
+    "lines": line_dedup.drop_lines,
+}
+
+
+@pytest.mark.parametrize("name", list(KEEPING))
+def test_columns_of_any_name_are_kept(name, docs, empty, repeated):
+    got = KEEPING[name](docs)
+    assert got.columns == docs.columns and all(r["stay_"] == "clash" for r in got.select("stay_").collect())
+    assert KEEPING[name](empty).collect() == [] and KEEPING[name](repeated).columns == repeated.columns
+    KEEPING[name](repeated).collect()
+
+
+def test_pii_is_near_linear_in_one_text(spark):
+    """A text of many identifiers, and one long word of digits."""
+    n = 60_000
+    texts = ["call +1 917 555 7017 or 10.0.0.1 at x " * (n // 10) + "code 77", "12345678 " * n, "1" * 400_000, "a@" * 200_000, "1." * 200_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    began = time.time()
+    got = {r.doc_id: r for r in pii_bootstrap.spans(d).collect()}
+    assert time.time() - began < 120
+    assert got[0].n_ip == got[0].n_phone == n // 10 and got[0].base_sha256 == brute.sha(",".join(brute.pii(texts[0])[0]))
+
+
 def test_empty_pages(spark):
     assert warc_derivatives.derivatives(warc_derivatives.responses(spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []

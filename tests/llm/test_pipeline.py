@@ -41,3 +41,16 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, "").columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "source_mix", "byte_bpe"]
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """No rows; null and repeated doc_ids, null and empty texts, equal rows."""
+    _, marks = toxic_rows()
+    labels(spark, marks).write.parquet(str(tmp_path / "labels.parquet"))
+    odd = [(None, "a b c d e f", "en", "s", 0), (None, "a b c d e f", "en", "s", 0), (1, None, None, None, 0), (1, "", "en", "s", 0), (2, "g h i j k l", "en", "s", 0), (2, "m n o p q r", "en", "t", 0), (2, "m n o p q r", "en", "t", 0)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert (docs.count() > 0) == bool(rows), name
