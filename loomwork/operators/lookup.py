@@ -95,8 +95,8 @@ def match_schema(df: DataFrame, columns: dict[str, type]) -> DataFrame:
 def select_names(df: DataFrame, name: str, selectors: list[str]) -> DataFrame:
     """Rows of sorted distinct names by selectors: an index (negative from the end), a slice a:b, or a name.
 
-    Order of the selectors is kept and a name comes once. An index out of range or an unknown name
-    raises when the result is evaluated.
+    Order of the selectors is kept and a name comes once. An index out of range or an unknown name raises
+    here: a small job looks for each.
     """
     from loomwork.operators.rank import numbered
 
