@@ -48,7 +48,7 @@ def taken(df: DataFrame, columns: list[str], index: int) -> DataFrame:
 
 
 def alpha_over(df: DataFrame, keys: list[str], depth: str, color: str, alpha: str) -> DataFrame:
-    """keys, color, alpha of layers laid over each other, the largest depth first."""
+    """keys, color, alpha of a pixel's layers (a few) laid over each other, the largest depth first."""
     g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(depth, color, alpha)), asc=False).alias("l_"))
     start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("a"))
     over = F.aggregate("l_", start, lambda s, v: F.struct((v[color] * v[alpha] + s["c"] * (1 - v[alpha])).alias("c"), (v[alpha] + s["a"] * (1 - v[alpha])).alias("a")))

@@ -114,17 +114,17 @@ def shifted(image: str | Column, height: int, width: int, dy: float, dx: float)
 
 
 def layered_blur(df: DataFrame, keys: list[str], depth: str, color: str, alpha: str, kernel: str, height: int, width: int, size: int) -> DataFrame:
-    """keys, image: layers convolved with their own kernels and laid over each other, the farthest first."""
+    """keys, image: the layers of an image (a few) convolved with their own kernels and laid over each other, the farthest first."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((height, width))
         shape = (height + size - 1, width + size - 1)
         h = size // 2
-        for _, row in pdf.sort_values(depth, ascending=False).iterrows():
-            k = np.fft.rfft2(np.asarray(row[kernel], float).reshape(size, size), shape)
+        far_first = pdf.sort_values(depth, ascending=False)
+        layers = zip(_images(far_first[kernel], size, size), _images(far_first[alpha], height, width), _images(far_first[color], height, width), strict=True)
+        for own, a, c in layers:
+            k = np.fft.rfft2(own, shape)
             blur = lambda x, k=k: np.fft.irfft2(np.fft.rfft2(x, shape) * k, shape)[h : h + height, h : h + width]
-            a = np.asarray(row[alpha], float).reshape(height, width)
-            c = np.asarray(row[color], float).reshape(height, width)
             out = blur(c * a) + out * (1 - np.clip(blur(a), 0, 1))
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "image": [out.reshape(-1)]})
 

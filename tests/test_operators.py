@@ -325,3 +325,24 @@ def test_size_text_keeps_long_documents(spark, tmp_path):
     spark.createDataFrame([(1, 10), (2, 400_000), (3, 2_000_000)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r["size"] for r in catalogue.QUERIES["size_text"](spark, str(tmp_path)).collect()}
     assert got == {1: "201.0 B", 2: "298.0 GB", 3: "7.3 TB"}
+
+
+def test_layered_blur(spark):
+    """Two layers against a plain convolution."""
+    rng = np.random.default_rng(3)
+    layers = [(1, z, rng.random(20).tolist(), rng.random(20).tolist(), (k / k.sum()).ravel().tolist()) for z, k in ((2.0, rng.random((3, 3))), (5.0, rng.random((3, 3))))]
+    d = spark.createDataFrame(layers, "img int, z double, c array<double>, a array<double>, k array<double>")
+    got = np.array(tensors.layered_blur(d, ["img"], "z", "c", "a", "k", 4, 5, 3).first().image).reshape(4, 5)
+
+    def blur(x, k):
+        out = np.zeros((4, 5))
+        for y in range(4):
+            for j in range(5):
+                out[y, j] = sum(k[1 + dy, 1 + dx] * x[y - dy, j - dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 <= y - dy < 4 and 0 <= j - dx < 5)
+        return out
+
+    want = np.zeros((4, 5))
+    for _, _, c, a, k in sorted(layers, key=lambda r: -r[1]):
+        c, a, k = np.reshape(c, (4, 5)), np.reshape(a, (4, 5)), np.reshape(k, (3, 3))
+        want = blur(c * a, k) + want * (1 - np.clip(blur(a, k), 0, 1))
+    assert np.allclose(got, want)
