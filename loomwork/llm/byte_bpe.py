@@ -39,7 +39,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 SEGMENT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Segments, and pairs of tokens, that a worker remembers; bytes of texts whose new segments are learned at once,
 #: of texts that stand as strings at a time, and of new pieces in one replay.
-REMEMBERED, GROUP, SLICE, REPLAY = 150_000, 8 << 20, 1 << 20, 3 << 19
+REMEMBERED, GROUP, SLICE, REPLAY = 150_000, 16 << 20, 1 << 20, 3 << 20
 WALL, GONE = -1, -2  # ends a word; was merged into the symbol before
 
 
