@@ -78,7 +78,7 @@ def index_keys(edits: int = EDITS) -> Column:
 
 
 def probe_keys(edits: int = EDITS) -> Column:
-    """The keys of the substrings of a content where a segment of an up to `edits` shorter one can stand.
+    """The keys of the substrings of a content where a segment of an up to `edits` shorter one can stand (null: nowhere).
 
     Segment i of the shorter can have moved by at most i edits before it, and by the difference of
     lengths less the edits that are left after it.
@@ -91,7 +91,7 @@ def probe_keys(edits: int = EDITS) -> Column:
             for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 at = start + move
                 keys.append(F.when((at >= 0) & (at + length <= F.col("n_chars")), _key(i, n, at, length)))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def _fine_keys(params: list[tuple[int, int, int, int]], fine: int) -> Column:
@@ -195,7 +195,7 @@ def _few(ids: DataFrame) -> DataFrame:
 def candidates(c: DataFrame, edits: int = EDITS, common: int = COMMON) -> DataFrame:
     """a, b (lids): every two contents that may be linked, written once."""
     keys = written(c.select("lid", index_keys(edits).alias("index"), probe_keys(edits).alias("probe")), "line-keys")
-    i, p = keys.select(F.explode("index").alias("key"), "lid"), keys.select(F.explode("probe").alias("key"), "lid")
+    i, p = keys.select(F.explode("index").alias("key"), "lid"), keys.select(F.explode("probe").alias("key"), "lid").where("key IS NOT NULL")
     hot = i.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > common).select(F.col("key").alias("k"))
     if edits != EDITS:  # the finer cut is made for this number of edits
         hot = hot.limit(0)
