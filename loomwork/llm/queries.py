@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bloom_lm, byte_bpe, exact_dedup, line_dedup, near_dedup, pii_bootstrap, quality_rules, source_mix, toxicity, warc_derivatives
+from loomwork.llm import bloom_lm, byte_bpe, exact_dedup, filter_audit, hard_negatives, line_dedup, near_dedup, pii_bootstrap, quality_rules, source_mix, toxicity, warc_derivatives
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_pii_bootstrap": op1_pii_bootstrap,
     "op2_byte_bpe": op2_byte_bpe,
@@ -66,6 +74,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_source_mix": op10_source_mix,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 # The others are not expressible in SQL over whole tables; tests/llm compares them with brute force.
@@ -77,4 +87,6 @@ ORACLES: dict[str, str] = {
         FROM t WINDOW w AS (PARTITION BY s)
     """,
     "op9_warc_derivatives": warc_derivatives.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
