@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bloom_lm, byte_bpe, exact_dedup, filter_audit, hard_negatives, line_dedup, near_dedup, pii_bootstrap, quality_rules, source_mix, toxicity, warc_derivatives
+from loomwork.llm import bloom_lm, byte_bpe, exact_dedup, filter_audit, hard_negatives, jaccard_join, line_dedup, near_dedup, pii_bootstrap, quality_rules, source_mix, toxicity, warc_derivatives
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_pii_bootstrap": op1_pii_bootstrap,
     "op2_byte_bpe": op2_byte_bpe,
@@ -76,6 +80,7 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_filter_audit": op12_filter_audit,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 # The others are not expressible in SQL over whole tables; tests/llm compares them with brute force.
