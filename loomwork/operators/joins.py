@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import uniform
 from loomwork.operators.rank import numbered
+from loomwork.sources.shared import stored
 
 
 def ready_items(done_upstream: list[DataFrame], handled: list[DataFrame], key: str = "item") -> DataFrame:
@@ -172,19 +171,64 @@ def copy_matching(new: DataFrame, old: DataFrame, on: list[str], value: str, ord
     return new.join(last, on, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def topological_levels(edges: list[tuple[str, str]], nodes: list[str]) -> list[str]:
-    """Kahn's order of a small dependency list (node, needs), ties in the order of `nodes`; a cycle raises."""
-    needs = {n: {b for a, b in edges if a == n} for n in nodes}
-    unknown = reduce(set.union, needs.values(), set()) - set(nodes)
-    if unknown:
-        raise ValueError(f"unknown nodes: {sorted(unknown)}")
-    out: list[str] = []
-    while len(out) < len(nodes):
-        ready = [n for n in nodes if n not in out and needs[n] <= set(out)]
-        if not ready:
-            raise ValueError(f"cycle among {sorted(set(nodes) - set(out))}")
-        out.append(ready[0])
-    return out
+def dependency_levels(nodes: DataFrame, edges: DataFrame, node: str, needs: str) -> DataFrame:
+    """node, level: 0 without needs, else one more than the highest level needed; null for nodes on or behind a cycle.
+
+    Edges are rows (node, needs); nodes that only edges name count too, repeated edges count once. Each
+    round takes the nodes whose open needs have come down to none: the edges that lead out of the last
+    round's nodes are counted and taken off, so an edge is counted in one round only. Rounds are as many
+    as levels; their tables are written to the shared folder.
+    """
+    e = stored(edges.select(F.col(node).alias("node"), F.col(needs).alias("needs")).where("node IS NOT NULL AND needs IS NOT NULL").distinct(), "levels-edges")
+    every = nodes.select(F.col(node).alias("node")).where("node IS NOT NULL").unionByName(e.select("node")).unionByName(e.select(F.col("needs").alias("node"))).distinct()
+    wait = every.join(e.groupBy("node").agg(F.count("*").alias("open")), "node", "left").select("node", F.coalesce("open", F.lit(0)).cast("long").alias("open"), F.lit(None).cast("int").alias("level"))
+    level = 0
+    while True:
+        wait = stored(wait.withColumn("level", F.when(F.col("level").isNull() & (F.col("open") == 0), level).otherwise(F.col("level"))), "levels")
+        last = wait.where(F.col("level") == level).select(F.col("node").alias("needs"))
+        if last.isEmpty():
+            return wait.select(F.col("node").alias(node), "level")
+        down = e.join(last, "needs", "left_semi").groupBy(F.col("node").alias("d_node")).agg(F.count("*").alias("down"))
+        wait = wait.join(down, F.col("node") == F.col("d_node"), "left").select("node", (F.col("open") - F.coalesce("down", F.lit(0))).alias("open"), "level")
+        level += 1
+
+
+def dependency_order(levels: DataFrame, node: str) -> DataFrame:
+    """The nodes in an order in which needs come first: by level, then by node. Nodes of a cycle raise when evaluated."""
+    message = F.concat(F.lit("cycle at or before node "), F.col(node).cast("string"))
+    return levels.where(F.when(F.col("level").isNull(), F.raise_error(message).cast("boolean")).otherwise(True)).orderBy("level", node)
+
+
+def folder_key(path: str | Column, up: int = 1) -> Column:
+    """The name of the folder `up` levels above a file."""
+    return F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1 - up)
+
+
+def stem_key(path: str | Column, drop: int = 0, lead: str = "") -> Column:
+    """A file's name without its extension, `drop` leading characters replaced by `lead`."""
+    name = F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
+    return F.concat(F.lit(lead), F.substring(F.regexp_replace(name, r"\.[^.]*$", ""), drop + 1, 1 << 30))
+
+
+def derived_pairs(low: DataFrame, high: DataFrame, path: str, low_key: Column, high_key: Column) -> DataFrame:
+    """key, low, high, status of files paired by keys made from their paths: paired, no_high or no_low.
+
+    Any number of low files may share a high one and the other way round (each low file with each high
+    file of its key); a path that gives no key stays alone. Rows in the order of the key are left to the caller.
+    """
+    a = low.select(low_key.alias("a_key"), F.col(path).alias("low")).where("low IS NOT NULL")
+    b = high.select(high_key.alias("b_key"), F.col(path).alias("high")).where("high IS NOT NULL")
+    status = F.when(F.col("high").isNull(), "no_high").when(F.col("low").isNull(), "no_low").otherwise("paired")
+    return a.join(b, F.col("a_key") == F.col("b_key"), "full_outer").select(F.coalesce("a_key", "b_key").alias("key"), "low", "high", status.alias("status"))
+
+
+def pair_completeness(pairs: DataFrame) -> DataFrame:
+    """One row: paired, low and high files with a partner, files of either side without one, and whether all have one."""
+    paired = F.col("status") == "paired"
+    g = pairs.groupBy("key", "status").agg(F.count_distinct("low").alias("lows"), F.count_distinct("high").alias("highs"), F.count("*").alias("n"))
+    s = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
+    out = g.agg(s("n", paired).alias("paired"), s("lows", paired).alias("low_paired"), s("highs", paired).alias("high_paired"), s("lows", ~paired).alias("low_alone"), s("highs", ~paired).alias("high_alone"))
+    return out.withColumn("complete", (F.col("low_alone") == 0) & (F.col("high_alone") == 0))
 
 
 def assignment_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:

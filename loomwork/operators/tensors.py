@@ -158,14 +158,59 @@ def masked_least_squares(df: DataFrame, keys: list[str], features: list[str], ta
     return g.select(*keys, solve(a, F.array(*[F.col(f"b_{i}") for i in range(n)])).alias("coefficients"))
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: str, step, schema: str) -> DataFrame:
-    """step(state, row) -> (state, output dict) over each group's rows in order; outputs as rows."""
+def _complex(values: np.ndarray) -> pd.DataFrame:
+    """Rows of complex numbers as struct(re, im)."""
+    return pd.DataFrame({"re": list(np.ascontiguousarray(values.real)), "im": list(np.ascontiguousarray(values.imag))})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for row in pdf.sort_values(order).to_dict("records"):
-            state, made = step(state, row)
-            out.append({**{k: row[k] for k in keys}, **made})
-        return pd.DataFrame(out)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+_SPECTRUM = "re array<double>, im array<double>"
+
+
+def centred_dft(image: str | Column, shape: tuple[int, ...], inverse: bool = False, axes: tuple[int, ...] | None = None) -> Column:
+    """struct(re, im) of the transform of a row-major array whose origin, before and after, is element n // 2 of each axis."""
+    axes = tuple(range(len(shape))) if axes is None else axes
+    own = tuple(a + 1 for a in axes)
+    turn = np.fft.ifftn if inverse else np.fft.fftn
+
+    @F.pandas_udf(_SPECTRUM)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            x = np.stack([np.asarray(v, np.float64).reshape(shape) for v in s]) if len(s) else np.zeros((0, *shape))
+            y = np.fft.fftshift(turn(np.fft.ifftshift(x, own), axes=own), own)
+            yield _complex(y.reshape(len(y), -1))
+
+    return run(image)
+
+
+def zoomed_dft(signal: str | Column, n: int, spacing: float, low: float, high: float, bins: int) -> Column:
+    """struct(re, im) of a signal's transform at the centres of `bins` equal bins of the frequencies from `low` to `high`.
+
+    Samples stand `spacing` apart around the middle, (n - 1) / 2. Chirps turn the sum into a convolution
+    of length n + bins, which is done by FFT for all rows of a batch at once.
+    """
+    width = (high - low) / bins
+    first = low + width / 2
+    size = 1 << (n + bins - 2).bit_length()
+    k = np.arange(max(n, bins), dtype=np.float64)
+    # t * k = (t^2 + k^2 - (k - t)^2) / 2
+    chirp = np.exp(-1j * np.pi * width * spacing * k * k)
+    kernel = np.zeros(size, complex)
+    kernel[:bins] = np.conj(chirp[:bins])
+    kernel[size - n + 1 :] = np.conj(chirp[1:n])[::-1]
+    kernel = np.fft.fft(kernel)
+    start = np.exp(-2j * np.pi * first * spacing * k[:n]) * chirp[:n]
+    end = chirp[:bins] * np.exp(2j * np.pi * (first + width * k[:bins]) * spacing * (n - 1) / 2)
+
+    @F.pandas_udf(_SPECTRUM)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            x = np.stack([np.asarray(v, np.float64) for v in s]) if len(s) else np.zeros((0, n))
+            y = np.fft.ifft(np.fft.fft(x * start, size, axis=1) * kernel, axis=1)[:, :bins] * end
+            yield _complex(y)
+
+    return run(signal)
+
+
+def bin_centres(low: float, high: float, bins: int) -> Column:
+    """The frequencies of `zoomed_dft`."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.lit(low) + (k + 0.5) * ((high - low) / bins))
