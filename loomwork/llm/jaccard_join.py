@@ -38,6 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ from loomwork.llm.shared import written
 from loomwork.llm.text_arrays import byte_slices
 
 WORDS, THRESHOLD = 3, 90  # words of a shingle; similarity in percent
-RANGE = 4_000_000  # tokens of a hash range, on average
+RANGE = 2_000_000  # tokens of a hash range, on average
 SLICE = 8 << 20  # bytes of texts or sets that are packed at a time
 ROUNDS, FAIR = 6, 0.1  # most rounds, and the part of its questions that a round links if another one follows
 BLOCK = 256  # questions of a block
@@ -114,6 +115,7 @@ def shared_tokens(rows: DataFrame, sets_of: Callable, total: int) -> DataFrame:
                 run = np.diff(np.append(np.flatnonzero(first), len(full)))
                 many = np.repeat(run > 1, run)
                 cuts = np.searchsorted(full, np.arange(parts + 1, dtype=np.uint64) << _32)
+                name = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
                 out = []
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
                     part = slice(cuts[p], cuts[p + 1])
@@ -121,9 +123,9 @@ def shared_tokens(rows: DataFrame, sets_of: Callable, total: int) -> DataFrame:
                     key, several = full[part] & _LOW, many[part]
                     single = key[~several]
                     gaps = np.diff(single, prepend=np.uint64(0))
-                    out.append((p, ids[there].tobytes(), _planes(np.bincount(idx[several], minlength=len(there))), _planes(gaps), _planes(idx[~several]), _planes(key[several & first[part]])))
+                    out.append((p, name, ids[there].tobytes(), _planes(np.bincount(idx[several], minlength=len(there))), _planes(gaps), _planes(idx[~several]), _planes(key[several & first[part]])))
                 if out:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["p", "ids", "own", "gaps", "idx", "several"])
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["p", "slice", "ids", "own", "gaps", "idx", "several"])
 
     def count(table: pa.Table) -> pa.Table:
         ids, own, gaps, idx, several = (table.column(x).to_pylist() for x in ("ids", "own", "gaps", "idx", "several"))
@@ -145,12 +147,19 @@ def shared_tokens(rows: DataFrame, sets_of: Callable, total: int) -> DataFrame:
         for k, end in enumerate(ends.tolist()):
             who = np.frombuffer(ids[k], np.int64)
             n = _numbers(own[k]) + np.bincount(_numbers(idx[k])[shared[end - len(keys[k]) : end]], minlength=len(who))
-            out_id.append(who[n > 0])
-            out_k.append(n[n > 0])
-        return pa.table({"id": pa.array(np.concatenate(out_id), pa.int64()), "k": pa.array(np.concatenate(out_k).astype(np.int64), pa.int64())})
-
-    sent = rows.mapInArrow(send, "p int, ids binary, own binary, gaps binary, idx binary, several binary")
-    return sent.groupBy("p").applyInArrow(count, "id long, k long").groupBy("id").agg(F.sum("k").alias("k"))
+            out_id.append(who[n > 0].tobytes())
+            out_k.append(_planes(n[n > 0]))
+        return pa.table({"slice": table.column("slice"), "ids": pa.array(out_id, pa.binary()), "k": pa.array(out_k, pa.binary())})
+
+    def total_of(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        who, at = np.unique(ids, return_inverse=True)
+        k = np.bincount(at, np.concatenate([_numbers(x) for x in table.column("k").to_pylist()]), len(who))
+        return pa.table({"id": pa.array(who, pa.int64()), "k": pa.array(k.astype(np.int64), pa.int64())})
+
+    sent = rows.mapInArrow(send, "p int, slice long, ids binary, own binary, gaps binary, idx binary, several binary")
+    counted = sent.groupBy("p").applyInArrow(count, "slice long, ids binary, k binary")  # packed: a row for each slice and range
+    return counted.groupBy("slice").applyInArrow(total_of, "id long, k long").groupBy("id").agg(F.sum("k").alias("k"))
 
 
 def _least(n: str, percent: int) -> Column:
