@@ -13,10 +13,13 @@ copies are never expanded into pairs.
 3. Index. Tokens are ordered by the number of classes that hold them, rarest first. The first tokens of
    a class, as many as leave fewer than 90 percent behind them, are its entries in the inverted lists;
    tokens of no other class come first in that order and need no entry.
-4. Derived answers. In each list one class of its largest component is the leader that classes of other
-   components ask: one question for each class in a round, and followers whose answer is a link join the
-   leader's component. A list that stands wholly in one component is skipped from then on.
-5. The rest is joined exactly. A list is cut into blocks by set size. An entry's size and position bound
+4. Derived answers. In each block of a list one class of the list's largest component is the leader that
+   classes of other components ask, where sizes and positions permit a link: one question for each class
+   in a round, and followers whose answer is a link join the leader's component. A list that stands wholly
+   in one component is skipped from then on.
+5. The rest is joined exactly, in turns: first a few classes are compared with all others, then four times
+   as many, and so on until all are. Each pair has its turn and is compared then, unless earlier ones have
+   already brought both into one component, which spares most pairs of a group. A list is cut into blocks by set size. An entry's size and position bound
    the sizes of its partners, so it probes only blocks in that range and skips the others; within a block
    the positions of both entries bound the overlap. A candidate of a follower is answered from its
    leader's overlap: |F & T| = |L & T| - |(L - F) & T| + |(F - L) & T|, and is skipped when
@@ -42,15 +45,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.near_dedup import _digest, moved, open_members, pivot_pairs, shingle_sets
+from loomwork.llm.near_dedup import _digest, moved, shingle_sets
 from loomwork.llm.shared import written
 from loomwork.llm.text_arrays import byte_slices
 
 WORDS, THRESHOLD = 3, 90  # words of a shingle; similarity in percent
 RANGE = 2_000_000  # tokens of a hash range, on average
 SLICE = 8 << 20  # bytes of texts or sets that are packed at a time
-ROUNDS, FAIR = 6, 0.1  # most rounds, and the part of its questions that a round links if another one follows
+ROUNDS, FAIR = 10, 0.05  # most rounds, and the part of its questions that a round links if another one follows
 BLOCK = 256  # questions of a block
+FIRST = 16  # so many classes of the longest list are compared with all others in the first turn
 RATIO = 1.03  # sizes of one block of a list lie within this ratio
 FEW = 500_000  # so many row numbers at most are sent to all tasks; more are shuffled
 
@@ -267,21 +271,76 @@ def answered(asks: DataFrame, body: DataFrame, percent: int) -> DataFrame:
     dealt = asks.groupBy(F.col("l").alias("d_l")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     asks = asks.join(dealt, F.col("l") == F.col("d_l")).select("l", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("j"), "f", "t")
     asks = written(asks, "jaccard-asks")
-    wanted = asks.select(F.col("l").alias("w_l"), F.col("j").alias("w_j"), F.explode(F.array("l", "f", "t")).alias("w_c")).distinct()
+    wanted = [asks.select(F.col("l").alias("w_l"), F.col("j").alias("w_j"), F.col(c).alias("w_c")).distinct() for c in "lft"]
+    wanted = wanted[0].unionByName(wanted[1]).unionByName(wanted[2]).distinct()
     sets = wanted.join(body.select("c", "n", "set").hint("merge"), F.col("w_c") == F.col("c")).select("w_l", "w_j", "c", "n", "set")
     return sets.groupBy("w_l", "w_j").cogroup(asks.groupBy("l", "j")).applyInArrow(run, "a long, b long")
 
 
-def candidates(members: DataFrame, percent: int) -> DataFrame:
-    """x, y: the pairs of different components that share a list (key, c, n, g, comp) and that sizes and positions permit."""
-    block = lambda n: F.floor(F.log(n) / float(np.log(RATIO))).cast("int")
-    least = _least("n", percent)
-    most = F.expr(f"least(n, ({100 + percent} * (n - g) - {percent} * n) div {percent})")  # the largest partner that the position permits
-    probe = members.select("key", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("g").alias("xg"), F.col("comp").alias("x_comp"), least.alias("least"), most.alias("most"))
-    probe = probe.where("most >= least").withColumn("block", F.explode(F.sequence(block(F.col("least").cast("double")), block(F.col("most").cast("double")))))
-    index = members.select(F.col("key").alias("i_key"), F.col("c").alias("y"), F.col("n").alias("yn"), F.col("g").alias("yg"), F.col("comp").alias("y_comp"), block(F.col("n").cast("double")).alias("i_block"))
-    fits = F.expr(f"x_comp <> y_comp AND yn BETWEEN least AND most AND (yn < xn OR y < x) AND {100 + percent} * least(xn - xg, yn - yg) >= {percent} * (xn + yn)")
-    return probe.join(index.hint("merge"), (F.col("key") == F.col("i_key")) & (F.col("block") == F.col("i_block")) & fits).select("x", "y").distinct()
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, c, n, g, comp of the lists in which two or more components stand. Written once."""
+    m = lists.join(labels, "c")
+    several = m.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+    return written(m.join(several, F.col("key") == F.col("k"), "left_semi").select(*lists.columns, "comp"), "jaccard-open")
+
+
+def turns(lists: DataFrame, longest: int) -> tuple[DataFrame, int]:
+    """`lists` with turn, and the number of turns: in each one four times as many classes as before, all others in the last.
+
+    Turns are as many as it takes for a list of the `longest` length to begin with some FIRST of its classes.
+    """
+    n = 0
+    while FIRST * 4**n < longest:
+        n += 1
+    h = F.pmod(F.xxhash64("c", F.lit("turn")), F.lit(4**n))
+    turn = F.lit(n)
+    for k in reversed(range(n)):
+        turn = F.when(h % 4 ** (n - k) == 0, k).otherwise(turn)
+    return lists.withColumn("turn", turn), n + 1
+
+
+def _block(n: str) -> Column:
+    """The block of a list in which sets of this size stand."""
+    return F.floor(F.log(F.col(n).cast("double")) / float(np.log(RATIO))).cast("int")
+
+
+def _probes(members: DataFrame, percent: int, largest: str) -> DataFrame:
+    """key, x, xn, xg, x_comp, least, most, block: each entry once for each block that can hold a partner, of at most `largest` tokens.
+
+    The fewest tokens of a partner follow from the size of a set, the most from its entry's position too.
+    """
+    most = f"least({largest}, ({100 + percent} * (n - g) - {percent} * n) div {percent})"
+    p = members.withColumnsRenamed({"c": "x", "n": "xn", "g": "xg", "comp": "x_comp"}).withColumn("n", F.col("xn")).withColumn("g", F.col("xg"))
+    p = p.withColumn("least", _least("n", percent)).withColumn("most", F.expr(most)).where("most >= least").drop("n", "g")
+    return p.withColumn("block", F.explode(F.sequence(_block("least"), _block("most"))))
+
+
+def _fits(percent: int) -> str:
+    return f"yn BETWEEN least AND most AND {100 + percent} * least(xn - xg, yn - yg) >= {percent} * (xn + yn)"
+
+
+def leader_asks(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """l, f, t (l = f): for each class outside the largest component of a list one leader that sizes and positions permit.
+
+    Each block of a list has one leader, of the list's largest component: at first the set with the fewest
+    tokens of its own, which the others are nearest to, later any.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("many"))
+    largest = parts.groupBy(F.col("key").alias("m_key")).agg(F.max(F.struct("many", "comp")).alias("m")).select("m_key", F.col("m.comp").alias("main"))
+    m = members.join(largest, F.col("key") == F.col("m_key")).drop("m_key")
+    rank = F.col("g") if turn == 0 else F.xxhash64("c", F.lit(turn))
+    leaders = m.where("comp = main").groupBy(F.col("key").alias("y_key"), _block("n").alias("y_block")).agg(F.min(F.struct(rank.alias("rank"), F.col("c").alias("y"), F.col("n").alias("yn"), F.col("g").alias("yg"))).alias("p"))
+    probes = _probes(m.where("comp <> main").drop("main"), percent, f"n * 100 div {percent}")
+    j = probes.join(leaders.select("y_key", "y_block", "p.*"), (F.col("key") == F.col("y_key")) & (F.col("block") == F.col("y_block")) & F.expr(_fits(percent)))
+    best = j.groupBy(F.col("x").alias("t")).agg(F.min(F.struct("rank", "y")).alias("p"))
+    return best.select(F.col("p.y").alias("l"), F.col("p.y").alias("f"), "t")
+
+
+def candidates(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """x, y: the pairs of this turn that are in different components, share a list (key, c, n, g, turn, comp) and that sizes and positions permit."""
+    index = members.select(F.col("turn").alias("y_turn"), F.col("key").alias("i_key"), F.col("c").alias("y"), F.col("n").alias("yn"), F.col("g").alias("yg"), F.col("comp").alias("y_comp"), _block("n").alias("i_block"))
+    on = (F.col("key") == F.col("i_key")) & (F.col("block") == F.col("i_block")) & F.expr(f"x_comp <> y_comp AND (yn < xn OR y < x) AND least(turn, y_turn) = {turn} AND {_fits(percent)}")
+    return _probes(members, percent, "n").join(index.hint("merge"), on).select("x", "y").distinct()
 
 
 def joined(docs: DataFrame, rounds: int = ROUNDS, percent: int = THRESHOLD) -> DataFrame:
@@ -301,26 +360,30 @@ def joined(docs: DataFrame, rounds: int = ROUNDS, percent: int = THRESHOLD) -> D
     body = written(ordered_sets(_some(sets, "c", able), percent), "jaccard-body")
     lists = written(body.select("c", "n", "start", F.posexplode("first").alias("pos", "key")).select("key", "c", "n", (F.col("start") + F.col("pos")).alias("g")), "jaccard-lists")
     labels = body.select("c", F.col("c").alias("comp"))
-    members = open_members(lists, labels)
+    members = open_lists(lists, labels)
     leads = body.select(F.col("c").alias("a"), F.col("c").alias("b")).where("false")
     for turn in range(rounds):
-        asks = written(pivot_pairs(members, turn).select(F.col("q").alias("l"), F.col("q").alias("f"), F.col("c").alias("t")), f"jaccard-asks{turn}")
+        asks = written(leader_asks(members, turn, percent), f"jaccard-asks{turn}")
         found = written(answered(asks, body, percent), f"jaccard-links{turn}")
         asked, links = asks.count(), found.count()
         if links:
             leads = leads.unionByName(found)
             labels = moved(labels, found)
-            members = open_members(lists, labels)
+            members = open_lists(lists, labels)
         if links <= FAIR * asked:
             break
-    members = members.join(lists.withColumnsRenamed({"key": "l_key", "c": "l_c", "n": "l_n"}), (F.col("key") == F.col("l_key")) & (F.col("c") == F.col("l_c"))).select("key", "c", "n", "g", "comp")
     leads = written(leads.groupBy(F.col("b").alias("follower")).agg(F.min("a").alias("leader")), "jaccard-leads")
-    pairs = candidates(members, percent)
     x, y = (leads.withColumnsRenamed({"follower": f"{s}_f", "leader": f"{s}_l"}) for s in "xy")
-    pairs = pairs.join(x, F.col("x") == F.col("x_f"), "left").join(y, F.col("y") == F.col("y_f"), "left")
     by_x = F.col("x_l").isNotNull() | F.col("y_l").isNull()
-    asks = pairs.select(F.coalesce("x_l", "y_l", "x").alias("l"), F.when(by_x, F.col("x")).otherwise(F.col("y")).alias("f"), F.when(by_x, F.col("y")).otherwise(F.col("x")).alias("t"))
-    labels = moved(labels, answered(written(asks, "jaccard-rest"), body, percent)).select(F.col("c").alias("l_c"), "comp")
+    longest = members.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    lists, n_turns = turns(lists, longest)
+    for turn in range(n_turns):
+        pairs = candidates(open_lists(lists, labels), turn, percent).join(x, F.col("x") == F.col("x_f"), "left").join(y, F.col("y") == F.col("y_f"), "left")
+        asks = pairs.select(F.coalesce("x_l", "y_l", "x").alias("l"), F.when(by_x, F.col("x")).otherwise(F.col("y")).alias("f"), F.when(by_x, F.col("y")).otherwise(F.col("x")).alias("t"))
+        found = written(answered(written(asks, "jaccard-rest"), body, percent), "jaccard-links")
+        if not found.isEmpty():
+            labels = moved(labels, found)
+    labels = labels.select(F.col("c").alias("l_c"), "comp")
     known = classes.join(labels, F.col("c") == F.col("l_c"), "left").select("cls", "first_id", F.coalesce("comp", "c").alias("comp"))
     least = known.groupBy(F.col("comp").alias("g")).agg(F.min("first_id").alias("least_id"))
     known = known.join(least, F.col("comp") == F.col("g")).select(F.col("cls").alias("k_cls"), "least_id")
