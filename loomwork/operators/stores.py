@@ -168,7 +168,7 @@ def to_csv(df: DataFrame, path: str) -> None:
 
 def aligned(df: DataFrame, digits: int | None = None) -> DataFrame:
     """Every column as text padded to the widest value; doubles with fixed digits, nulls empty."""
-    text = [F.coalesce(F.format_string(f"%.{digits}f", F.col(f.name)) if digits is not None and f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string"), F.lit("")).alias(f.name) for f in df.schema]
+    text = [F.coalesce(F.when(F.col(f.name).isNotNull(), F.format_string(f"%.{digits}f", F.col(f.name))) if digits is not None and f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string"), F.lit("")).alias(f.name) for f in df.schema]
     t = df.select(*text)
     widths = t.agg(*[F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(f"w_{c}") for c in df.columns])
     return t.join(F.broadcast(widths)).select(*[F.rpad(c, F.col(f"w_{c}"), F.lit(" ")).alias(c) for c in df.columns])  # one row
@@ -178,7 +178,7 @@ def table_cells(df: DataFrame, table: Column, place: Column, order: list[str], c
     """table, place (of the table in its set), row (a struct to sort by), i, head, text, number of a DataFrame that holds several tables."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema}
     numeric = ("double", "float", "integer", "long", "short", "byte", "decimal")
-    text = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
+    text = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("head"), text(c).alias("text"), F.lit(kinds[c] in numeric).alias("number")) for i, c in enumerate(columns)])
     return df.select(table.alias("table"), place.alias("place"), F.struct(*order).alias("row"), F.inline(cells))
 

@@ -148,14 +148,14 @@ _STEPS = "SELECT p_brand, p_partkey, (p_size % 5) * 0.0917::DOUBLE AS t, -(p_par
 def prefix_matrices(spark, d):
     t, c = (F.col("p_size") % 5) * 0.0917, -(F.col("p_partkey") % 3) * 0.0473
     steps = T(spark, d, "part").select("p_brand", "p_partkey", (1 + t * c).alias("a"), t.alias("b"), c.alias("c"), F.lit(1.0).alias("d"))
-    out = scans.prefix_scan(steps, ["p_brand"], ["p_partkey"], ["a", "b", "c", "d"], scans.matrix_combine, few=256)
+    out = scans.prefix_scan(steps, ["p_brand"], ["p_partkey"], ["a", "b", "c", "d"], scans.matrix_combine, parts=16, few=256)
     return out.select("p_brand", "p_partkey", *[F.round(x, 9).alias(x) for x in "abcd"])
 
 
 @query("SELECT o_orderpriority, o_orderkey, round(sum(o_totalprice) OVER w, 2)::DOUBLE AS total, (count(*) OVER w)::DOUBLE AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)")
 def prefix_sums(spark, d):
     orders = T(spark, d, "orders").select("o_orderpriority", "o_orderkey", F.col("o_totalprice").cast("double").alias("total"), F.lit(1.0).alias("n"))
-    out = scans.prefix_scan(orders, ["o_orderpriority"], ["o_orderkey"], ["total", "n"], scans.sum_combine, parts=32, few=1024)
+    out = scans.prefix_scan(orders, ["o_orderpriority"], ["o_orderkey"], ["total", "n"], scans.sum_combine, parts=16, few=1024)
     return out.withColumn("total", F.round("total", 2))
 
 

@@ -297,12 +297,6 @@ def test_streamed_windows(spark, tmp_path):
     assert sum(r.n for r in spark.table("windows_").collect()) == 120
 
 
-def test_topological(spark):
-    assert joins.topological_levels([("b", "a"), ("c", "b")], ["c", "b", "a"]) == ["a", "b", "c"]
-    with pytest.raises(ValueError, match="cycle"):
-        joins.topological_levels([("a", "b"), ("b", "a")], ["a", "b"])
-
-
 def test_prescription(spark):
     from loomwork.sources import prescriptions
 
