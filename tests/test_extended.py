@@ -319,7 +319,7 @@ def test_table_texts(spark):
     d = spark.createDataFrame(rows, "t string, p int, n int, word string, v double")
     cells_ = stores.table_cells(d, F.col("t"), F.col("p"), ["n"], ["word", "v"], 2)
     text = stores.joined_tables(stores.text_of_tables(cells_).withColumn("set", F.lit(1)), ["set"]).first().text
-    other = "other\n  word         v\n  ----------------------\n  longer text   \n"
+    other = "other\n  word         v\n  ------------------------\n  longer text   \n"
     first = "first\n  word  v     \n  ----------------------\n        -20.25\n  x       1.50\n"
     assert text == other + "\n" + first
     assert stores.aligned(d.where("t = 'other'").select("v"), 2).first().v == " "
