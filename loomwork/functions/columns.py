@@ -345,3 +345,53 @@ def hsv_to_rgb(h: ColumnLike, s: ColumnLike, v: ColumnLike) -> Column:
 
 def standardized(x: ColumnLike, mean: float, std: float) -> Column:
     return (_c(x) - mean) / std
+
+
+# rays -------------------------------------------------------------------------------------------------
+
+
+def refracted(direction: Column, normal: Column, ratio: ColumnLike) -> Column:
+    """struct(direction, defined): a unit direction behind a surface by Snell's law.
+
+    `ratio` is the index before the surface over the one behind it; the unit normal points against the
+    ray. Not defined beyond total reflection, where the ray goes along the surface.
+    """
+    eta = _c(ratio)
+    cos_in = -dot(normal, direction)
+    rest = 1 - eta * eta * (1 - cos_in * cos_in)
+    along = eta * cos_in - F.sqrt(F.greatest(rest, F.lit(0.0)))
+    out = F.zip_with(direction, normal, lambda d, n: eta * d.cast("double") + along * n.cast("double"))
+    return F.struct(unit(out).alias("direction"), (rest >= 0).alias("defined"))
+
+
+def sphere_hit(origin: Column, direction: Column, curvature: ColumnLike) -> Column:
+    """struct(t, point, normal, defined): where a ray meets a sphere (or, of curvature 0, the plane) through z = 0.
+
+    The vertex is the origin. Of the two meetings it is the one on the vertex's side; the unit normal points
+    against the ray. Not defined where the ray passes by, or runs along the plane.
+    """
+    c = _c(curvature).cast("double")
+    z = lambda v: v[2].cast("double")
+    # c |o + t d|^2 = 2 z: a t^2 + 2 b t + f = 0
+    a, b, f = c * dot(direction, direction), c * dot(origin, direction) - z(direction), c * dot(origin, origin) - 2 * z(origin)
+    disc = b * b - a * f
+    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
+    # in this form the root on the vertex's side stays exact as the curvature goes to 0
+    t = F.try_divide(f, F.when(z(direction) < 0, -root).otherwise(root) - b)
+    point = F.zip_with(origin, direction, lambda o, d: o.cast("double") + t * d.cast("double"))
+    outward = F.array(-c * point[0], -c * point[1], 1 - c * point[2])
+    facing = F.when(dot(outward, direction) > 0, F.transform(outward, lambda v: -v)).otherwise(outward)
+    return F.struct(t.alias("t"), point.alias("point"), unit(facing).alias("normal"), F.coalesce((disc >= 0) & t.isNotNull(), F.lit(False)).alias("defined"))
+
+
+def zernike_mode(j: ColumnLike) -> Column:
+    """struct(n, m, norm) of the mode number j (from 1) in Noll's order: by radial order, then |m|; even j have m > 0, odd ones m < 0.
+
+    `norm` gives the mode unit variance over the disk.
+    """
+    k = _c(j).cast("long")
+    n = F.floor((F.sqrt(8 * (k - 1) + 1.0) - 1) / 2).cast("long")
+    inside = k - 1 - (n * (n + 1) / 2).cast("long")
+    size = F.when(n % 2 == 0, 2 * F.floor((inside + 1) / 2)).otherwise(2 * F.floor(inside / 2) + 1).cast("long")
+    m = F.when(k % 2 == 0, size).otherwise(-size)
+    return F.struct(n.alias("n"), m.alias("m"), F.when(size == 0, F.sqrt(n + 1.0)).otherwise(F.sqrt(2 * (n + 1.0))).alias("norm"))

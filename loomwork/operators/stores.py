@@ -97,6 +97,11 @@ def as_json_rows(df: DataFrame, order: list[str]) -> DataFrame:
     return df.agg(F.array_sort(F.collect_list(sort)).alias("rows_")).select(F.to_json(F.transform("rows_", lambda r: r["r_"])).alias("json"))
 
 
+def as_json_list(values: DataFrame, column: str = "value") -> DataFrame:
+    """One row with a JSON array of a set's values in order; for sets that fit one row."""
+    return values.agg(F.to_json(F.array_sort(F.collect_set(column))).alias("json"))
+
+
 # sets (one column of distinct values) -----------------------------------------------------------------
 
 

@@ -498,10 +498,10 @@ def size_text(spark, d):
     return T(spark, d, "documents").select("doc_id", C.size_text(2 * n * n + 1).alias("size"))
 
 
-@query("SELECT vec_id, k, round(65.481 * embedding[3 * k + 1]::DOUBLE + 128.553 * embedding[3 * k + 2]::DOUBLE + 24.966 * embedding[3 * k + 3]::DOUBLE + 16, 5) AS y FROM embeddings, range(21) t(k)")
+@query("SELECT vec_id, k, round(65.481 * embedding[3 * k + 1]::DOUBLE + 128.553 * embedding[(3 * k + 1) % 64 + 1]::DOUBLE + 24.966 * embedding[(3 * k + 2) % 64 + 1]::DOUBLE + 16, 5) AS y FROM embeddings, range(22) t(k)")
 def luma(spark, d):
-    e = T(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))).alias("k"))
-    at = lambda j: F.get("embedding", (3 * F.col("k") + j).cast("int")).cast("double")
+    e = T(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(21).cast("long"))).alias("k"))
+    at = lambda j: F.get("embedding", ((3 * F.col("k") + j) % 64).cast("int")).cast("double")
     return e.select("vec_id", "k", F.round(C.luma(at(0), at(1), at(2)), 5).alias("y"))
 
 

@@ -191,12 +191,12 @@ def glass_catalogues(spark, d):
 
 # colours and pixels ---------------------------------------------------------------------------------
 
-_RGB = "SELECT vec_id, k, abs(embedding[3 * k + 1]::DOUBLE) AS r, abs(embedding[3 * k + 2]::DOUBLE) AS g, abs(embedding[3 * k + 3]::DOUBLE) AS b FROM embeddings, range(21) t(k)"
+_RGB = "SELECT vec_id, k, abs(embedding[3 * k + 1]::DOUBLE) AS r, abs(embedding[(3 * k + 1) % 64 + 1]::DOUBLE) AS g, abs(embedding[(3 * k + 2) % 64 + 1]::DOUBLE) AS b FROM embeddings, range(22) t(k)"
 
 
 def _rgb(spark, d):
-    e = T(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))).alias("k"))
-    return e.select("vec_id", "k", *[F.abs(F.get("embedding", (3 * F.col("k") + j).cast("int")).cast("double")).alias(n) for j, n in enumerate("rgb")])
+    e = T(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(21).cast("long"))).alias("k"))
+    return e.select("vec_id", "k", *[F.abs(F.get("embedding", ((3 * F.col("k") + j) % 64).cast("int")).cast("double")).alias(n) for j, n in enumerate("rgb")])
 
 
 @query(f"""WITH p AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS s FROM ({_RGB})),

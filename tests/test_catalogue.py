@@ -6,12 +6,12 @@ import os
 import duckdb
 import pytest
 
-from loomwork.plans import catalogue, extended, families
+from loomwork.plans import catalogue, extended, families, roundtrips
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 NAMES = list(catalogue.QUERIES)
-assert families.query is extended.query is catalogue.query  # all register in one place
+assert families.query is extended.query is roundtrips.query is catalogue.query  # all register in one place
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.functions import columns as C
 from loomwork.operators import groups, images, joins, scans, stores, tensors
 from loomwork.sources import tensors as store
 from loomwork.streaming import ledger, units
@@ -325,3 +326,36 @@ def test_table_texts(spark):
     assert stores.aligned(d.where("t = 'other'").select("v"), 2).first().v == " "
     bare = stores.text_of_tables(cells_.where("t = 'first'"), "", 1, False).first().text
     assert bare == "first\nword v     \n     -20.25\nx      1.50\n"
+
+
+# rays
+
+
+def test_rays(spark):
+    rnd = random.Random(7)
+    rows = [(k, [rnd.uniform(-0.3, 0.3), rnd.uniform(-0.3, 0.3), rnd.choice((-2.0, 0.0, 1.5))], [rnd.uniform(-0.2, 0.2), rnd.uniform(-0.2, 0.2), rnd.choice((-1.0, 1.0))], rnd.choice((0.0, 1e-12, 0.4, -0.7, 1.1))) for k in range(80)]
+    rows += [(90, [5.0, 0.0, 0.0], [0.0, 0.0, 1.0], 1.0), (91, [0.0, 0.0, 1.0], [1.0, 0.0, 0.0], 0.0)]
+    d = spark.createDataFrame(rows, "k int, o array<double>, v array<double>, c double").withColumn("u", C.unit(F.col("v")))
+    h = d.withColumn("h", C.sphere_hit(F.col("o"), F.col("u"), "c"))
+    got = {r.k: r for r in h.withColumn("r", C.refracted(F.col("u"), F.col("h.normal"), F.lit(1.6))).collect()}
+    assert not got[90].h.defined and not got[91].h.defined
+    for k, o, v, c in rows[:80]:
+        u, r = np.array(v) / np.linalg.norm(v), got[k]
+        p, n = np.array(r.h.point), np.array(r.h.normal)
+        assert r.h.defined and np.allclose(p, np.array(o) + r.h.t * u) and abs(c * (p @ p) - 2 * p[2]) < 1e-9 and c * p[2] < 1
+        assert abs(np.linalg.norm(n) - 1) < 1e-12 and n @ u <= 0 and np.allclose(np.cross(n, [c * p[0], c * p[1], c * p[2] - 1]), 0)
+        sine = 1.6 * np.linalg.norm(np.cross(u, n))
+        assert r.r.defined == (sine <= 1)
+        if sine <= 1:
+            out = np.array(r.r.direction)
+            assert abs(np.linalg.norm(np.cross(out, n)) - sine) < 1e-9 and out @ n < 0 and abs(np.cross(u, n) @ out) < 1e-9
+    zero = spark.range(1).select(C.sphere_hit(F.array(*map(F.lit, (0.0, 0.0, -1.0))), F.array(*map(F.lit, (0.0, 0.0, 1.0))), F.lit(0.0)).alias("h")).first().h
+    assert zero.t == 1.0 and zero.normal == [0.0, 0.0, -1.0]
+
+
+def test_zernike_modes(spark):
+    known = [(0, 0), (1, 1), (1, -1), (2, 0), (2, -2), (2, 2), (3, -1), (3, 1), (3, -3), (3, 3), (4, 0), (4, 2), (4, -2), (4, 4), (4, -4)]
+    got = [(r.z.n, r.z.m) for r in spark.range(1, 16).select(C.zernike_mode("id").alias("z")).collect()]
+    assert got == known
+    big = spark.range(1, 30_000).select(C.zernike_mode("id").alias("z")).select("z.*")
+    assert big.where("n < abs(m) OR (n - abs(m)) % 2 <> 0").isEmpty() and big.distinct().count() == 29_999
