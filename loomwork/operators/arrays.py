@@ -117,3 +117,29 @@ def inverse_depth(depth: Column, near: float = 0.1, far: float = float("inf")) -
     """Inverse depth scaled to [0, 1], near is 1."""
     lo = 0.0 if far == float("inf") else 1 / far
     return F.least(F.greatest((F.try_divide(F.lit(1.0), depth) - lo) / (1 / near - lo), F.lit(0.0)), F.lit(1.0))
+
+
+#: The published polynomial of the Turbo colour map, red, green and blue, lowest power first (within 0.02 of its table).
+TURBO = (
+    (0.13572138, 4.61539260, -42.66032258, 132.13108234, -152.94239396, 59.28637943),
+    (0.09140261, 2.19418839, 4.84296658, -14.18503333, 4.27729857, 2.82956604),
+    (0.10667330, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973),
+)
+#: Depths outside of these (metres) aren't told apart in a picture.
+NEAR, FAR = 0.1, 250.0
+
+
+def turbo(level: Column) -> Column:
+    """struct(r, g, b) from 0 to 1 of a level from 0 (blue) to 1 (red); levels outside are held at the ends."""
+    v = F.least(F.greatest(level, F.lit(0.0)), F.lit(1.0))
+    return F.struct(*[tone_polynomial(v, list(reversed(c))).alias(n) for n, c in zip("rgb", TURBO, strict=True)])
+
+
+def depth_colours(cells: DataFrame, image: list[str], depth: str) -> DataFrame:
+    """`cells` with r, g, b (bytes as ints) of inverse depth, scaled to what occurs in each image between NEAR and FAR; an image of one depth is blue."""
+    inverse = F.try_divide(F.lit(1.0), F.col(depth))
+    ends = cells.groupBy(*[F.col(c).alias(f"{c}_e_") for c in image]).agg(F.greatest(F.min(inverse), F.lit(1 / FAR)).alias("lo_"), F.least(F.max(inverse), F.lit(1 / NEAR)).alias("hi_"))
+    d = cells.join(ends, [F.col(c).eqNullSafe(F.col(f"{c}_e_")) for c in image])
+    level = F.when(F.col("hi_") > F.col("lo_"), (inverse - F.col("lo_")) / F.when(F.col("hi_") > F.col("lo_"), F.col("hi_") - F.col("lo_"))).otherwise(0.0)
+    d = d.withColumn("c_", turbo(level))
+    return d.select(*cells.columns, *[F.floor(F.col(f"c_.{n}") * 255).cast("int").alias(n) for n in "rgb"])

@@ -85,7 +85,11 @@ def local_scales(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return d.withColumn("scale", F.least(F.coalesce(before, after), F.coalesce(after, before)))
 
 
-def mixture_weights(points: Column, middle: Column, interior: float = 0.4) -> Column:
+#: The share of all interior points at first, and how often it is halved.
+INTERIOR, HALVINGS = 0.4, 50
+
+
+def mixture_weights(points: Column, middle: Column, interior: float = INTERIOR) -> Column:
     """Positive weights of a sorted array of points with mean `middle`; null if 50 halvings find none.
 
     Interior points share a mass that is halved until both ends are positive.
@@ -94,7 +98,7 @@ def mixture_weights(points: Column, middle: Column, interior: float = 0.4) -> Co
     low, high = F.element_at(points, 1), F.element_at(points, -1)
     inner = F.slice(points, 2, F.greatest(n - 2, F.lit(0)))
     mean_inner = F.when(n > 2, F.aggregate(inner, F.lit(0.0), lambda s, v: s + v) / F.when(n > 2, n - 2)).otherwise(0.0)
-    tries = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda k: F.when(n > 2, interior / F.pow(F.lit(2.0), k)).otherwise(0.0))
+    tries = F.transform(F.sequence(F.lit(0), F.lit(HALVINGS - 1)), lambda k: F.when(n > 2, interior / F.pow(F.lit(2.0), k)).otherwise(0.0))
     ends = F.transform(tries, lambda m: F.struct(m.alias("m"), (((1 - m) * high - (middle - m * mean_inner)) / (high - low)).alias("p0")))
     good = F.try_element_at(F.filter(ends, lambda e: (e["p0"] > 0) & (1 - e["m"] - e["p0"] > 0)), F.lit(1))
     each = good["m"] / F.when(n > 2, n - 2).otherwise(1)

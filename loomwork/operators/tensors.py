@@ -44,12 +44,16 @@ def _separable(x: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarra
     return sum(k * x[:, :, i : x.shape[2] - len(across) + 1 + i] for i, k in enumerate(across))
 
 
+#: Window size and deviation of structural similarity, and its two constants.
+SSIM_WINDOW, SSIM_SIGMA, SSIM_K1, SSIM_K2 = 11, 1.5, 0.01, 0.03
+
+
 def ssim(a: str | Column, b: str | Column, height: int, width: int, peak: float = 1.0) -> Column:
     """Structural similarity with a Gaussian window of 11 (or the image, if smaller), sigma 1.5."""
-    n = min(11, height if height % 2 else height - 1, width if width % 2 else width - 1)
-    g = np.exp(-((np.arange(n) - n // 2) ** 2) / (2 * 1.5**2))
+    n = min(SSIM_WINDOW, height if height % 2 else height - 1, width if width % 2 else width - 1)
+    g = np.exp(-((np.arange(n) - n // 2) ** 2) / (2 * SSIM_SIGMA**2))
     g /= g.sum()
-    c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
+    c1, c2 = (SSIM_K1 * peak) ** 2, (SSIM_K2 * peak) ** 2
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

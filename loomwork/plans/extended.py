@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomwork.operators import groups, images, joins, scans, stores, tensors
+from loomwork.operators import arrays, groups, images, joins, scans, stores, tensors
 from loomwork.plans.catalogue import T, _u, query
 from loomwork.plans.families import _PIXELS, _pixels
 from loomwork.sources import files
@@ -221,6 +221,17 @@ def eroded_picks(spark, d):
     return images.eroded_pick(mask, ["vec_id"], "ok", 1, 1, F.lit(9)).select("vec_id", F.col("y").cast("long"), F.col("x").cast("long"), "found")
 
 
+_TURBO = {"r": (0.13572138, 4.61539260, -42.66032258, 132.13108234, -152.94239396, 59.28637943), "g": (0.09140261, 2.19418839, 4.84296658, -14.18503333, 4.27729857, 2.82956604), "b": (0.10667330, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973)}
+
+
+@query(f"""WITH p AS (SELECT vec_id, y, x, 1 / (abs(v) * (1 + vec_id % 40) + 0.0137::DOUBLE) AS i FROM ({_PIXELS})), e AS (SELECT vec_id, greatest(min(i), 1 / 250.0::DOUBLE) AS lo, least(max(i), 10) AS hi FROM p GROUP BY 1),
+    l AS (SELECT p.vec_id, y, x, greatest(0, least(1, (i - lo) / (hi - lo))) AS t FROM p JOIN e ON e.vec_id = p.vec_id)
+    SELECT vec_id, y, x, """ + ", ".join(f"floor(greatest(0, least(1, {' + '.join(f'({c}::DOUBLE * t ** {k})' for k, c in enumerate(cs))})) * 255)::INTEGER AS {n}" for n, cs in _TURBO.items()) + " FROM l")
+def depth_pictures(spark, d):
+    c = _pixels(spark, d).withColumn("depth", F.abs("value") * (1 + F.col("vec_id") % 40) + 0.0137)
+    return arrays.depth_colours(c, ["vec_id"], "depth").select("vec_id", F.col("y").cast("long"), F.col("x").cast("long"), "r", "g", "b")
+
+
 # transforms -------------------------------------------------------------------------------------------
 
 
