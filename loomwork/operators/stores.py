@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.functions.columns import format_cell
 from loomwork.operators.lookup import predicate
 
 # tables -----------------------------------------------------------------------------------------
@@ -179,32 +180,40 @@ def aligned(df: DataFrame, digits: int | None = None) -> DataFrame:
     return t.join(F.broadcast(widths)).select(*[F.rpad(c, F.col(f"w_{c}"), F.lit(" ")).alias(c) for c in df.columns])  # one row
 
 
-def table_cells(df: DataFrame, table: Column, place: Column, order: list[str], columns: list[str], digits: int = 5) -> DataFrame:
-    """table, place (of the table in its set), row (a struct to sort by), i, head, text, number of a DataFrame that holds several tables."""
+def cell_text(column: str, kind: str, digits: int = 5) -> Column:
+    """A value as a table's text: - for null, X for true, numbers as `format_cell` writes them, all else as it is."""
+    c = F.col(column)
+    text = format_cell(c, digits) if kind in ("double", "float") else F.when(c, "X") if kind == "boolean" else c.cast("string")
+    return F.coalesce(text, F.lit("-"))
+
+
+def table_cells(df: DataFrame, table: Column, place: Column, order: list[str], columns: list[str], digits: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, table, place (of the table in its set), row (a struct to sort by), i, head, text, number, known of a DataFrame that holds one or more tables."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema}
-    numeric = ("double", "float", "integer", "long", "short", "byte", "decimal")
-    text = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("head"), text(c).alias("text"), F.lit(kinds[c] in numeric).alias("number")) for i, c in enumerate(columns)])
-    return df.select(table.alias("table"), place.alias("place"), F.struct(*order).alias("row"), F.inline(cells))
+    numeric = ("double", "float", "integer", "long", "short", "byte", "decimal", "boolean")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("head"), cell_text(c, kinds[c], digits).alias("text"), F.lit(kinds[c] in numeric).alias("number"), F.col(c).isNotNull().alias("known")) for i, c in enumerate(columns)])
+    return df.select(*keys, table.alias("table"), place.alias("place"), F.struct(*order).alias("row"), F.inline(cells))
 
 
-def text_of_tables(cells: DataFrame, indent: str = "  ", gap: int = 2, rule: bool = True) -> DataFrame:
-    """table, place, text: each table of `table_cells` as aligned text: its name, header, rule, then its rows in order.
+def text_of_tables(cells: DataFrame, indent: str = "  ", gap: int = 2, rule: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, table, place, text: each table of `table_cells` as aligned text: its name, header, rule, then its rows in order.
 
-    A column is as wide as its widest cell or its head; numbers stand right. Widths are grouped
-    maxima, lines are made one by one, and only finished lines meet in their table's text.
+    A column is as wide as its widest cell or its head; numbers (and columns without any value) stand
+    right. Widths are grouped maxima, lines are made one by one, and only finished lines meet in their
+    table's text.
     """
-    widths = cells.groupBy("table", "place", "i", "head", "number").agg(F.greatest(F.max(F.length("text")), F.length("head")).alias("wide"))
-    w = widths.select(F.col("table").alias("w_table"), F.col("place").alias("w_place"), F.col("i").alias("w_i"), "wide")
-    c = cells.join(w, (F.col("table") == F.col("w_table")) & F.col("place").eqNullSafe(F.col("w_place")) & (F.col("i") == F.col("w_i")))
-    padded = F.when(F.col("number"), F.lpad("text", F.col("wide"), F.lit(" "))).otherwise(F.rpad("text", F.col("wide"), F.lit(" ")))
+    own = [*keys, "table", "place"]
     line = lambda cell: F.concat(F.lit(indent), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", cell.alias("c")))), lambda x: x["c"]), " " * gap))
-    lines = c.groupBy("table", "place", "row").agg(line(padded).alias("line"))
-    body = lines.groupBy("table", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    heads = widths.groupBy(F.col("table").alias("h_table"), F.col("place").alias("h_place")).agg(line(F.rpad("head", F.col("wide"), F.lit(" "))).alias("head"))
+    same = lambda lead: [F.col(k).eqNullSafe(F.col(f"{lead}_{k}")) for k in own]
+    widths = cells.groupBy(*own, "i", "head").agg(F.greatest(F.max(F.length("text")), F.length("head")).alias("wide"), (F.max("number") | ~F.max("known")).alias("right"))
+    w = widths.select(*[F.col(k).alias(f"w_{k}") for k in own], F.col("i").alias("w_i"), "wide", "right")
+    c = cells.join(w, [*same("w"), F.col("i") == F.col("w_i")])
+    padded = F.when(F.col("right"), F.lpad("text", F.col("wide"), F.lit(" "))).otherwise(F.rpad("text", F.col("wide"), F.lit(" ")))
+    lines = c.groupBy(*own, "row").agg(line(padded).alias("line"))
+    body = lines.groupBy(*own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    heads = widths.groupBy(*[F.col(k).alias(f"h_{k}") for k in own]).agg(line(F.rpad("head", F.col("wide"), F.lit(" "))).alias("head"))
     below = F.concat(F.lit("\n" + indent), F.repeat(F.lit("-"), F.length("head") - len(indent) + 10)) if rule else F.lit("")
-    t = body.join(heads, (F.col("table") == F.col("h_table")) & F.col("place").eqNullSafe(F.col("h_place")))
-    return t.select("table", "place", F.concat("table", F.lit("\n"), "head", below, F.lit("\n"), "body", F.lit("\n")).alias("text"))
+    return body.join(heads, same("h")).select(*own, F.concat("table", F.lit("\n"), "head", below, F.lit("\n"), "body", F.lit("\n")).alias("text"))
 
 
 def joined_tables(texts: DataFrame, keys: list[str]) -> DataFrame:

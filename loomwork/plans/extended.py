@@ -303,7 +303,7 @@ def renamed_file_pairs(spark, d):
     return joins.derived_pairs(low, high.select(F.concat(F.lit("GT/sharp"), F.col("n"), F.col("kind")).alias("path")), "path", joins.stem_key("path", 5, "sharp"), joins.stem_key("path"))
 
 
-_TABLES = """WITH c AS (SELECT r_name, r_regionkey, n_nationkey, n_name AS name, n_nationkey::VARCHAR AS k, printf('%.5f', n_nationkey / 7.0::DOUBLE) AS share FROM nation JOIN region ON n_regionkey = r_regionkey),
+_TABLES = """WITH c AS (SELECT r_name, r_regionkey, n_nationkey, n_name AS name, n_nationkey::VARCHAR AS k, CASE WHEN n_nationkey = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.5f', n_nationkey / 7.0::DOUBLE), '0+$', ''), '\\.$', '') END AS share FROM nation JOIN region ON n_regionkey = r_regionkey),
     w AS (SELECT r_name, greatest(max(length(name)), 6)::INT AS a, greatest(max(length(k)), 11)::INT AS b, greatest(max(length(share)), 5)::INT AS s FROM c GROUP BY 1),
     t AS (SELECT c.r_name, r_regionkey, c.r_name || chr(10) || '  ' || rpad('n_name', a, ' ') || '  ' || rpad('n_nationkey', b, ' ') || '  ' || rpad('share', s, ' ') || chr(10) || '  ' || repeat('-', a + b + s + 14) || chr(10)
         || string_agg('  ' || rpad(name, a, ' ') || '  ' || lpad(k, b, ' ') || '  ' || lpad(share, s, ' '), chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM c JOIN w ON c.r_name = w.r_name GROUP BY c.r_name, r_regionkey, a, b, s)"""

@@ -178,6 +178,29 @@ def lens_surfaces(spark, d):
     return out.withColumn("R", F.round("R", 7))
 
 
+def _number(c):
+    return f"CASE WHEN {c} IS NULL THEN '-' WHEN isinf({c}) THEN 'INF' WHEN {c} = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.5f', {c}), '0+$', ''), '\\.$', '') END"
+
+
+_COLUMNS = [("SURFACES", 0, "true", ["i", "STOP", "SHAPE", "R", "D", "Nd", "Vd", "APERSEMI"]), ("ASPHERIC", 1, "i = 1", ["i", "K", "A4", "A6"])]
+_CELLS = " UNION ALL ".join(
+    f"SELECT p_partkey, '{t}' AS t, {p} AS place, i AS line, {k} AS k, '{c}' AS head, {f'coalesce({c}::VARCHAR, chr(45))' if c in ('i', 'STOP', 'SHAPE') else _number(c)} AS text, {str(c not in ('STOP', 'SHAPE')).lower()} AS num FROM s WHERE {when}" for t, p, when, cs in _COLUMNS for k, c in enumerate(cs)
+)
+
+
+@query(f"""WITH s AS ({_LENSES}), c AS ({_CELLS}), w AS (SELECT p_partkey, t, k, head, greatest(max(length(text)), length(head))::INT AS wide FROM c GROUP BY 1, 2, 3, 4),
+    h AS (SELECT p_partkey, t, '  ' || string_agg(rpad(head, wide, ' '), '  ' ORDER BY k) AS head FROM w GROUP BY 1, 2),
+    l AS (SELECT c.p_partkey, c.t, place, line, '  ' || string_agg(CASE WHEN num THEN lpad(text, wide, ' ') ELSE rpad(text, wide, ' ') END, '  ' ORDER BY c.k) AS row FROM c JOIN w ON w.p_partkey = c.p_partkey AND w.t = c.t AND w.k = c.k GROUP BY 1, 2, 3, 4),
+    b AS (SELECT l.p_partkey, l.t, place, l.t || chr(10) || head || chr(10) || '  ' || repeat('-', length(head) + 8) || chr(10) || string_agg(row, chr(10) ORDER BY line) || chr(10) AS text FROM l JOIN h ON h.p_partkey = l.p_partkey AND h.t = l.t GROUP BY l.p_partkey, l.t, place, head)
+    SELECT p_partkey, string_agg(text, chr(10) ORDER BY place) AS text FROM b GROUP BY p_partkey""")
+def lens_texts(spark, d):
+    """Prescriptions converted to table texts, one for each lens."""
+    stanzas, glasses = _lenses(spark, d)
+    tables = [(prescriptions.surfaces(stanzas, "p_partkey", glasses), *_COLUMNS[0]), (prescriptions.aspheric(stanzas, "p_partkey", 2), *_COLUMNS[1])]
+    first, second = (stores.table_cells(df, F.lit(t), F.lit(p), ["i"], cs, keys=("p_partkey",)) for df, t, p, _, cs in tables)
+    return stores.joined_tables(stores.text_of_tables(first.unionByName(second), keys=("p_partkey",)), ["p_partkey"])
+
+
 @query("SELECT 'G' || r_regionkey AS name, ('1.5' || r_regionkey)::DOUBLE AS nd, ('6' || r_regionkey)::DOUBLE AS vd FROM region WHERE r_regionkey < 3")
 def glasses_of_stanzas(spark, d):
     return _lenses(spark, d)[1]

@@ -316,16 +316,18 @@ def test_derived_pairs(spark):
 
 
 def test_table_texts(spark):
-    rows = [("first", 1, 2, "x", 1.5), ("first", 1, 1, None, -20.25), ("other", 0, 1, "longer text", None)]
-    d = spark.createDataFrame(rows, "t string, p int, n int, word string, v double")
-    cells_ = stores.table_cells(d, F.col("t"), F.col("p"), ["n"], ["word", "v"], 2)
+    rows = [("first", 1, 2, "x", 1.5, True, None), ("first", 1, 1, None, -20.25, None, None), ("other", 0, 1, "longer text", None, False, None)]
+    d = spark.createDataFrame(rows, "t string, p int, n int, word string, v double, b boolean, none string")
+    cells_ = stores.table_cells(d, F.col("t"), F.col("p"), ["n"], ["word", "v", "b"])
     text = stores.joined_tables(stores.text_of_tables(cells_).withColumn("set", F.lit(1)), ["set"]).first().text
-    other = "other\n  word         v\n  ------------------------\n  longer text   \n"
-    first = "first\n  word  v     \n  ----------------------\n        -20.25\n  x       1.50\n"
+    other = "other\n  word         v  b\n  ---------------------------\n  longer text  -  -\n"
+    first = "first\n  word  v       b\n  -------------------------\n  -     -20.25  -\n  x        1.5  X\n"
     assert text == other + "\n" + first
+    bare = stores.text_of_tables(cells_.where("t = 'first' AND i < 2"), "", 1, False).first().text
+    assert bare == "first\nword v     \n-    -20.25\nx       1.5\n"
+    none = stores.text_of_tables(stores.table_cells(d.where("n = 2"), F.col("t"), F.col("p"), ["n"], ["none", "n"], keys=("word",)), keys=("word",)).first()
+    assert none.word == "x" and none.text == "first\n  none  n\n  -----------------\n     -  2\n"
     assert stores.aligned(d.where("t = 'other'").select("v"), 2).first().v == " "
-    bare = stores.text_of_tables(cells_.where("t = 'first'"), "", 1, False).first().text
-    assert bare == "first\nword v     \n     -20.25\nx      1.50\n"
 
 
 # rays
