@@ -17,8 +17,8 @@ copies are never expanded into pairs.
    classes of other components ask, where sizes and positions permit a link: one question for each class
    in a round, and followers whose answer is a link join the leader's component. A list that stands wholly
    in one component is skipped from then on.
-5. The rest is joined exactly, in turns: first a few classes are compared with all others, then four times
-   as many, and so on until all are. Each pair has its turn and is compared then, unless earlier ones have
+5. The rest is joined exactly, in turns: first a few classes are compared with all others, then many
+   times as many, and so on until all are. Each pair has its turn and is compared then, unless earlier ones have
    already brought both into one component, which spares most pairs of a group. A list is cut into blocks by set size. An entry's size and position bound
    the sizes of its partners, so it probes only blocks in that range and skips the others; within a block
    the positions of both entries bound the overlap. A candidate of a follower is answered from its
@@ -52,9 +52,9 @@ from loomwork.llm.text_arrays import byte_slices
 WORDS, THRESHOLD = 3, 90  # words of a shingle; similarity in percent
 RANGE = 2_000_000  # tokens of a hash range, on average
 SLICE = 8 << 20  # bytes of texts or sets that are packed at a time
-ROUNDS, FAIR = 10, 0.05  # most rounds, and the part of its questions that a round links if another one follows
+ROUNDS, FAIR = 10, 0.2  # most rounds, and the part of its questions that a round links if another one follows
 BLOCK = 256  # questions of a block
-FIRST = 16  # so many classes of the longest list are compared with all others in the first turn
+FIRST, GROWTH = 32, 8  # so many classes of the longest list are compared with all others in the first turn; how many times more in each next one
 RATIO = 1.03  # sizes of one block of a list lie within this ratio
 FEW = 500_000  # so many row numbers at most are sent to all tasks; more are shuffled
 
@@ -285,17 +285,17 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def turns(lists: DataFrame, longest: int) -> tuple[DataFrame, int]:
-    """`lists` with turn, and the number of turns: in each one four times as many classes as before, all others in the last.
+    """`lists` with turn, and the number of turns: in each one GROWTH times as many classes as before, all others in the last.
 
     Turns are as many as it takes for a list of the `longest` length to begin with some FIRST of its classes.
     """
     n = 0
-    while FIRST * 4**n < longest:
+    while FIRST * GROWTH**n < longest:
         n += 1
-    h = F.pmod(F.xxhash64("c", F.lit("turn")), F.lit(4**n))
+    h = F.pmod(F.xxhash64("c", F.lit("turn")), F.lit(GROWTH**n))
     turn = F.lit(n)
     for k in reversed(range(n)):
-        turn = F.when(h % 4 ** (n - k) == 0, k).otherwise(turn)
+        turn = F.when(h % GROWTH ** (n - k) == 0, k).otherwise(turn)
     return lists.withColumn("turn", turn), n + 1
 
 
