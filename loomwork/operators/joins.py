@@ -218,8 +218,10 @@ def derived_pairs(low: DataFrame, high: DataFrame, path: str, low_key: Column, h
     """
     a = low.select(low_key.alias("a_key"), F.col(path).alias("low")).where("low IS NOT NULL")
     b = high.select(high_key.alias("b_key"), F.col(path).alias("high")).where("high IS NOT NULL")
-    status = F.when(F.col("high").isNull(), "no_high").when(F.col("low").isNull(), "no_low").otherwise("paired")
-    return a.join(b, F.col("a_key") == F.col("b_key"), "full_outer").select(F.coalesce("a_key", "b_key").alias("key"), "low", "high", status.alias("status"))
+    # a left join and an anti join in place of a full one: a key with very many files can then be split over tasks
+    pairs = a.join(b, F.col("a_key") == F.col("b_key"), "left").select(F.col("a_key").alias("key"), "low", "high", F.when(F.col("high").isNull(), "no_high").otherwise("paired").alias("status"))
+    alone = b.join(a.select("a_key").distinct(), F.col("a_key") == F.col("b_key"), "left_anti")
+    return pairs.unionByName(alone.select(F.col("b_key").alias("key"), F.lit(None).cast("string").alias("low"), "high", F.lit("no_low").alias("status")))
 
 
 def pair_completeness(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import columns as C
 from loomwork.functions import sampling
 from loomwork.operators import arrays, evaluation, joins, rank, sequences, stats, stores, tensors
-from loomwork.plans.catalogue import _LOG, T, _log, _u, query
+from loomwork.plans.catalogue import _LOG, ORACLES, T, _log, _u, query
 from loomwork.sources import files
 from loomwork.streaming import ledger
 
@@ -289,15 +289,31 @@ def gradient_score_3(spark, d):
     return T(spark, d, "embeddings").select("vec_id", F.round(tensors.gradient_score("embedding", 8, 8, 3), 3).alias("score"))
 
 
-@query(f"""WITH e AS (SELECT i, exp(-((i - 3) ** 2) / 4.5) AS e FROM range(7) t(i)), g AS (SELECT i, e / (SELECT sum(e) FROM e) AS g FROM e),
+_SSIM = f"""WITH e AS (SELECT i, exp(-((i - 3) ** 2) / 4.5) AS e FROM range(7) t(i)), g AS (SELECT i, e / (SELECT sum(e) FROM e) AS g FROM e),
     p AS (SELECT a.vec_id, a.y, a.x, a.v AS u, b.v FROM ({_PIXELS}) a JOIN ({_PIXELS}) b ON a.vec_id = b.vec_id AND a.y = 7 - b.y AND a.x = 7 - b.x),
     m AS (SELECT vec_id, oy, ox, sum(w * u) AS mu, sum(w * v) AS mv, sum(w * u * u) AS uu, sum(w * v * v) AS vv, sum(w * u * v) AS uv FROM (SELECT p.*, oy, ox, gi.g * gj.g AS w FROM p, range(2) r(oy), range(2) c(ox), g gi, g gj WHERE gi.i = y - oy AND gj.i = x - ox) GROUP BY 1, 2, 3)
-    SELECT vec_id, round(avg((2 * mu * mv + 0.0001) * (2 * (uv - mu * mv) + 0.0009) / ((mu * mu + mv * mv + 0.0001) * (uu - mu * mu + vv - mv * mv + 0.0009))), 5) AS ssim FROM m GROUP BY 1""")
+    SELECT vec_id, round(avg((2 * mu * mv + 0.0001) * (2 * (uv - mu * mv) + 0.0009) / ((mu * mu + mv * mv + 0.0001) * (uu - mu * mu + vv - mv * mv + 0.0009))), {{digits}}) AS ssim FROM m GROUP BY 1"""
+
+
+@query(_SSIM.format(digits=5))
 def ssim_of_turned(spark, d):
     e = T(spark, d, "embeddings").withColumn("turned", F.reverse("embedding"))
     return e.select("vec_id", F.round(tensors.ssim("embedding", "turned", 8, 8), 5).alias("ssim"))
 
 
+def _gradient_sql(smooth: list[int], slope: list[int]) -> str:
+    """Sums of gradient magnitudes of images mirrored about their edges."""
+    n = len(smooth)
+    edge = lambda c, i: f"7 - abs(7 - abs(o.{c} + {i} - {n // 2}))"
+    return f"""SELECT vec_id, sum(sqrt(gx * gx + gy * gy)) AS score FROM (SELECT o.vec_id, o.y, o.x, sum(({smooth}[i + 1] * {slope}[j + 1])::DOUBLE * q.v) AS gx, sum(({slope}[i + 1] * {smooth}[j + 1])::DOUBLE * q.v) AS gy
+        FROM ({_PIXELS}) o, range({n}) a(i), range({n}) b(j) JOIN ({_PIXELS}) q ON q.vec_id = o.vec_id AND q.y = {edge('y', 'i')} AND q.x = {edge('x', 'j')} GROUP BY 1, 2, 3) GROUP BY 1"""
+
+
+# two queries of the catalogue that are made from the same kernels
+ORACLES["ssim"] = _SSIM.format(digits=6)
+ORACLES["gradient_score"] = f"SELECT a.vec_id, round(a.score, 4) AS score_k03, round(b.score, 4) AS score_k07 FROM ({_gradient_sql([1, 2, 1], [1, 0, -1])}) a JOIN ({_gradient_sql([1, 6, 15, 20, 15, 6, 1], [1, 4, 5, 0, -5, -4, -1])}) b ON a.vec_id = b.vec_id"
+
+
 @query(f"""WITH p AS (SELECT a.vec_id, a.y, a.x, a.v - b.v AS v FROM ({_PIXELS}) a JOIN ({_PIXELS}) b ON a.vec_id = b.vec_id AND a.y = 7 - b.y AND a.x = 7 - b.x),
     f AS (SELECT vec_id, ky, kx, sum(v * cos(2 * pi() * (ky * y + kx * x) / 8)) AS re, sum(v * sin(2 * pi() * (ky * y + kx * x) / 8)) AS im FROM p, range(8) a(ky), range(5) b(kx) GROUP BY 1, 2, 3)
     SELECT vec_id, round((avg(abs(re)) + avg(abs(im))) / 2, 4) AS loss FROM f GROUP BY 1""")
