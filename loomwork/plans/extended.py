@@ -70,6 +70,33 @@ def generated_units(spark, d):
     return out.select("s_suppkey", "cycle", "item", "draw", F.round("value", 9).alias("value"))
 
 
+def _moody(unit, cycle):
+    """Draws of a unit, which fails in each fourth cycle."""
+    if (unit + cycle) % 4 == 0:
+        raise ValueError(f"not in cycle {cycle}")
+    yield from units.spaced_draws(unit, cycle, 30.0, 4, 9)
+
+
+_WORK = """WITH RECURSIVE r AS (SELECT s_suppkey, cycle, 0 AS k, (s_suppkey * 1009 + cycle * 9176 + 12345) % 2147483648 AS x, NULL::DOUBLE AS last, 0 AS n, false AS hit FROM supplier, range(4) t(cycle) WHERE (s_suppkey + cycle) % 4 > 0
+        UNION ALL SELECT s_suppkey, cycle, k + 1, y, CASE WHEN ok THEN v ELSE last END, n + ok::INT, ok FROM (
+            SELECT *, y / 2147483648.0::DOUBLE * 100 AS v, last IS NULL OR abs(y / 2147483648.0::DOUBLE * 100 - last) >= 30 AS ok
+            FROM (SELECT *, (1103515245 * x + 12345) % 2147483648 AS y FROM r WHERE k < 9 AND n < 4))),
+    o AS (SELECT *, row_number() OVER (ORDER BY cycle, s_suppkey, n) AS rn FROM r WHERE hit), t AS (SELECT 6 * count(*) AS t FROM supplier)"""
+
+
+@query(_WORK + " SELECT s_suppkey, cycle::INTEGER AS cycle, n - 1 AS k, printf('c%03d__u%d__draw__%04d', cycle, s_suppkey, n - 1) AS item, round(last, 9) AS value FROM o, t WHERE rn <= t")
+def produced_items(spark, d):
+    s = T(spark, d, "supplier")
+    items, _ = units.produce_until(s, "s_suppkey", ["s_suppkey"], _moody, "item string, draw int, value double", 6 * s.count())
+    return items.select("s_suppkey", "cycle", "k", "item", F.round("value", 9).alias("value"))
+
+
+@query(_WORK + " SELECT s_suppkey, cycle::INTEGER AS cycle, 'ValueError: not in cycle ' || cycle AS error FROM supplier, range(4) u(cycle), t WHERE (s_suppkey + cycle) % 4 = 0 AND cycle <= (SELECT max(cycle) FROM o WHERE rn <= t.t)")
+def failed_units(spark, d):
+    s = T(spark, d, "supplier")
+    return units.produce_until(s, "s_suppkey", ["s_suppkey"], _moody, "item string, draw int, value double", 6 * s.count())[1]
+
+
 @query("""WITH w AS (SELECT n_name AS source, cycle, s_suppkey AS unit, s_suppkey % 7 AS produced, coalesce(sum(s_suppkey % 7) OVER (PARTITION BY n_name ORDER BY cycle, s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM supplier JOIN nation ON s_nationkey = n_nationkey, range(3) t(cycle))
     SELECT source, cycle::INTEGER AS cycle, unit, least(produced, 25 - before)::BIGINT AS taken, least(before + produced, 25)::BIGINT AS accepted FROM w WHERE before < 25""")

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from loomwork.operators.rank import numbered
+from loomwork.sources.shared import stored
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,6 +33,50 @@ def unit_items(units: DataFrame, arguments: list[str], make: Callable[..., Itera
     return units.lateralJoin(table(*[F.col(a).outer() for a in arguments]))
 
 
+def produce_until(units: DataFrame, key: str, arguments: list[str], make: Callable[..., Iterator[tuple]], schema: str, target: int, most_cycles: int = 100, most_failures: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Items, and failures, of units that are worked on cycle after cycle until there are `target` items.
+
+    Within a cycle all units are computed side by side by make(*arguments, cycle) and committed in the
+    order of `key`: the items are key, cycle, k (from 0) and the columns of `schema`, cut at the target in
+    the order of (cycle, key, k), whichever task was first. A unit that raises commits nothing in that
+    cycle, is a row (key, cycle, error) of the failures, and is tried again in the next one; one that
+    fails `most_failures` times in a row ends the run with its error. Cycles are written one by one;
+    after `most_cycles` what there is is returned. A unit's rows of one cycle must fit a task.
+    """
+    width = len(T.StructType.fromDDL(schema))
+
+    class Produce:
+        def eval(self, *given):
+            try:
+                rows = list(make(*given))
+            except Exception as e:  # noqa: BLE001  a unit's failure is a result
+                yield None, f"{type(e).__name__}: {e}", *[None] * width
+                return
+            for k, row in enumerate(rows):
+                yield k, None, *row
+
+    table = F.udtf(Produce, returnType=f"k int, error string, {schema}", useArrow=True)
+    items, failures, total = [], [], 0
+    own = units.select(key, *[c for c in arguments if c != key])
+    streak = own.select(F.col(key).alias("s_key"), F.lit(0).alias("times"), F.lit("").alias("last")).where("false")
+    for cycle in range(most_cycles):
+        d = own.withColumn("cycle", F.lit(cycle))
+        made = stored(d.lateralJoin(table(*[F.col(a).outer() for a in (*arguments, "cycle")])).drop(*[c for c in arguments if c != key]), "units-cycle")
+        done, bad = made.where("error IS NULL").drop("error"), made.where("error IS NOT NULL").select(key, "cycle", "error")
+        failures.append(bad)
+        streak = stored(bad.join(streak.drop("last"), F.col(key) == F.col("s_key"), "left").select(F.col(key).alias("s_key"), (F.coalesce("times", F.lit(0)) + 1).alias("times"), F.col("error").alias("last")), "units-failed")
+        gone = streak.where(F.col("times") >= most_failures).orderBy("s_key").first()
+        if gone is not None:
+            raise RuntimeError(f"unit {gone.s_key} failed {gone.times} times in a row: {gone.last}")
+        n = done.count()
+        if total + n >= target:
+            items.append(numbered(done, [key, "k"], "rn_").where(F.col("rn_") <= target - total).drop("rn_"))
+            break
+        items.append(done)
+        total += n
+    return reduce(DataFrame.unionByName, items), reduce(DataFrame.unionByName, failures)
+
+
 def item_id(unit: str, cycle: int, kind: str, k: int) -> str:
     """A name that is stable and unique over all units and cycles."""
     return f"c{cycle:03d}__{unit}__{kind}__{k:04d}"

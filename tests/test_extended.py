@@ -110,6 +110,28 @@ def test_source_goes_on_where_it_stopped(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != units.ROCKSDB
 
 
+def flaky(unit, most, cycle):
+    if unit == 3 and cycle != 1 or unit == 9:
+        raise KeyError(unit)
+    for k in range((unit + cycle) % most):
+        yield (f"{unit}-{cycle}-{k}",)
+
+
+def test_produce_until(spark):
+    u = spark.createDataFrame([(n, 4) for n in range(1, 8)], "unit int, most int").repartition(3)
+    order = [(n, c, k, f"{n}-{c}-{k}") for c in range(9) for n in range(1, 8) if n != 3 or c == 1 for k in range((n + c) % 4)]
+    for target in (1, 10, 11, 25):
+        items, failures = units.produce_until(u, "unit", ["unit", "most"], flaky, "name string", target)
+        got = sorted(((r.unit, r.cycle, r.k, r.name) for r in items.collect()), key=lambda r: (r[1], r[0], r[2]))
+        assert got == order[:target]
+        last = order[target - 1][1]
+        assert sorted(tuple(r) for r in failures.collect()) == [(3, c, "KeyError: 3") for c in range(last + 1) if c != 1]
+    with pytest.raises(RuntimeError, match="unit 9 failed 2 times in a row: KeyError: 9"):
+        units.produce_until(u.unionByName(spark.createDataFrame([(9, 4)], u.schema)), "unit", ["unit", "most"], flaky, "name string", 1_000, most_failures=2)
+    few, _ = units.produce_until(u, "unit", ["unit", "most"], flaky, "name string", 1_000, most_cycles=3)
+    assert few.count() == len([r for r in order if r[1] < 3])
+
+
 # groups
 
 
