@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import columns as C
 from loomwork.operators import groups, images, joins, scans, stores, tensors
+from loomwork.sources import files
 from loomwork.sources import tensors as store
 from loomwork.streaming import ledger, units
 
@@ -64,6 +66,16 @@ def test_tensor_writes_are_atomic(spark, tmp_path):
     assert store.read_tensors(spark, path).collect() == []
 
 
+def test_images(spark, tmp_path):
+    """A bitmap of two by two pixels, and a file that is none."""
+    rows = bytes([1, 2, 3, 4, 5, 6, 0, 0]) + bytes([7, 8, 9, 10, 11, 12, 0, 0])  # from the bottom, blue first
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, len(rows), 0, 0, 0, 0)
+    (tmp_path / "a.bmp").write_bytes(head + rows)
+    (tmp_path / "b.bmp").write_bytes(b"no picture")
+    (r,) = files.images(spark, str(tmp_path)).collect()
+    assert (r.height, r.width, r.channels, bytes(r.data)) == (2, 2, 3, bytes([7, 8, 9, 10, 11, 12, 1, 2, 3, 4, 5, 6])) and r.path.endswith("a.bmp")
+
+
 # units
 
 
