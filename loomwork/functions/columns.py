@@ -395,3 +395,12 @@ def zernike_mode(j: ColumnLike) -> Column:
     size = F.when(n % 2 == 0, 2 * F.floor((inside + 1) / 2)).otherwise(2 * F.floor(inside / 2) + 1).cast("long")
     m = F.when(k % 2 == 0, size).otherwise(-size)
     return F.struct(n.alias("n"), m.alias("m"), F.when(size == 0, F.sqrt(n + 1.0)).otherwise(F.sqrt(2 * (n + 1.0))).alias("norm"))
+
+
+#: The studio-range transform, rows Y, Cb, Cr of red, green, blue and an offset.
+YCBCR = ((65.481, 128.553, 24.966, 16.0), (-37.797, -74.203, 112.0, 128.0), (112.0, -93.786, -18.214, 128.0))
+
+
+def ycbcr(r: ColumnLike, g: ColumnLike, b: ColumnLike) -> Column:
+    """struct(y, cb, cr) of the studio-range transform, inputs in [0, 1]."""
+    return F.struct(*[(a * _c(r) + k * _c(g) + c * _c(b) + d).alias(n) for n, (a, k, c, d) in zip(("y", "cb", "cr"), YCBCR, strict=True)])

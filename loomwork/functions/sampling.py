@@ -82,3 +82,15 @@ def rejected(candidates: DataFrame, keys: list[str], order: str, valid: Column,
     """The first n valid candidates of each group: rejection sampling as a filter and a rank."""
     w = Window.partitionBy(*keys).orderBy(order)
     return candidates.where(valid).withColumn("k_", F.row_number().over(w)).where(F.col("k_") <= n).drop("k_")
+
+
+def point_scales(points: Column) -> Column:
+    """Of a sorted array of distinct points each one's smaller gap to a neighbour; at the ends the only one, null for a single point."""
+    gap = lambda i: F.try_element_at(points, i + 2) - F.get(points, i)
+    return F.transform(points, lambda p, i: F.least(F.when(i > 0, gap(i - 1)), F.when(i < F.size(points) - 1, gap(i))))
+
+
+def noisy_samples(df: DataFrame, points: str, weights: Column, low: float, high: float, alpha: float, n: int, *keys: ColumnLike) -> DataFrame:
+    """`df` with k and sample: `n` weighted choices among each row's points, with normal noise of alpha times the point's own gap, clipped."""
+    d = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return d.withColumn("sample", noisy_choice(F.col(points), F.transform(point_scales(F.col(points)), lambda s: F.coalesce(s, F.lit(0.0))), weights, F.lit(low), F.lit(high), alpha, *keys, "k"))

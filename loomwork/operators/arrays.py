@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,3 +144,11 @@ def depth_colours(cells: DataFrame, image: list[str], depth: str) -> DataFrame:
     level = F.when(F.col("hi_") > F.col("lo_"), (inverse - F.col("lo_")) / F.when(F.col("hi_") > F.col("lo_"), F.col("hi_") - F.col("lo_"))).otherwise(0.0)
     d = d.withColumn("c_", turbo(level))
     return d.select(*cells.columns, *[F.floor(F.col(f"c_.{n}") * 255).cast("int").alias(n) for n in "rgb"])
+
+
+def inverse_combination(channels: list[Column], matrix: list[list[float]], row_normalized: bool = False) -> list[Column]:
+    """The channels from which `linear_combination` would make these."""
+    m = np.asarray(matrix, np.float64)
+    if row_normalized:
+        m = m / m.sum(axis=1, keepdims=True)
+    return linear_combination(channels, np.linalg.inv(m).tolist())

@@ -113,3 +113,24 @@ def eroded_pick(mask: DataFrame, image: list[str], valid: str, down: int, across
     d = eroded(mask, image, valid, down, across)
     g = d.groupBy(*image).agg(F.max_by(F.struct("y", "x"), F.when(F.col("eroded"), draw)).alias("p_"))
     return g.select(*image, "p_.y", "p_.x", F.col("p_").isNotNull().alias("found"))
+
+
+def augmented(y: Column, x: Column, height: Column | int, width: Column | int, hflip: Column, vflip: Column, turn: Column) -> Column:
+    """struct(y, x): where a pixel goes when its image is flipped left to right, upside down, and then transposed, as the flags say."""
+    fy = F.when(vflip, height - 1 - y).otherwise(y)
+    fx = F.when(hflip, width - 1 - x).otherwise(x)
+    return F.struct(F.when(turn, fx).otherwise(fy).alias("y"), F.when(turn, fy).otherwise(fx).alias("x"))
+
+
+def oriented(y: Column, x: Column, height: Column | int, width: Column | int, code: Column) -> Column:
+    """struct(y, x): where a pixel goes when an image stored with an orientation code (1 to 8) is put upright; other codes change nothing.
+
+    2 and 4 are mirrored left to right and upside down, 3 is turned by half, 5 is transposed, 6 is turned clockwise, 7 is transposed
+    about the other diagonal, 8 is turned counter-clockwise.
+    """
+    right, down = width - 1 - x, height - 1 - y
+    places = {2: (y, right), 3: (down, right), 4: (down, x), 5: (x, y), 6: (x, down), 7: (right, down), 8: (right, y)}
+    oy, ox = y, x
+    for k, (ny, nx) in places.items():
+        oy, ox = F.when(code == k, ny).otherwise(oy), F.when(code == k, nx).otherwise(ox)
+    return F.struct(oy.alias("y"), ox.alias("x"))

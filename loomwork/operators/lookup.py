@@ -119,3 +119,26 @@ def select_names(df: DataFrame, name: str, selectors: list[str]) -> DataFrame:
         parts.append(rows.select(name, "rn", F.lit(at).alias("at")))
     every = reduce(DataFrame.unionByName, parts)
     return every.groupBy(name).agg(F.min(F.struct("at", "rn")).alias("o")).orderBy("o").select(name)
+
+
+def nested(df: DataFrame, structs: dict[str, dict[str, str]]) -> DataFrame:
+    """Flat columns as structs: the name of each struct and, by field, the column that it takes; the other columns stay."""
+    used = {c for fields in structs.values() for c in fields.values()}
+    own = [F.struct(*[F.col(c).alias(f) for f, c in fields.items()]).alias(name) for name, fields in structs.items()]
+    return df.select(*[c for c in df.columns if c not in used], *own)
+
+
+def flattened(df: DataFrame, separator: str = "_") -> DataFrame:
+    """Structs, at any depth, as columns named after their path; two columns of one name raise."""
+
+    def leaves(kind: T.StructType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+        out = []
+        for f in kind:
+            out += leaves(f.dataType, (*path, f.name)) if isinstance(f.dataType, T.StructType) else [(*path, f.name)]
+        return out
+
+    paths = leaves(df.schema, ())
+    names = [separator.join(p) for p in paths]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns of one name: {sorted({n for n in names if names.count(n) > 1})}")
+    return df.select(*[F.col(".".join(f"`{x}`" for x in p)).alias(n) for p, n in zip(paths, names, strict=True)])

@@ -137,3 +137,18 @@ def expected_total(df: DataFrame, own: str, source: str, needs: str) -> Column:
 
 def global_minmax(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+
+
+def reduced_loss(df: DataFrame, keys: list[str], loss: str, reduction: str = "mean", weight: str | None = None, channels: int = 1) -> DataFrame:
+    """keys, loss: the sum or mean of weighted losses; none: the rows with their weighted losses.
+
+    A weighted mean divides by the sum of the weights, times the channels that share one weight.
+    """
+    value = F.col(loss) * F.col(weight) if weight else F.col(loss)
+    if reduction == "none":
+        return df.withColumn(loss, value)
+    if reduction == "sum":
+        return df.groupBy(*keys).agg(F.sum(value).alias(loss))
+    if reduction != "mean":
+        raise ValueError(reduction)
+    return df.groupBy(*keys).agg((F.try_divide(F.sum(value), F.sum(F.col(weight)) * channels) if weight else F.avg(value)).alias(loss))

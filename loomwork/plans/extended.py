@@ -6,9 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomwork.operators import arrays, groups, images, joins, scans, stores, tensors
+from loomwork.functions import columns as C
+from loomwork.functions import sampling
+from loomwork.operators import arrays, groups, images, joins, lookup, scans, stats, stores, tensors
 from loomwork.plans.catalogue import T, _u, query
-from loomwork.plans.families import _PIXELS, _pixels
+from loomwork.plans.families import _PIXELS, _RGB, _pixels, _rgb
 from loomwork.sources import files
 from loomwork.sources import tensors as store
 from loomwork.sources.shared import shared_folder
@@ -259,6 +261,57 @@ def depth_pictures(spark, d):
     return arrays.depth_colours(c, ["vec_id"], "depth").select("vec_id", F.col("y").cast("long"), F.col("x").cast("long"), "r", "g", "b")
 
 
+def _toss(name):
+    return _u("'8'", "vec_id", f"'{name}'") + " < 0.5"
+
+
+@query(f"""WITH f AS (SELECT vec_id, {_toss('hflip')} AS h, {_toss('vflip')} AS v, {_toss('turn')} AS t FROM embeddings), p AS (SELECT q.vec_id, t, value, CASE WHEN f.v THEN 7 - y ELSE y END AS y, CASE WHEN h THEN 7 - x ELSE x END AS x FROM
+    (SELECT vec_id, y, x, v AS value FROM ({_PIXELS})) q JOIN f ON f.vec_id = q.vec_id) SELECT vec_id, CASE WHEN t THEN x ELSE y END AS y, CASE WHEN t THEN y ELSE x END AS x, value FROM p""")
+def augmented_images(spark, d):
+    a = sampling.augmentation(F.lit(8), "vec_id")
+    p = _pixels(spark, d).withColumn("p", images.augmented(F.col("y"), F.col("x"), 8, 8, a["hflip"], a["vflip"], a["turn"]))
+    return p.select("vec_id", F.col("p.y").cast("long").alias("y"), F.col("p.x").cast("long").alias("x"), "value")
+
+
+@query(f"""SELECT vec_id, CASE vec_id % 9 WHEN 2 THEN y WHEN 3 THEN 7 - y WHEN 4 THEN 7 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 7 - x WHEN 8 THEN 7 - x ELSE y END AS y,
+    CASE vec_id % 9 WHEN 2 THEN 7 - x WHEN 3 THEN 7 - x WHEN 4 THEN x WHEN 5 THEN y WHEN 6 THEN 7 - y WHEN 7 THEN 7 - y WHEN 8 THEN y ELSE x END AS x, v AS value FROM ({_PIXELS})""")
+def oriented_images(spark, d):
+    p = _pixels(spark, d).withColumn("p", images.oriented(F.col("y"), F.col("x"), 8, 8, F.col("vec_id") % 9))
+    return p.select("vec_id", F.col("p.y").cast("long").alias("y"), F.col("p.x").cast("long").alias("x"), "value")
+
+
+@query(f"""SELECT vec_id, k, round(65.481 * r + 128.553 * g + 24.966 * b + 16, 6) AS y, round(-37.797 * r - 74.203 * g + 112.0 * b + 128, 6) AS cb, round(112.0 * r - 93.786 * g - 18.214 * b + 128, 6) AS cr,
+    round(r, 8) AS first, round(g, 8) AS second, round(2 * b - r / 2 - g / 2, 8) AS third FROM ({_RGB})""")
+def colour_channels(spark, d):
+    c = C.ycbcr("r", "g", "b")
+    back = arrays.inverse_combination([F.col(x) for x in "rgb"], [[2.0, 0.0, 0.0], [0.0, 4.0, 0.0], [1.0, 1.0, 2.0]], True)
+    return _rgb(spark, d).select("vec_id", "k", *[F.round(c[n], 6).alias(n) for n in ("y", "cb", "cr")], *[F.round(v, 8).alias(n) for n, v in zip(("first", "second", "third"), back, strict=True)])
+
+
+@query("""SELECT l_returnflag, 'mean' AS way, round(sum(abs(l_discount - l_tax) * l_quantity) / (3 * sum(l_quantity)), 8) AS loss FROM lineitem GROUP BY 1
+    UNION ALL SELECT l_returnflag, 'sum', round(sum(abs(l_discount - l_tax) * l_quantity), 4) FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'plain', round(avg(abs(l_discount - l_tax)), 8) FROM lineitem GROUP BY 1""")
+def reduced_losses(spark, d):
+    x = T(spark, d, "lineitem").select("l_returnflag", "l_quantity", F.abs(F.col("l_discount") - F.col("l_tax")).alias("loss"))
+    ways = {"mean": (8, "mean", "l_quantity", 3), "sum": (4, "sum", "l_quantity", 1), "plain": (8, "mean", None, 1)}
+    out = [stats.reduced_loss(x, ["l_returnflag"], "loss", how, weight, channels).select("l_returnflag", F.lit(w).alias("way"), F.round("loss", digits).alias("loss")) for w, (digits, how, weight, channels) in ways.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""WITH p AS (SELECT vec_id, k, list_sort(list_transform(embedding[1:5], lambda x: x::DOUBLE)) AS p, {_u("'11'", 'vec_id', 'k', "'choice'")} * 15 AS u, sqrt(-2 * ln(1 - {_u("'11'", 'vec_id', 'k', "'noise'", "'radius'")})) * cos(2 * pi() * {_u("'11'", 'vec_id', 'k', "'noise'", "'angle'")}) AS z FROM embeddings, range(4) t(k)),
+    c AS (SELECT *, CASE WHEN u < 1 THEN 1 WHEN u < 3 THEN 2 WHEN u < 6 THEN 3 WHEN u < 10 THEN 4 ELSE 5 END AS i FROM p)
+    SELECT vec_id, k::INTEGER AS k, round(least(greatest(p[i] + 0.5 * z * CASE i WHEN 1 THEN p[2] - p[1] WHEN 5 THEN p[5] - p[4] ELSE least(p[i] - p[i - 1], p[i + 1] - p[i]) END, -0.2), 0.2), 8) AS sample FROM c""")
+def noisy_samples(spark, d):
+    e = T(spark, d, "embeddings").select("vec_id", F.array_sort(F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double"))).alias("p"))
+    w = F.array(*[F.lit(float(k)) for k in (1, 2, 3, 4, 5)])
+    return sampling.noisy_samples(e, "p", w, -0.2, 0.2, 0.5, 4, F.lit(11), "vec_id").select("vec_id", "k", F.round("sample", 8).alias("sample"))
+
+
+@query("SELECT p_partkey, p_brand AS shape_brand, p_size AS shape_size, p_retailprice AS price_amount, p_size > 25 AS large FROM part")
+def nested_rows(spark, d):
+    n = lookup.nested(T(spark, d, "part").drop("p_name", "p_type"), {"shape": {"brand": "p_brand", "size": "p_size"}, "price": {"amount": "p_retailprice"}})
+    return lookup.flattened(n.where("shape.size > 0").withColumn("large", F.col("shape.size") > 25))
+
+
 # transforms -------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import columns as C
-from loomwork.operators import groups, images, joins, scans, stores, tensors
+from loomwork.functions import sampling
+from loomwork.operators import arrays, groups, images, joins, lookup, scans, stats, stores, tensors
 from loomwork.sources import files
 from loomwork.sources import tensors as store
 from loomwork.streaming import ledger, units
@@ -271,6 +272,40 @@ def test_montage_and_padding(spark):
         images.padded_to_multiple(cells(spark, {0: a}), ["image"], 16).collect()
 
 
+def test_orientation(spark):
+    a = np.arange(12.0).reshape(3, 4)
+    upright = {0: a, 1: a, 2: np.fliplr(a), 3: np.rot90(a, 2), 4: np.flipud(a), 5: a.T, 6: np.rot90(a, -1), 7: np.rot90(a, 2).T, 8: np.rot90(a, 1), 9: a}
+    d = cells(spark, {0: a}).drop("image").withColumn("code", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("p", images.oriented(F.col("y"), F.col("x"), 3, 4, F.col("code")))
+    got = {(r.code, r.p.y, r.p.x): r.value for r in d.collect()}
+    assert got == {(k, y, x): m[y, x] for k, m in upright.items() for y in range(m.shape[0]) for x in range(m.shape[1])}
+    flags = [(h, v, t) for h in (False, True) for v in (False, True) for t in (False, True)]
+    f = cells(spark, {0: a}).crossJoin(spark.createDataFrame(flags, "h boolean, v boolean, t boolean"))
+    for r in f.withColumn("p", images.augmented(F.col("y"), F.col("x"), 3, 4, F.col("h"), F.col("v"), F.col("t"))).collect():
+        m = np.fliplr(a) if r.h else a
+        m = np.flipud(m) if r.v else m
+        assert (m.T if r.t else m)[r.p.y, r.p.x] == r.value
+
+
+def test_channels_losses_and_nesting(spark):
+    m = [[0.4, 0.3, 0.2], [0.1, 0.9, 0.1], [0.05, 0.1, 0.7]]
+    d = spark.createDataFrame([(0.2, 0.5, 0.9), (1.0, 0.0, 0.3)], "r double, g double, b double")
+    there = d.select(*[v.alias(n) for n, v in zip("rgb", arrays.linear_combination([F.col(c) for c in "rgb"], m, True), strict=True)])
+    back = there.select(*arrays.inverse_combination([F.col(c) for c in "rgb"], m, True)).collect()
+    assert np.allclose([list(r) for r in back], [list(r) for r in d.collect()])
+    x = spark.createDataFrame([("a", 2.0, 1.0), ("a", 4.0, 3.0), ("b", 5.0, 0.0)], "k string, loss double, w double")
+    assert dict(map(tuple, stats.reduced_loss(x, ["k"], "loss", "mean", "w").collect())) == {"a": 3.5, "b": None}
+    assert sorted(r.loss for r in stats.reduced_loss(x, ["k"], "loss", "none", "w").collect()) == [0.0, 2.0, 12.0]
+    with pytest.raises(ValueError):
+        stats.reduced_loss(x, ["k"], "loss", "median")
+    n = lookup.nested(x, {"s": {"one": "loss", "two": "w"}})
+    deep = n.withColumn("t", F.struct("s", F.lit(1).alias("n")))
+    assert n.columns == ["k", "s"] and lookup.flattened(deep, ".").columns == ["k", "s.one", "s.two", "t.s.one", "t.s.two", "t.n"]
+    with pytest.raises(ValueError, match="s_one"):
+        lookup.flattened(n.withColumn("s_one", F.lit(0)))
+    scales = spark.createDataFrame([([1.0, 4.0, 5.0],), ([3.0],), ([],)], "p array<double>").select(sampling.point_scales(F.col("p")).alias("s")).collect()
+    assert [r.s for r in scales] == [[3.0, 1.0, 1.0], [None], []]
+
+
 def test_erosion(spark):
     rng = np.random.default_rng(3)
     masks = {k: rng.random((7, 9)) < 0.9 for k in range(4)}
