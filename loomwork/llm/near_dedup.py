@@ -10,9 +10,11 @@
    meets one pivot, the first of those in its buckets; buckets of one group mostly choose alike. So a
    round compares at most one pair for each class, and links found join components. Rounds go on as
    long as they link a fair part of the classes they ask.
-4. What is left are buckets with several components. Each class that is not in its bucket's largest
-   component is a stray of that component and meets all classes of those buckets that are in other
-   components, so every pair that shares a band and is not yet in one component is compared.
+4. What is left are buckets with several components; a bucket of two classes that a round has compared
+   is left out. Each class that is not in its bucket's largest component is a stray of that component and
+   meets those classes of other components that share a bucket with it, in the block of the first bucket
+   they share and only if no round has compared the two. So every pair that shares a band and is not yet
+   in one component is compared, and none twice.
 
 Comparing: signatures are compared in batches of hashes, and a pair is pruned as soon as the
 posterior chance of a similarity of at least the threshold falls below the chosen miss probability.
@@ -39,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,11 +206,49 @@ def _common(full: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return counts[np.searchsorted(rows, x), np.searchsorted(cols, y)].astype(np.int64)
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array column, and the row of each."""
+    lists = column.combine_chunks()
+    n = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), n)
+
+
+def due_pairs(row: np.ndarray, c: np.ndarray, own: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], met: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which rows (`row`) and columns (the others) of a block are to be compared: a matrix.
+
+    The first key that the two share must be one of the block's `own`, and neither has `met` the other.
+    """
+    rows, cols = np.flatnonzero(row), np.flatnonzero(~row)
+    place = np.empty(len(row), np.int64)
+    place[rows], place[cols] = np.arange(len(rows)), np.arange(len(cols))
+    key, owner = np.concatenate([own[0], others[0]]), np.concatenate([own[1], others[1]])
+    here = np.arange(len(key)) < len(own[0])
+    order = np.argsort(key, kind="stable")
+    key, owner, here = key[order], owner[order], here[order]
+    first = np.zeros((len(rows), len(cols)), np.int8)
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+        side = row[owner[lo:hi]]
+        if side.any() and not side.all():
+            at = np.ix_(place[owner[lo:hi][side]], place[owner[lo:hi][~side]])
+            first[at] = np.where(first[at] == 0, 1 if here[lo] else 2, first[at])
+    due = first == 1
+    for (q, who), mine, theirs in ((met, rows, cols), (met, cols, rows)):
+        order = np.argsort(c[theirs])
+        theirs = theirs[order]
+        at = np.minimum(np.searchsorted(c[theirs], q), max(len(theirs) - 1, 0))
+        fits = np.isin(who, mine) & (c[theirs][at] == q) if len(theirs) else np.zeros(len(q), bool)
+        x, y = place[who[fits]], place[theirs[at[fits]]]
+        due[(x, y) if mine is rows else (y, x)] = False
+    return due
+
+
 def verified(blocks: DataFrame, body: DataFrame, percent: int = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """a, b: the links between the rows and the columns of blocks (main, i, j, c, comp, row, twice) that are in different components.
+    """a, b: the links between the rows and the columns of blocks (main, i, j, c, comp, row, twice, own, others, met) that are in different components.
 
-    `body` has c, sig and set; `twice` marks classes that are among the rows and the columns. In a block, sizes rule links out, signatures prune batch by batch, and
-    full sets verify the survivors.
+    `body` has c, sig and set; `twice` marks classes that are among the rows and the columns. Where a block has keys,
+    its pairs are those of `due_pairs`. In a block, sizes rule links out, signatures prune batch by batch, and full sets
+    verify the survivors.
     """
     steps = _steps(percent, miss)
 
@@ -216,9 +257,13 @@ def verified(blocks: DataFrame, body: DataFrame, percent: int = THRESHOLD, miss:
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, _N)
         full = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
         size = np.array([len(x) for x in full])
-        other = np.flatnonzero(~row)
+        row = row.astype(bool)
+        columns = np.flatnonzero(~row)
+        keyed = table.column("own").null_count < len(row)
+        due = due_pairs(row, c, *(_lists(table.column(k)) for k in ("own", "others", "met"))) if keyed else None
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r in np.flatnonzero(row).tolist():
+        for k, r in enumerate(np.flatnonzero(row).tolist()):
+            other = columns if due is None else columns[due[k]]
             y = other[(comp[other] != comp[r]) & (~twice[other] | ~twice[r] | (c[other] > c[r])) & (100 * np.minimum(size[other], size[r]) >= percent * np.maximum(size[other], size[r]))]
             x, y = _similar(sig, np.full(len(y), r), y, steps)
             xs.append(x)
@@ -243,7 +288,8 @@ def pivot_blocks(pairs: DataFrame) -> DataFrame:
     cols = pairs.join(dealt.select(F.col("q").alias("main"), "parts"), F.col("q") == F.col("main"))
     cols = cols.select("main", F.lit(0).alias("i"), place.alias("j"), "c", "comp", F.lit(False).alias("row"), F.lit(False).alias("twice"))
     rows = dealt.select(F.col("q").alias("main"), F.lit(0).alias("i"), F.explode(F.expr("sequence(0, parts - 1)")).alias("j"), F.col("q").alias("c"), F.col("q_comp").alias("comp"), F.lit(True).alias("row"), F.lit(False).alias("twice"))
-    return written(cols.unionByName(rows), "near-blocks")
+    none = F.lit(None).cast("array<long>")
+    return written(cols.unionByName(rows).withColumns({"own": none, "others": none, "met": none}), "near-blocks")
 
 
 def class_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -304,22 +350,38 @@ def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
     return best.select(F.col("p.o.c").alias("q"), F.col("p.q_comp").alias("q_comp"), "c", "comp", "n")
 
 
-def stray_blocks(members: DataFrame) -> DataFrame:
+def unmet(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """The members without the buckets of two classes that a round has compared (`asked`: q, c)."""
+    two = members.groupBy("key").agg(F.count("*").alias("many"), F.min("c").alias("x"), F.max("c").alias("y")).where("many = 2")
+    met = asked.select(F.least("q", "c").alias("m_x"), F.greatest("q", "c").alias("m_y")).distinct()
+    done = two.join(met.hint("merge"), (F.col("x") == F.col("m_x")) & (F.col("y") == F.col("m_y")), "left_semi").select(F.col("key").alias("k"))
+    return members.join(done.hint("merge"), F.col("key") == F.col("k"), "left_anti")
+
+
+def stray_blocks(members: DataFrame, asked: DataFrame) -> DataFrame:
     """Blocks of the classes that share a bucket across components. Written once.
 
     Each bucket belongs to the largest component in it; its other classes are strays of that component.
-    Strays (rows) meet all classes of those buckets (columns).
+    Strays (rows) meet those classes of its buckets (columns) with which they share one. A class brings
+    its keys, at most one for each band, and the pivots it has met (`asked`: q, c), one for each round at most.
     """
+    members = unmet(members, asked)
     weight = members.select("comp", "c").distinct().groupBy(F.col("comp").alias("w")).agg(F.count("*").alias("many"))
     largest = members.select("key", "comp").distinct().join(weight, F.col("comp") == F.col("w")).groupBy(F.col("key").alias("k")).agg(F.max(F.struct("many", "comp")).alias("m"))
-    d = members.join(largest.select("k", F.col("m.comp").alias("main")), F.col("key") == F.col("k")).select("main", "c", "comp", "n").distinct()
-    d = written(d, "near-strays")
+    d = members.join(largest.select("k", F.col("m.comp").alias("main")), F.col("key") == F.col("k"))
+    d = d.groupBy("c", "comp", "n").agg(F.collect_list(F.struct("key", "main")).alias("keys"))
+    met = asked.groupBy(F.col("c").alias("m_c")).agg(F.collect_list("q").alias("met"))
+    d = d.join(met.hint("merge"), F.col("c") == F.col("m_c"), "left")
+    d = d.withColumn("main", F.explode(F.array_distinct("keys.main")))
+    here = lambda same: F.transform(F.filter("keys", lambda k: (k["main"] == F.col("main")) == F.lit(same)), lambda k: k["key"])
+    d = written(d.select("main", "c", "comp", "n", here(True).alias("own"), here(False).alias("others"), "met"), "near-strays")
     stray = F.col("comp") != F.col("main")
     sizes = d.groupBy(F.col("main").alias("m")).agg(_parts(F.count_if(stray), F.sum(F.when(stray, F.col("n")).otherwise(0))).alias("rows"), _parts(F.count("*"), F.sum("n")).alias("cols"))
     d = d.join(sizes, F.col("main") == F.col("m"))
     place = lambda n, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n)).cast("int")
-    cols = d.select("main", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place("cols", 2).alias("j"), "c", "comp", F.lit(False).alias("row"), stray.alias("twice"))
-    rows = d.where(stray).select("main", place("rows", 1).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), "c", "comp", F.lit(True).alias("row"), F.lit(True).alias("twice"))
+    own = ["own", "others", "met"]
+    cols = d.select("main", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place("cols", 2).alias("j"), "c", "comp", F.lit(False).alias("row"), stray.alias("twice"), *own)
+    rows = d.where(stray).select("main", place("rows", 1).alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), "c", "comp", F.lit(True).alias("row"), F.lit(True).alias("twice"), *own)
     return written(cols.unionByName(rows), "near-blocks")
 
 
@@ -338,16 +400,18 @@ def _components(rows: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     body = written(nodes.select("c", "sig").join(class_sets(rows, nodes.select("place", "cls", "c")).hint("merge"), "c"), "near-body")
     labels = nodes.select("c", F.col("c").alias("comp"))
     members = bucket.withColumn("comp", F.col("c"))
+    met = None
     for turn in range(rounds):
         pairs = written(pivot_pairs(members, turn), f"near-pairs{turn}")
         found = written(verified(pivot_blocks(pairs), body), f"near-links{turn}")
         asked, links = pairs.count(), found.count()
+        met = pairs.select("q", "c") if met is None else met.unionByName(pairs.select("q", "c"))
         if links:
             labels = moved(labels, found)
             members = open_members(members, labels)
         if links <= FAIR * asked:
             break
-    labels = moved(labels, verified(stray_blocks(members), body)).select(F.col("c").alias("l_c"), "comp")
+    labels = moved(labels, verified(stray_blocks(members, met), body)).select(F.col("c").alias("l_c"), "comp")
     known = classes.join(labels, F.col("c") == F.col("l_c"), "left").select("cls", "first", F.coalesce("comp", "c").alias("comp"))
     least = known.groupBy(F.col("comp").alias("g")).agg(F.min("first").alias("least"))
     return prints, known.join(least, F.col("comp") == F.col("g")).select(F.col("cls").alias("k_cls"), F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row"))

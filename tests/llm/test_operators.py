@@ -284,6 +284,60 @@ def test_near_pairs_are_compared_once():
     assert near_dedup._common(sets, x[:50], y[:50]).tolist() == want[:50]
 
 
+def test_near_due_pairs():
+    """A pair is due once: in the block of its first common key, and only if neither has met the other."""
+    import numpy as np
+
+    rnd = random.Random(3)
+    keys = {c: sorted(rnd.sample(range(40), rnd.randint(1, 6))) for c in range(50)}
+    mains = {k: k % 3 for k in range(40)}
+    met = {c: rnd.sample(range(50), rnd.randint(0, 3)) for c in keys}
+    seen = []
+    for main in (0, 1, 2):
+        inside = [c for c in keys if any(mains[k] == main for k in keys[c])]
+        row = np.array([True] * len(inside) + [False] * len(inside))
+        c = np.array(inside * 2)
+        flat = lambda f: tuple(np.array(x, np.int64) for x in zip(*[(v, i) for i, d in enumerate(inside * 2) for v in f(d)], strict=True))  # noqa: B023, E731
+        due = near_dedup.due_pairs(row, c, flat(lambda d: [k for k in keys[d] if mains[k] == main]), flat(lambda d: [k for k in keys[d] if mains[k] != main]), flat(lambda d: met[d]))  # noqa: B023
+        seen += [(inside[x], inside[y]) for x, y in zip(*np.nonzero(due), strict=True) if inside[x] < inside[y]]
+    want = [(x, y) for x in keys for y in keys if x < y and set(keys[x]) & set(keys[y]) and y not in met[x] and x not in met[y]]
+    assert sorted(seen) == want and want
+
+
+def test_near_family_meets_in_buckets_only(spark):
+    """Families without links: no pair is compared twice, nor one that shares no bucket."""
+    import numpy as np
+
+    rnd = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(200):
+        w = list(base)
+        for at in rnd.sample(range(120), rnd.randint(4, 9)):
+            w[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame(rows, "row long, text string").selectExpr("row", "row AS place", "row AS doc_id", "text")
+    nodes = near_dedup.fingerprints(d).selectExpr("row AS c", "cast(n_shingles AS int) AS n", "sig")
+    members = near_dedup.buckets(nodes).withColumn("comp", F.col("c"))
+    asked = near_dedup.pivot_pairs(members, 0).select("q", "c")
+    met = {frozenset(r) for r in asked.collect()}
+    by_key = {}
+    for r in members.collect():
+        by_key.setdefault(r.key, set()).add(r.c)
+    want = {frozenset((x, y)) for g in by_key.values() for x in g for y in g if x < y} - met
+    blocks = near_dedup.stray_blocks(members, asked).toPandas()
+    got = []
+    for _, b in blocks.groupby(["main", "i", "j"]):
+        flat = lambda name: tuple(np.array(z, np.int64) for z in [[(v, i)[side] for i, x in enumerate(b[name]) if x is not None for v in x] for side in (0, 1)])  # noqa: B023, E731
+        row, c, twice = (b[k].to_numpy() for k in ("row", "c", "twice"))
+        due = near_dedup.due_pairs(row, c, flat("own"), flat("others"), flat("met"))
+        for x, y in zip(*np.nonzero(due), strict=True):
+            u, v = np.flatnonzero(row)[x], np.flatnonzero(~row)[y]
+            if c[u] != c[v] and not (twice[v] and c[v] < c[u]):
+                got.append(frozenset((int(c[u]), int(c[v]))))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_near_rows_without_doc_id(spark):
     a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
     rows = [(None, a), (4, a + " x"), (3, a), (None, b), (None, b + " y"), (None, None), (9, None), (7, "u v w x y z"), (7, "p q r s t u")]
