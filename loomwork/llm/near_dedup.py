@@ -178,7 +178,7 @@ def _similar(sig: np.ndarray, x: np.ndarray, y: np.ndarray, steps: list[tuple[in
 def _some(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of `df` whose `c` is in `ids`: looked up in a broadcast table of at most FEW numbers, else by a shuffle."""
     ids = ids.select(F.col("c").alias("own_c")).distinct()
-    return df.join(F.broadcast(ids) if len(ids.take(FEW + 1)) <= FEW else ids, F.col("c") == F.col("own_c"), "left_semi")
+    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, F.col("c") == F.col("own_c"), "left_semi")
 
 
 def _common(full: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
