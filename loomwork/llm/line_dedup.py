@@ -9,12 +9,15 @@ and they are within EDITS edits of each other, so at most a twelfth of a line di
   length, number and characters; probe rows are the substrings of a content at the few places where
   a segment of a content up to EDITS shorter can stand. They meet in an equi-join on a hash.
 - A segment that more than COMMON contents share is common: many variants of one line would meet each
-  other there. Contents with a common segment meet on a finer key instead. Cut into FINE segments, two
-  linked contents differ in two of them at most, so the others, about (FINE - 2) / FINE of all
-  characters, are equal in both: before the first of the two at the same place, after the second
-  counted from the end, and between them moved by at most one place (if both edits lie in one segment,
-  a neighbour of it takes the second place and nothing stands between). The key is the hash of these
-  parts; so no link is lost, and a key of the first kind gives at most COMMON pairs for each probe row.
+  other there. What is left of them beside that segment is cut again, and again while more than
+  SPLIT * COMMON contents share a key: with at most two edits in one part its first third, its last
+  third or (one edit before, one after) its middle is equal; with one edit in a part either of its halves
+  is. Keys are chained hashes of the parts that are equal, so contents of a key are equal in all but what
+  is left. Two contents are found under the first of these choices that holds for them: a row holds what
+  must differ, and a key where that is the same in all contents is given up. What all contents of a key
+  have in common is cut off in one row, so a template with a number stays one row for each key until
+  the number is reached. No link is lost: each choice covers the pairs that the choices before it do not.
+  What is left of two contents that meet is compared at once, and only near ones are candidates.
 - Candidates are verified by a bit-parallel edit distance on the band of 2 * EDITS + 1 diagonals:
   one bit mask for each number of edits says which diagonals are reached, and a row of the table is
   a few shifts. Common starts and ends are cut off first, by bisection.
@@ -38,9 +41,9 @@ from pyspark.sql import functions as F
 from loomwork.llm.shared import fresh, written
 
 EDITS, MIN_CHARS = 2, 24
-#: Contents that share a segment before it is common; segments of the finer cut (at least 3 characters each).
-COMMON, FINE = 4, 8
-#: Contents in candidates up to this number are sent to all tasks (two longs each); more are shuffled.
+#: Contents that share a segment before it is common; what is left of them is cut further where more than SPLIT times as many share a key.
+COMMON, SPLIT = 4, 4
+#: Contents or keys up to this number are sent to all tasks (a few numbers each); more are shuffled.
 BROADCAST_ROWS = 1_000_000
 _SHIFT, _LAST = "2147483648BD", "9223372036854775808BD"  # stands for a null doc_id
 
@@ -94,38 +97,85 @@ def probe_keys(edits: int = EDITS) -> Column:
     return F.array(*keys)
 
 
-def _fine_keys(params: list[tuple[int, int, int, int]], fine: int) -> Column:
-    """For each (p, q, less, move) the key of a content as one that is `less` longer than another: all but its segments p and q."""
-    at = lambda j: f"cast(floor((n_chars - x.less) * {j} / {fine}) AS int)"
-    ends = [at("x.p"), at("(x.p + 1)"), at("x.q"), at("(x.q + 1)")]
-    parts = [f"substring(line, 1, {ends[0]})", f"substring(line, {ends[1]} + x.move + 1, {ends[2]} - {ends[1]})", f"substring(line, {ends[3]} + x.less + 1)"]
-    rows = ", ".join(f"named_struct('p', {p}, 'q', {q}, 'less', {less}, 'move', {move})" for p, q, less, move in params)
-    return F.expr(f"transform(array({rows}), x -> xxhash64(x.p, x.q, n_chars - x.less, {', '.join(parts)}))")
+#: Of a key's kind: the segment that is equal, how much longer the probing content is, and by how much the segment has moved.
+_PLACES = {"index": [(i, 0, 0) for i in range(3)], "probe": [(i, less, m) for less in range(3) for i, moves in ((0, [0]), (1, range(max(-1, less - 1), min(1, less + 1) + 1)), (2, [less])) for m in moves]}
+_STATE = ["key", "lid", "probe", "w1", "d1", "w2", "d2", "ml", "mr"]
 
 
-def _parities() -> tuple[Column, Column]:
-    """Bit k: whether an odd number of a content's characters (neighbouring pairs) is in class k."""
-    # coalesce: never null, so that no filter on nulls repeats the split for each character
-    odd = lambda a, of: F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), of(x)))), F.lit(0).cast("long"))
-    pairs = F.transform(F.sequence(F.lit(1), F.col("n_chars") - 1), lambda i: F.concat(F.get("chars_", i - 1), F.get("chars_", i)))
-    return odd(F.split("line", ""), lambda x: F.pmod(F.hash(x), F.lit(64))), odd(pairs, lambda x: F.pmod(F.hash(x), F.lit(64)))
+def _opened(rows: DataFrame, side: str) -> DataFrame:
+    """What is left of the contents with a common segment: key, lid, probe, w1, d1, w2, d2, ml, mr (see `_cut`).
 
-
-def fine_pairs(index: DataFrame, probe: DataFrame, fine: int = FINE) -> DataFrame:
-    """a, b: contents of `index` and of `probe` (lid, line, n_chars) that share all but two segments of the finer cut."""
-    places = [(p, q) for p in range(fine) for q in range(p + 1, fine)]
-    # of two edits in segments that do not touch, each moves what follows by one place at most
-    moves = [(p, q, less, move) for p, q in places for less in range(3) for move in ([0] if q == p + 1 else range(max(-1, less - 1), min(1, less + 1) + 1))]
-    sides = []
-    for rows, name, params in ((index, "a", [(p, q, 0, 0) for p, q in places]), (probe, "b", moves)):
-        single, double = _parities()
-        d = rows.withColumn("chars_", F.split("line", "")).select("lid", "line", "n_chars", single.alias(f"single_{name}"), double.alias(f"double_{name}"))
-        sides.append(d.select(F.col("lid").alias(name), f"single_{name}", f"double_{name}", F.explode(_fine_keys(params, fine)).alias("key")))
-    i, p = sides
-    p = p.withColumnRenamed("key", "own")
-    flips = lambda x: F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b")))
-    near = (F.col("key") == F.col("own")) & (F.col("a") != F.col("b")) & (flips("single") <= 2 * EDITS) & (flips("double") <= 4 * EDITS)
-    return i.join(p, near).select("a", "b").distinct()
+    `rows`: key, at (the key's position in its array), lid, line, n_chars.
+    """
+    places = ", ".join(f"struct({i} AS i, {less} AS less, {m} AS move)" for i, less, m in _PLACES[side])
+    d = rows.withColumn("x", F.expr(f"array({places})[at]")).withColumn("n", F.expr("n_chars - x.less"))
+    (_, first), (start, mid), (_, last) = (_segment(F.col("n"), i, EDITS) for i in range(3))
+    d = d.select("key", "lid", "line", "n_chars", "x", first.cast("int").alias("first"), start.cast("int").alias("start"), mid.cast("int").alias("mid"), last.cast("int").alias("last"))
+    return d.selectExpr(
+        "key", "lid", f"{side == 'probe'} AS probe",
+        "CASE x.i WHEN 0 THEN substring(line, first + 1) WHEN 1 THEN left(line, start + x.move) ELSE left(line, n_chars - last) END AS w1",
+        "if(x.i = 1, x.move, x.less) AS d1",
+        "if(x.i = 1, substring(line, start + x.move + mid + 1), null) AS w2",
+        "if(x.i = 1, x.less - x.move, 0) AS d2",
+        "if(x.i = 0, lid, xxhash64(left(line, first))) AS ml",
+        "if(x.i = 1, xxhash64(right(line, last)), lid) AS mr",
+    )
+
+
+#: Whether a part of what is left stands in all contents of a key: first and last part of w1, first and last of w2.
+_UNIFORM = {
+    "u1": "if(w2 IS NULL, left(w1, (length(w1) - d1) div 3), left(w1, (length(w1) - d1) div 2))",
+    "u2": "if(w2 IS NULL, right(w1, (length(w1) - d1) div 3), right(w1, length(w1) - d1 - (length(w1) - d1) div 2))",
+    "u3": "left(w2, (length(w2) - d2) div 2)",
+    "u4": "right(w2, length(w2) - d2 - (length(w2) - d2) div 2)",
+}
+#: Nothing is left to cut: two characters of the shorter content, or one on either side.
+_DONE = "if(w2 IS NULL, length(w1) - d1 < 3, length(w1) - d1 < 2 AND length(w2) - d2 < 2)"
+
+
+def _cut(state: DataFrame) -> DataFrame:
+    """The next cut of what is left, one row for each part that may be equal.
+
+    w1 alone: at most two edits in it; w1 and w2: one in either. d1, d2: by how much the content's own part is
+    longer than that of the shorter content. ml, mr: what differs in the pairs that are found here; a pair that
+    is equal in it is found under another key. u1 to u4: see `_UNIFORM`; what all have is cut off, nothing else.
+    """
+    whole = "cast(null AS string) AS w2, 0 AS d2"
+    one = [f"struct(xxhash64(key, 0, left(w1, a)) AS key, substring(w1, a + 1) AS w1, d1, {whole}, ml, mr, u1 OR NOT u2 AS has)"]
+    one.append(f"struct(xxhash64(key, 2, right(w1, a)) AS key, left(w1, length(w1) - a) AS w1, d1, {whole}, if(u2, ml, xxhash64(left(w1, a))) AS ml, mr, NOT u1 AS has)")
+    for m in (-1, 0, 1):
+        one.append(f"""struct(xxhash64(key, 1, substring(w1, a + {m} + 1, length(w1) - d1 - 2 * a)) AS key, left(w1, a + {m}) AS w1, {m} AS d1, right(w1, a + d1 - {m}) AS w2,
+            d1 - {m} AS d2, xxhash64(left(w1, a)) AS ml, xxhash64(right(w1, a)) AS mr, NOT u1 AND NOT u2 AND abs(d1 - {m}) <= 1 AND (probe OR {m} = 0) AS has)""")
+    half = lambda w, h, d, must, first, last: f"""if(length({w}) - {d} > 1,
+        filter(array(struct(0 AS side, left({w}, {h}) AS part, substring({w}, {h} + 1) AS w, {must} AS must, {first} OR NOT {last} AS has),
+            struct(1 AS side, right({w}, length({w}) - {d} - {h}) AS part, left({w}, {d} + {h}) AS w, if({last}, {must}, xxhash64(left({w}, {h}))) AS must, NOT {first} AS has)), x -> x.has),
+        array(struct(2 AS side, '' AS part, {w} AS w, {must} AS must, true AS has)))"""
+    both = f"""flatten(transform({half("w1", "b", "d1", "ml", "u1", "u2")}, l -> transform({half("w2", "c", "d2", "mr", "u3", "u4")},
+        r -> struct(xxhash64(key, l.side, l.part, r.side, r.part) AS key, l.w AS w1, d1, r.w AS w2, d2, l.must AS ml, r.must AS mr))))"""
+    a = state.where("w2 IS NULL").withColumn("a", F.expr("(length(w1) - d1) div 3").cast("int"))
+    a = a.selectExpr("lid", "probe", f"inline(filter(array({', '.join(one)}), x -> x.has))")
+    b = state.where("w2 IS NOT NULL").withColumns({"b": F.expr("(length(w1) - d1) div 2").cast("int"), "c": F.expr("(length(w2) - d2) div 2").cast("int")})
+    return a.select(_STATE).unionByName(b.selectExpr("lid", "probe", f"inline({both})").select(_STATE))
+
+
+def refined_pairs(state: DataFrame, common: int = COMMON) -> DataFrame:
+    """a, b: contents (index, probe) that are near in what is left, cut further wherever many share a key."""
+    found, same = [], [F.expr(f"coalesce(min(xxhash64({part})) = max(xxhash64({part})), false) AS {u}") for u, part in _UNIFORM.items()]
+    while True:
+        state = written(state, "line-state")
+        hot = state.groupBy("key").agg(F.count_if(~F.col("probe")).alias("n"), F.bool_or(F.expr(_DONE)).alias("done"), F.expr("min(ml) < max(ml) AND min(mr) < max(mr)").alias("open"), *same)
+        hot = written(hot.where(F.col("n") > SPLIT * common).where("NOT (done AND open)").select(F.col("key").alias("k"), "open", *_UNIFORM), "line-common")
+        n, n_open = hot.agg(F.count("*"), F.count_if("open")).first()
+        keys = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+        found.append(state.join(keys.select("k"), F.col("key") == F.col("k"), "left_anti"))
+        if not n_open:
+            break
+        state = _cut(state.join(keys.where("open"), F.col("key") == F.col("k")))
+    rows = reduce(DataFrame.unionByName, found)
+    i, p = (rows.where("NOT probe" if x == "a" else "probe").select([F.col(c).alias(f"{c}_{x}") for c in _STATE]) for x in "ab")
+    own = F.expr("key_a = key_b AND (lid_a < lid_b OR lid_a <> lid_b AND d1_b + d2_b > 0) AND ml_a <> ml_b AND mr_a <> mr_b")
+    near = F.expr("levenshtein(w1_a, w1_b, if(w2_a IS NULL, 2, 1)) >= 0 AND (w2_a IS NULL OR levenshtein(w2_a, w2_b, 1) >= 0)")
+    return i.join(p, own & near).select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b")).distinct()
 
 
 def _common(a: str, b: str, side: str) -> Column:
@@ -188,7 +238,7 @@ def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """A table of one or two longs, broadcast if it has at most BROADCAST_ROWS rows."""
+    """A table of a few numbers a row, broadcast if it has at most BROADCAST_ROWS rows."""
     return F.broadcast(ids) if len(ids.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n")).where(F.col("n") <= BROADCAST_ROWS).take(1)) else ids
 
 
@@ -202,11 +252,14 @@ def candidates(c: DataFrame, edits: int = EDITS, common: int = COMMON) -> DataFr
     hot = _few(written(hot, "line-common"))
     a, b = i.withColumnRenamed("lid", "a"), p.withColumnRenamed("lid", "b")
     rare = a.join(hot, F.col("key") == F.col("k"), "left_anti").join(b, "key").where("a <> b").select("a", "b").distinct()
+    if not hot.take(1):
+        return written(rare, "line-pairs")
     sides = []
-    for name, rows in (("index", i), ("probe", p)):
-        ids = _few(written(rows.join(hot, F.col("key") == F.col("k"), "left_semi").select(F.col("lid").alias("own")).distinct(), f"line-{name}"))
-        sides.append(c.select("lid", "line", "n_chars").join(ids, F.col("lid") == F.col("own"), "left_semi"))
-    return written(rare.unionByName(fine_pairs(*sides)).distinct(), "line-pairs")
+    for side in ("index", "probe"):
+        rows = keys.select(F.posexplode(side).alias("at", "key"), "lid").join(hot, F.col("key") == F.col("k"), "left_semi")
+        ids = _few(written(rows, f"line-{side}"))
+        sides.append(_opened(c.select(F.col("lid").alias("own"), "line", "n_chars").join(ids, F.col("lid") == F.col("own")), side))
+    return written(rare.unionByName(refined_pairs(sides[0].unionByName(sides[1]), common)).distinct(), "line-pairs")
 
 
 def links(c: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:

@@ -132,6 +132,18 @@ def test_lines_of_one_family(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) > 300
 
 
+def test_lines_of_one_template(spark):
+    """Lines that differ in a number only: beside the links, only pairs of rare segments become candidates."""
+    rnd = random.Random(1)
+    texts = [(k, f"The quick report number {rnd.randrange(10**6):06d} was written for the board of the cömpany today") for k in range(400)]
+    texts += [(k + 400, t.replace("quick", "quíck") if k % 2 else t[:-1]) for k, (_, t) in enumerate(texts[:40])]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute.lines(texts)
+    assert sorted(tuple(r) for r in line_dedup.line_report(d).collect()) == want
+    pairs = line_dedup.candidates(line_dedup.contents(line_dedup.document_lines(d))).count()
+    assert sum(r[4] for r in want) // 2 <= pairs <= sum(r[4] for r in want) + line_dedup.COMMON * len(texts)
+
+
 def test_edit_distance(spark):
     rnd = random.Random(2)
     pairs = []
