@@ -77,18 +77,22 @@ def montage(tiles: DataFrame, group: list[str], height: int, width: int, columns
 def padded_to_multiple(cells: DataFrame, image: list[str], multiple: int) -> DataFrame:
     """image, y, x, value, own: images filled up below and right to a multiple of both sides, mirrored about the last row and column.
 
-    `own` marks the cells of the image itself: where(own) crops a result back. A side too short to be mirrored so far raises when evaluated.
+    Each cell goes to its own place and to the mirrored ones by its image's size. `own` marks the cells of the image itself: where(own) crops a result back. A side too short to be mirrored so far raises when evaluated.
     """
-    d = cells.groupBy(*image).agg((F.max("y") + 1).alias("h_"), (F.max("x") + 1).alias("w_"))
+    size = cells.groupBy(*[F.col(c).alias(f"{c}_o_") for c in image]).agg((F.max("y") + 1).alias("h_"), (F.max("x") + 1).alias("w_"))
     full = lambda n: F.ceil(F.col(n) / multiple) * multiple
     bad = (full("h_") > 2 * F.col("h_") - 1) | (full("w_") > 2 * F.col("w_") - 1)
-    d = d.where(F.when(bad, F.raise_error(F.lit("an image is too small to be mirrored")).cast("boolean")).otherwise(True))
-    d = d.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), full("h_").cast("long") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), full("w_").cast("long") - 1)))
-    source = lambda at, n: F.when(F.col(at) < F.col(n), F.col(at)).otherwise(2 * (F.col(n) - 1) - F.col(at))
-    d = d.select(*image, "y", "x", source("y", "h_").alias("y_"), source("x", "w_").alias("x_"), ((F.col("y") < F.col("h_")) & (F.col("x") < F.col("w_"))).alias("own"))
-    own = cells.select(*[F.col(c).alias(f"{c}_o_") for c in image], F.col("y").alias("oy_"), F.col("x").alias("ox_"), "value")
-    on = [F.col(c) == F.col(f"{c}_o_") for c in image] + [F.col("y_") == F.col("oy_"), F.col("x_") == F.col("ox_")]
-    return d.join(own, on).select(*image, "y", "x", "value", "own")
+    size = size.where(F.when(bad, F.raise_error(F.lit("an image is too small to be mirrored")).cast("boolean")).otherwise(True))
+    own = cells.select(*image, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "value").where("y >= 0 AND x >= 0")
+    # cells become more rows only behind the join, and no size of its sides makes it a broadcast
+    d = own.join(size.hint("merge"), [F.col(c) == F.col(f"{c}_o_") for c in image])
+
+    def places(at: str, n: str) -> Column:
+        mirrored = 2 * (F.col(n) - 1) - F.col(at)
+        return F.explode(F.when((mirrored >= F.col(n)) & (mirrored < full(n)), F.array(F.col(at), mirrored)).otherwise(F.array(at)))
+
+    d = d.withColumn("y", places("y", "h_")).withColumn("x", places("x", "w_"))
+    return d.select(*image, "y", "x", "value", ((F.col("y") < F.col("h_")) & (F.col("x") < F.col("w_"))).alias("own"))
 
 
 def eroded(mask: DataFrame, image: list[str], valid: str, down: int, across: int) -> DataFrame:

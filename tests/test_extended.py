@@ -272,6 +272,20 @@ def test_montage_and_padding(spark):
         images.padded_to_multiple(cells(spark, {0: a}), ["image"], 16).collect()
 
 
+def test_padding_sends_no_cells_to_the_driver(spark):
+    rng = np.random.default_rng(5)
+    a = {k: rng.normal(size=(5 + k % 3, 6)) for k in range(9)}
+    d = images.padded_to_multiple(cells(spark, a), ["image"], 5)
+    got: dict = {}
+    for r in d.collect():
+        assert (r.y, r.x) not in got.setdefault(r.image, {})
+        got[r.image][r.y, r.x] = r.value
+    for k, m in a.items():
+        full = np.pad(m, ((0, -m.shape[0] % 5), (0, 4)), mode="reflect")
+        assert got[k] == {(y, x): v for (y, x), v in np.ndenumerate(full)}
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_orientation(spark):
     a = np.arange(12.0).reshape(3, 4)
     upright = {0: a, 1: a, 2: np.fliplr(a), 3: np.rot90(a, 2), 4: np.flipud(a), 5: a.T, 6: np.rot90(a, -1), 7: np.rot90(a, 2).T, 8: np.rot90(a, 1), 9: a}
