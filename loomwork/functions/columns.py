@@ -230,8 +230,9 @@ def classify_lens(efl: ColumnLike, fnum: ColumnLike, imgrad: ColumnLike, ttl: Co
 def coerce_cell(token: ColumnLike) -> Column:
     """struct(kind, number): - is null, INF is infinity, then int, double, and string last."""
     t = F.trim(_c(token))
-    integer, real = t.rlike(r"^[+-]?\d+$"), F.expr("CAST(NULL AS DOUBLE)")
-    real = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+    # \z, since $ also stands before a last line separator (U+0085, U+2028, U+2029)
+    integer = t.rlike(r"^[+-]?\d+\z")
+    real = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), t.try_cast("double"))
     kind = F.when(t.isNull() | (t == "-"), "null").when(F.upper(t) == "INF", "inf").when(integer, "int").when(real.isNotNull(), "double").otherwise("string")
     return F.struct(kind.alias("kind"), F.when(F.upper(t) == "INF", float("inf")).otherwise(real).alias("number"))
 

@@ -45,3 +45,15 @@ def test_query(spark, duck, name):
     table = duck.execute(catalogue.ORACLES[name]).to_arrow_table()
     assert sorted(df.columns) == sorted(table.column_names)
     assert rows(got, df.columns) == rows(table.to_pylist(), df.columns)
+
+
+def test_odd_cells(spark, tmp_path):
+    """Cells that end in a line separator other than a newline, and documents without a length or a text, as the SQL has them."""
+    texts = [f"12{c} -3{c} 1.5{c} INF{c} 7 {c}8" for c in ("\u0085", "\u2028", "\u2029", "\x1c")]
+    docs = [(k, t, n) for k, (t, n) in enumerate(zip([*texts, None, ""], [4, 5, 6, -1, 7, None], strict=True))]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalogue.QUERIES["coerce_cell"](spark, str(tmp_path))
+    want = rows(own.execute(catalogue.ORACLES["coerce_cell"]).to_arrow_table().to_pylist(), df.columns)
+    assert rows([r.asDict() for r in df.collect()], df.columns) == want and len(want) == 30
