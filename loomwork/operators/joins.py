@@ -162,7 +162,7 @@ def surfaces_with_positions(surfaces: DataFrame, asphere: DataFrame, group: str)
     first = F.row_number().over(Window.partitionBy(group).orderBy("i"))
     s = surfaces.withColumn("step_", F.when(first == 1, 0.0).otherwise(F.coalesce("D", F.lit(0.0))))
     s = s.withColumn("z", F.coalesce(F.sum("step_").over(w), F.lit(0.0))).drop("step_")
-    return s.join(asphere, [group, "i"], "left")
+    return s.join(asphere.hint("merge"), [group, "i"], "left")
 
 
 def copy_matching(new: DataFrame, old: DataFrame, on: list[str], value: str, order: str) -> DataFrame:

@@ -154,15 +154,19 @@ def formatted_cells(spark, d):
     return T(spark, d, "events").select("event_id", C.format_cell(v).alias("cell"))
 
 
-def _lenses(spark, d):
-    """Stanzas of one lens for each part: a stop, an aspheric surface of a catalogue glass, a surface of a glass of its own."""
-    n = lambda c: F.col(c).cast("string")
-    asphere = F.concat(F.lit("SURF 1\n  TYPE EVENASPH\n  CURV 0.0"), n("p_size"), F.lit("5\n  DISZ "), n("p_size"), F.lit("\n  GLAS G"), (F.col("p_partkey") % 3).cast("string"), F.lit(" 0 0\n  CONI -1.5\n  PARM 2 0.25\n  PARM 3 0.0"), n("p_size"), F.lit("\n"))
-    own = F.concat(F.lit("SURF 2\n  CURV 0\n  DISZ 2.5\n  GLAS ___BLANK 1 0 1.6 50\n  DIAM "), n("p_size"), F.lit(" 1\n"))
+def _lenses(spark, d, parts=None, doc="p_partkey"):
+    """Stanzas of one lens for each part: a stop, an aspheric surface of a catalogue glass, a surface of a glass of its own.
+
+    `parts` may bring the parts with a document name of their own. Lines whose number is null are left out.
+    """
+    line = lambda before, x, after="": F.coalesce(F.concat(F.lit(f"  {before}"), x.cast("string"), F.lit(f"{after}\n")), F.lit(""))
+    size = F.col("p_size")
+    asphere = F.concat(F.lit("SURF 1\n  TYPE EVENASPH\n"), line("CURV 0.0", size, "5"), line("DISZ ", size), line("GLAS G", F.col("p_partkey") % 3, " 0 0"), F.lit("  CONI -1.5\n  PARM 2 0.25\n"), line("PARM 3 0.0", size))
+    own = F.concat(F.lit("SURF 2\n  CURV 0\n  DISZ 2.5\n  GLAS ___BLANK 1 0 1.6 50\n"), line("DIAM ", size, " 1"))
     text = F.concat(F.lit("UNIT MM X\nSURF 0\n  STOP\n  DISZ INFINITY\n"), asphere, own)
-    docs = T(spark, d, "part").select("p_partkey", text.alias("text"))
+    docs = (T(spark, d, "part") if parts is None else parts).select(doc, text.alias("text"))
     glass = T(spark, d, "region").where("r_regionkey < 3").select(F.concat(F.lit("NM G"), F.col("r_regionkey").cast("string"), F.lit(" 2 0 1.5"), F.col("r_regionkey").cast("string"), F.lit(" 6"), F.col("r_regionkey").cast("string"), F.lit("\n")).alias("text"), F.col("r_regionkey").alias("doc"))
-    return files.stanza_lines(docs, "p_partkey", "text"), files.glass_rows(files.stanza_lines(glass, "doc", "text"))
+    return files.stanza_lines(docs, doc, "text"), files.glass_rows(files.stanza_lines(glass, "doc", "text"))
 
 
 _LENSES = """SELECT p_partkey, 0 AS i, 'X' AS STOP, 'FLAT' AS SHAPE, NULL::DOUBLE AS R, 'inf'::DOUBLE AS D, NULL::DOUBLE AS Nd, NULL::DOUBLE AS Vd, NULL::DOUBLE AS APERSEMI, 0.0::DOUBLE AS z, NULL::DOUBLE AS K, NULL::DOUBLE AS A4, NULL::DOUBLE AS A6 FROM part
@@ -172,10 +176,16 @@ _LENSES = """SELECT p_partkey, 0 AS i, 'X' AS STOP, 'FLAT' AS SHAPE, NULL::DOUBL
 
 @query(_LENSES)
 def lens_surfaces(spark, d):
-    stanzas, glasses = _lenses(spark, d)
-    s = prescriptions.surfaces(stanzas, "p_partkey", glasses)
-    out = joins.surfaces_with_positions(s, prescriptions.aspheric(stanzas, "p_partkey", 2), "p_partkey")
-    return out.withColumn("R", F.round("R", 7))
+    """A part is a lens, whatever its key: parts that are equal in key and size are read once and come as often as they are there."""
+    parts = T(spark, d, "part").groupBy("p_partkey", "p_size").agg(F.count("*").alias("n"))
+    stanzas, glasses = _lenses(spark, d, parts.withColumn("lens", F.struct("p_partkey", "p_size", "n")), "lens")
+    s = prescriptions.surfaces(stanzas, "lens", glasses)
+    out = joins.surfaces_with_positions(s, prescriptions.aspheric(stanzas, "lens", 2), "lens")
+    # a line that is left out counts as 0, and a diameter of 0 as none: as the SQL has it, an unknown size stays unknown and 0 stays 0
+    known = lambda c, i: F.when((F.col("i") != i) | F.col("lens.p_size").isNotNull(), F.col(c)).alias(c)
+    semi = F.when((F.col("i") == 2) & (F.col("lens.p_size") == 0), 0.0).otherwise(F.col("APERSEMI")).alias("APERSEMI")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("lens.n"))))
+    return out.select("lens.p_partkey", "i", "STOP", "SHAPE", F.round("R", 7).alias("R"), known("D", 1), "Nd", "Vd", semi, known("z", 2), "K", "A4", known("A6", 1))
 
 
 def _number(c):

@@ -20,7 +20,8 @@ def _raise(message: Column) -> Column:
 def _children(stanzas: DataFrame, doc: str) -> DataFrame:
     """Each child line of a SURF stanza with the number of its surface."""
     surf = stanzas.where("keyword = 'SURF'").select(F.col(doc).alias("s_doc"), F.col("line").alias("s_line"), F.get("params", F.lit(0)).try_cast("int").alias("surface"))
-    return stanzas.join(surf, (F.col(doc) == F.col("s_doc")) & (F.col("parent") == F.col("s_line"))).drop("s_doc", "s_line")
+    # lines come from unfolded texts, whose number Spark doesn't foresee: no broadcast
+    return stanzas.join(surf.hint("merge"), (F.col(doc) == F.col("s_doc")) & (F.col("parent") == F.col("s_line"))).drop("s_doc", "s_line")
 
 
 def _first(keyword: str, k: int) -> Column:
@@ -42,7 +43,7 @@ def surfaces(stanzas: DataFrame, doc: str, glasses: DataFrame) -> DataFrame:
         number("DIAM").alias("semi"),
     )
     unit = stanzas.where("keyword = 'UNIT'").groupBy(F.col(doc).alias("u_doc")).agg(F.min(F.upper(F.get("params", F.lit(0)))).alias("unit"))
-    g = g.join(unit, F.col(doc) == F.col("u_doc"), "left").join(glasses.select(F.col("name").alias("glass"), "nd", "vd"), "glass", "left")
+    g = g.join(unit.hint("merge"), F.col(doc) == F.col("u_doc"), "left").join(glasses.select(F.col("name").alias("glass"), "nd", "vd"), "glass", "left")
     own = F.col("glass") == "___BLANK"
     known = F.col("glass").isNull() | own | F.col("nd").isNotNull()
     checks = [

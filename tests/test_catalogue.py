@@ -57,3 +57,16 @@ def test_odd_cells(spark, tmp_path):
     df = catalogue.QUERIES["coerce_cell"](spark, str(tmp_path))
     want = rows(own.execute(catalogue.ORACLES["coerce_cell"]).to_arrow_table().to_pylist(), df.columns)
     assert rows([r.asDict() for r in df.collect()], df.columns) == want and len(want) == 30
+
+
+def test_odd_parts(spark, tmp_path):
+    """Parts that share a key, wholly equal ones among them, and parts without a key or a size or of size 0: each is a lens of its own."""
+    parts = [(1, 5), (1, 7), (2, 30), (2, 30), (2, 30), (3, None), (4, 9), (5, 0), (None, 8), (None, 8), (None, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{SF}/region.parquet").write.parquet(f"{tmp_path}/region.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    df = catalogue.QUERIES["lens_surfaces"](spark, str(tmp_path))
+    want = rows(own.execute(catalogue.ORACLES["lens_surfaces"]).to_arrow_table().to_pylist(), df.columns)
+    assert rows([r.asDict() for r in df.collect()], df.columns) == want and len(want) == 3 * len(parts)
+    assert not any("lens" in x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastExchange" in x)
